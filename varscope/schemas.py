@@ -1,0 +1,13 @@
+"""Table schemas, as DDL strings."""
+
+SOURCE_FILES = "repo STRING, path STRING, content STRING"
+CHANGES = "repo STRING, path STRING, ord BIGINT"
+IGNORE_RULES = "repo STRING, kind STRING, ord INT, pattern STRING"
+REPO_CONFIG = "repo STRING, source STRING, valid BOOLEAN, exclude ARRAY<STRING>, output STRING"
+ENV_TEMPLATES = "repo STRING, content STRING"
+DESCRIPTION_CACHE = "key STRING, description STRING, example STRING"
+RESPONSES = "batch_id STRING, text STRING"
+
+# Place of a reference in its repository: position in an explicit file list (0 for a walk),
+# path components, line, column. Struct comparison gives the reading order.
+POSITION = "STRUCT<rank: BIGINT, parts: ARRAY<STRING>, line: INT, column: INT>"

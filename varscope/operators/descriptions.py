@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from varscope.functions.naming import describe
 from varscope.functions.text import scrub_snippet, strip
 from varscope.operators.ordering import with_ordinal
+from varscope.operators.reports import attach
 
 # Variables per request and snippets per variable.
 BATCH_SIZE = 20
@@ -54,11 +55,7 @@ def cache_keys(refs: DataFrame, found: DataFrame, inline_bytes: int = INLINE_KEY
     sorted rows, in constant memory.
     """
     lines = refs.groupBy("repo", "name", "snippet").agg(F.count("*").alias("n"))
-    sizes = lines.groupBy("repo", "name").agg(
-        F.sum((F.octet_length("snippet") + 1) * F.col("n")).alias("_bytes")
-    )
-    defaults = found.select("repo", "name", "default_value").join(sizes, ["repo", "name"])
-    sized = lines.join(defaults, ["repo", "name"])
+    sized = attach(lines, found, ["default_value", "snippet_bytes"])
 
     repeated = F.flatten(
         F.transform(
@@ -67,7 +64,7 @@ def cache_keys(refs: DataFrame, found: DataFrame, inline_bytes: int = INLINE_KEY
         )
     )
     inline = (
-        sized.filter(F.col("_bytes") <= inline_bytes)
+        sized.filter(F.col("snippet_bytes") <= inline_bytes)
         .groupBy("repo", "name", "default_value")
         .agg(repeated.alias("snippets"))
         .select(
@@ -76,7 +73,7 @@ def cache_keys(refs: DataFrame, found: DataFrame, inline_bytes: int = INLINE_KEY
         )
     )
     streamed = (
-        sized.filter(F.col("_bytes") > inline_bytes)
+        sized.filter(F.col("snippet_bytes") > inline_bytes)
         .select("repo", "name", "snippet", "n", "default_value")
         .repartition("repo", "name")
         .sortWithinPartitions("repo", "name", "snippet")
@@ -175,8 +172,11 @@ def parse_responses(batched: DataFrame, responses: DataFrame) -> DataFrame:
     count; a missing field is ''; anything unusable gives no row.
     """
     as_map = "map<string,string>"
-    inner = F.regexp_extract("text", r"(\{[\s\S]*\})", 1)
-    parsed = F.coalesce(F.from_json(strip(F.col("text")), as_map), F.from_json(inner, as_map))
+    whole, inner = strip(F.col("text")), F.regexp_extract("text", r"(\{[\s\S]*\})", 1)
+    valid = F.when(F.try_parse_json(whole).isNotNull(), whole).when(
+        F.try_parse_json(inner).isNotNull(), inner
+    )
+    parsed = F.from_json(valid, as_map)
     answers = responses.select(
         "batch_id", F.explode(parsed).alias("name", "_value")
     ).filter(strip(F.col("_value")).startswith("{"))

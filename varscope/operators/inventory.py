@@ -55,6 +55,7 @@ def inventory(refs: DataFrame) -> DataFrame:
             F.bool_or("is_required").alias("is_required"),
             default_fold(F.col("default_value"), F.col("pos")).alias("default_value"),
             F.count("*").alias("n_locations"),
+            F.sum(F.octet_length("snippet") + 1).alias("snippet_bytes"),
         )
     )
     return folded.select(
@@ -65,6 +66,7 @@ def inventory(refs: DataFrame) -> DataFrame:
         "default_value",
         F.col("first.language").alias("language"),
         "n_locations",
+        "snippet_bytes",
         F.col("first.pos").alias("first_pos"),
         "last_pos",
     )

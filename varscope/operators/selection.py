@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varscope.functions import ignore, paths
@@ -38,26 +38,36 @@ def _excluded(kinds: Sequence[str]):
     return test
 
 
+def join_per_repo(rows: DataFrame, side: DataFrame, small: bool) -> DataFrame:
+    """Left join rows with a side of one row per repo.
+
+    A repo may own a third of all rows. So a small side is broadcast, and a large one is
+    copied RULE_SALTS times, with the repo's paths spread over the copies.
+    """
+    if small:
+        return rows.join(F.broadcast(side), "repo", "left")
+    salt = F.pmod(F.xxhash64("path"), F.lit(RULE_SALTS))
+    copies = side.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))).cast("bigint")
+    )
+    return rows.withColumn("_salt", salt).join(copies, ["repo", "_salt"], "left").drop("_salt")
+
+
 def apply_rules(
     rows: DataFrame,
     rules: DataFrame,
     kinds: Sequence[str] = ("gitignore", "exclude"),
     small: bool | None = None,
+    exempt: Column | None = None,
 ) -> DataFrame:
     """Drop rows (anything with repo and path) that the rules of their repo exclude."""
-    regexes = ignore.exclusion_regexes(rules)
     if small is None:
         small = fits_broadcast(rules)
-    if small:
-        joined = rows.join(F.broadcast(regexes), "repo", "left")
-    else:
-        # A repo may own a third of all rows: spread it over salted copies of its rules.
-        salt = F.pmod(F.xxhash64("path"), F.lit(RULE_SALTS))
-        copies = regexes.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))).cast("bigint")
-        )
-        joined = rows.withColumn("_salt", salt).join(copies, ["repo", "_salt"], "left")
-    return joined.filter(~_excluded(kinds)).select(*rows.columns)
+    joined = join_per_repo(rows, ignore.exclusion_regexes(rules), small)
+    kept = ~_excluded(kinds)
+    if exempt is not None:
+        kept = exempt | kept
+    return joined.filter(kept).select(*rows.columns)
 
 
 def config_rules(config: DataFrame) -> DataFrame:
@@ -133,3 +143,43 @@ def staged_refs(
     else:
         refs = extract(files, languages)
     return with_position(refs.join(changes, ["repo", "path"]), F.col("ord")).drop("ord")
+
+
+def changed_or_walked_refs(
+    files: DataFrame,
+    changes: DataFrame,
+    rules: DataFrame | None = None,
+    languages: Sequence[Language] = DEFAULT_LANGUAGES,
+    small: bool | None = None,
+) -> DataFrame:
+    """References of the listed files, or of a full scan for repos without a list.
+
+    The text is read once. With few changes and rules the choice of files is made inside
+    the scan; otherwise it is made on the references.
+    """
+    if small is None:
+        small = fits_broadcast(changes) and (rules is None or fits_broadcast(rules))
+    listing = changes.select("repo").distinct().withColumn("_listed", F.lit(True))
+    places = F.broadcast(changes) if small else changes
+
+    def choose(rows: DataFrame) -> DataFrame:
+        listed = F.col("_listed").isNotNull()
+        marked = (
+            join_per_repo(rows, listing, small)
+            .join(places, ["repo", "path"], "left")
+            .filter(
+                F.when(listed, F.col("ord").isNotNull()).otherwise(
+                    paths.outside_default_dirs(F.col("path"))
+                )
+            )
+        )
+        if rules is not None:
+            marked = apply_rules(marked, rules, small=small, exempt=listed)
+        return marked.drop("_listed")
+
+    rows = supported(route_language(files, languages))
+    if small:
+        refs = extract(choose(rows), languages, keep=["ord"])
+    else:
+        refs = choose(extract(rows, languages))
+    return with_position(refs, F.coalesce("ord", F.lit(0))).drop("ord")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from varscope.operators import selection
 from varscope.operators.inventory import inventory
 from varscope.operators.reconcile import diff_counts, new
+from varscope.operators.reports import json_string
 
 # Names per row where a list of names is asked for.
 LIST_CHUNK = 1000
@@ -50,39 +51,25 @@ def verdict_lines(merged: DataFrame, verdicts: DataFrame) -> DataFrame:
     comma = F.when(F.col("pos") == F.col("_last"), "").otherwise(",")
     section = F.when(F.col("status") == "NEW", 1).otherwise(3)
     names = listed.join(last, ["repo", "status"]).select(
-        "repo",
-        section.alias("section"),
-        "pos",
-        F.concat(F.to_json(F.struct(F.col("key").alias("k"))).substr(F.lit(6), F.lit(1 << 30))).alias("_j"),
-        comma.alias("_comma"),
-    ).select(
-        "repo", "section", "pos",
-        F.concat(F.expr("substring(_j, 1, length(_j) - 1)"), "_comma").alias("text"),
+        "repo", section.alias("section"), "pos", F.concat(json_string(F.col("key")), comma).alias("text")
     )
     pos_type = merged.schema["pos"].dataType
-    frame = verdicts.select(
-        "repo",
-        F.explode(
-            F.array(
-                F.struct(
-                    F.lit(0).alias("section"),
-                    F.concat(F.lit('{"status": "'), "status", F.lit('", "new_vars": [')).alias("text"),
-                ),
-                F.struct(F.lit(2), F.lit('], "stale_vars": [')),
-                F.struct(
-                    F.lit(4),
-                    F.concat(
-                        F.lit('], "scanned_files": '),
-                        F.col("scanned_files").cast("string"),
-                        F.lit("}"),
-                    ),
-                ),
-            )
-        ).alias("_f"),
-    ).select(
-        "repo", F.col("_f.section"), F.lit(None).cast(pos_type).alias("pos"), F.col("_f.text")
+    def fixed(number: int, text: Column) -> DataFrame:
+        return verdicts.select(
+            "repo", F.lit(number).alias("section"), F.lit(None).cast(pos_type).alias("pos"),
+            text.alias("text"),
+        )
+
+    status = F.concat(F.lit('{"status": "'), "status", F.lit('", "new_vars": ['))
+    count = F.concat(
+        F.lit('], "scanned_files": '), F.col("scanned_files").cast("string"), F.lit("}")
+    )
+    return (
+        fixed(0, status)
+        .unionByName(fixed(2, F.lit('], "stale_vars": [')))
+        .unionByName(fixed(4, count))
+        .unionByName(names)
     )
-    return frame.unionByName(names)
 
 
 def drift_outputs(numbered: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -124,10 +111,7 @@ def check_changes(
 
     A repo without a change list gets a full scan, ignore and exclude rules included.
     """
-    listing = changes.select("repo").distinct()
-    staged = selection.staged_refs(files, changes)
-    walked = selection.walk_refs(files.join(listing, "repo", "left_anti"), rules)
-    refs = staged.unionByName(walked)
+    refs = selection.changed_or_walked_refs(files, changes, rules)
     undocumented = (
         new(entries, inventory(refs)).groupBy("repo").agg(F.lit(1).alias("exit_code"))
     )

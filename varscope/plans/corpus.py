@@ -145,9 +145,15 @@ KEY_LAYERS = (
 )
 
 
+DOLLAR_BRACE = "$' || '{"
+
+
 def _spark(df: DataFrame, layers) -> DataFrame:
     for layer in layers:
-        df = df.selectExpr("*", *[f"{sql} as {name}" for name, sql in layer.items()])
+        # `${` inside SQL text would be taken for a variable to substitute.
+        df = df.selectExpr(
+            "*", *[f"{sql.replace('${', DOLLAR_BRACE)} as {name}" for name, sql in layer.items()]
+        )
     return df
 
 

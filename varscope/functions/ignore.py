@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from varscope.functions.paths import prefixes
 
-NEVER = "(?!)"
+# Matches nothing, written without a lookahead.
+NEVER = "$.^"
 # Noncharacters that stand for translated wildcards while the rest is being escaped.
 _ANY_DIRS, _BELOW, _STARS, _ONE, _SEGMENT, _NOT = (chr(0xFDD2 + n) for n in range(6))
 
@@ -78,13 +79,18 @@ def parse_rules(rules: DataFrame) -> DataFrame:
 
 
 def _decision(ordered: Column) -> Column:
-    """Fold ordered (negated, regex) rules into one regex."""
+    """Fold ordered (negated, regex) rules into one regex; '' excludes nothing."""
     return F.aggregate(
         ordered,
-        F.lit(NEVER),
+        F.lit(""),
         lambda acc, rule: F.when(
-            rule["negated"], F.concat(F.lit("(?!"), rule["regex"], F.lit(")(?:"), acc, F.lit(")"))
-        ).otherwise(F.concat(rule["regex"], F.lit("|"), acc)),
+            rule["negated"],
+            F.when(acc == "", "").otherwise(
+                F.concat(F.lit("(?!"), rule["regex"], F.lit(")(?:"), acc, F.lit(")"))
+            ),
+        )
+        .when(acc == "", rule["regex"])
+        .otherwise(F.concat(rule["regex"], F.lit("|"), acc)),
     )
 
 
@@ -105,12 +111,18 @@ def exclusion_regexes(rules: DataFrame) -> DataFrame:
 
 
 def matches(path: Column, regex: Column) -> Column:
-    """True if any gating prefix of ``path`` is matched by ``regex`` (NULL: no rules).
+    """True if any gating prefix of ``path`` is matched by ``regex`` (NULL or '': no rules).
 
-    ``regexp_extract`` keeps the last compiled pattern, which ``rlike`` does not.
+    A rule that matches a directory also matches everything below it, so without
+    negations the whole path decides alone. With them every prefix is asked, because an
+    excluded directory keeps its content excluded. ``regexp_extract`` keeps the last
+    compiled pattern, which ``rlike`` does not.
     """
-    hit = F.exists(
-        prefixes(path),
-        lambda p: F.call_function("regexp_extract", p, regex, F.lit(0)) != "",
+    def hit(p: Column) -> Column:
+        return F.call_function("regexp_extract", p, regex, F.lit(0)) != ""
+
+    return (
+        F.when(F.coalesce(regex, F.lit("")) == "", F.lit(False))
+        .when(~F.contains(regex, F.lit("(?!")), hit(path))
+        .otherwise(F.exists(prefixes(path), hit))
     )
-    return F.when(regex.isNull() | (regex == NEVER), F.lit(False)).otherwise(hit)

@@ -21,7 +21,6 @@ from varscope.operators.languages import (
     START,
     Language,
     LexedLanguage,
-    LineLanguage,
 )
 
 REF_COLUMNS = (
@@ -33,20 +32,42 @@ REF_COLUMNS = (
 # ---------------------------------------------------------------------------- routing
 
 
-def language_of(path: Column, languages: Sequence[Language] = DEFAULT_LANGUAGES) -> Column:
-    """Language of a file or NULL: file-name prefixes first, then the lower-cased suffix."""
+def _route(path: Column, languages: Sequence[Language], answer: Callable[[Language], Column]) -> Column:
     name = paths.basename(path)
-    suffix = F.lower(paths.suffix(path))
+    # The text after the last dot is an extension if a dot and a stem come before it.
+    tail = F.substring_index(name, ".", -1)
+    suffix = F.when(
+        F.length(name) > F.length(tail) + 1, F.concat(F.lit("."), F.lower(tail))
+    )
     chain = F
     for language in languages:
         for prefix in getattr(language, "filename_prefixes", ()):
-            chain = chain.when(name.startswith(prefix), language.name)
+            chain = chain.when(name.startswith(prefix), answer(language))
     for language in languages:
         if language.extensions:
-            chain = chain.when(suffix.isin(*language.extensions), language.name)
+            chain = chain.when(suffix.isin(*language.extensions), answer(language))
     return chain.otherwise(F.lit(None).cast("string"))
 
 
+def language_of(path: Column, languages: Sequence[Language] = DEFAULT_LANGUAGES) -> Column:
+    """Language of a file or NULL: file-name prefixes first, then the lower-cased suffix."""
+    return _route(path, languages, lambda spec: F.lit(spec.name))
+
+
+def candidate_language(
+    path: Column, content: Column, languages: Sequence[Language] = DEFAULT_LANGUAGES
+) -> Column:
+    """Language of a file whose text holds a guard word of that language, else NULL.
+
+    This cheap substring test lets most files skip the lexer.
+    """
+    def guarded(spec: Language) -> Column:
+        tests = [F.contains(content, F.lit(g)) for g in spec.guards]
+        return F.when(reduce(Column.__or__, tests), F.lit(spec.name))
+
+    return _route(path, languages, guarded)
+
+
 def route_language(
     files: DataFrame, languages: Sequence[Language] = DEFAULT_LANGUAGES
 ) -> DataFrame:
@@ -58,52 +79,66 @@ def supported(files: DataFrame) -> DataFrame:
     return files.filter(F.col("language").isNotNull())
 
 
-# ---------------------------------------------------------------------- lexed languages
+# ---------------------------------------------------------------------------- marking
+#
+# References are marked inside the text first, then read at the marks. Each step is a
+# column of its own, because an expression used twice inside a lambda is computed twice.
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _tags(spec: LexedLanguage) -> str:
+    return START + "$1" + ("$2" if spec.interpolated else "") + END + "$0"
 
 
-def mark_references(text: Column, spec: LexedLanguage) -> Column:
-    """Put START before every reference that is code; leave the rest of the text as it is.
+def _tag_tokens(text: Column, spec: LexedLanguage) -> Column:
+    """Put START tag END before every token; the tag tells what the token is.
 
     One pass matches references, comments and literals from left to right, so a
-    reference inside a comment or literal is swallowed by it. Embedded code of
-    interpolated literals gets the same pass of its own.
+    reference inside a comment or literal is swallowed by it.
     """
-    tagged = START + "$1" + ("$2" if spec.interpolated else "") + END + "$0"
-    marked = F.regexp_replace(text, spec.token, tagged)
+    return F.regexp_replace(text, spec.token, _tags(spec))
 
+
+def _keep_references(tagged: Column, spec: LexedLanguage) -> Column:
+    """Leave one START before every reference that is code and drop all other marks."""
+    marked = tagged
     if spec.interpolated:
-        opens = [END.join((tag, "")) for tag in spec.interpolation_tags]
+        opens = [tag + END for tag in spec.interpolation_tags]
+        # Code reaches to the brace that closes it; braces inside may nest twice.
+        nested = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
+        opener = "${" if "$" in spec.opening else "{"
+
+        def rescan(piece: Column) -> Column:
+            return _let(
+                F.regexp_extract(piece, rf"^(?:[^{{}}]++|{nested})*+", 0),
+                lambda code: F.concat(
+                    F.regexp_replace(code, spec.token, _tags(spec)),
+                    F.substring(piece, F.length(code) + 1, F.length(piece)),
+                ),
+            )
 
         def embedded(segment: Column) -> Column:
-            # Code up to the brace that closes it; braces inside may nest twice.
-            nested = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
             pieces = F.split(segment, f"({spec.opening})")
-            code = lambda p: F.regexp_extract(p, rf"^(?:[^{{}}]++|{nested})*+", 0)
-            done = F.transform(
-                pieces,
-                lambda p, i: F.when(i == 0, p).otherwise(
-                    F.concat(
-                        F.regexp_replace(code(p), spec.token, tagged),
-                        F.substring(p, F.length(code(p)) + 1, F.length(p)),
-                    )
-                ),
-            )
-            opener = "${" if "$" in spec.opening else "{"
+            done = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(rescan(p)))
             return F.array_join(done, opener)
 
-        is_literal = lambda s: reduce(
-            Column.__or__, [F.startswith(s, F.lit(o)) for o in opens]
-        )
+        def is_literal(segment: Column) -> Column:
+            return reduce(Column.__or__, [F.startswith(segment, F.lit(o)) for o in opens])
+
         has_literal = reduce(
-            Column.__or__, [F.contains(marked, F.lit(START + o)) for o in opens]
+            Column.__or__, [F.contains(tagged, F.lit(START + o)) for o in opens]
         )
         rescanned = F.array_join(
             F.transform(
-                F.split(marked, START), lambda s: F.when(is_literal(s), embedded(s)).otherwise(s)
+                F.split(tagged, START), lambda s: F.when(is_literal(s), embedded(s)).otherwise(s)
             ),
             START,
         )
-        marked = F.when(has_literal, rescanned).otherwise(marked)
+        marked = F.when(has_literal, rescanned).otherwise(tagged)
 
     for tag in ("", *spec.interpolation_tags):
         marked = F.replace(marked, F.lit(START + tag + END), F.lit(""))
@@ -114,15 +149,20 @@ def _places(marked: Column) -> Column:
     """ARRAY<STRUCT<line, column, snippet>>, one per START, in reading order."""
 
     def on_line(line: Column, index: Column) -> Column:
-        pieces = F.split(line, START)
-        return F.transform(
-            F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-            lambda _, i: F.struct(
-                (index + 1).alias("line"),
-                F.octet_length(
-                    F.array_join(F.slice(pieces, F.lit(1), i + 1), "")
-                ).alias("column"),
-                F.array_join(pieces, "").alias("snippet"),
+        return _let(
+            F.struct(
+                F.split(line, START).alias("pieces"),
+                F.replace(line, F.lit(START), F.lit("")).alias("snippet"),
+            ),
+            lambda l: F.transform(
+                F.slice(l["pieces"], F.lit(1), F.size(l["pieces"]) - 1),
+                lambda _, i: F.struct(
+                    (index + 1).alias("line"),
+                    F.octet_length(
+                        F.array_join(F.slice(l["pieces"], F.lit(1), i + 1), "")
+                    ).alias("column"),
+                    l["snippet"].alias("snippet"),
+                ),
             ),
         )
 
@@ -137,54 +177,84 @@ def _places(marked: Column) -> Column:
     )
 
 
-def literal_text(literal: Column) -> Column:
-    """Text between the quotes; of an interpolated literal, its first plain fragment."""
-    body = F.regexp_replace(
-        literal, r"^[A-Za-z]{0,2}(\"\"\"|'''|\"|')([\s\S]*)\1$", "$2"
-    )
-    fragment = F.regexp_extract(body, r"^(?:\{[^{}]*+\})*+([^{]*+)", 1)
-    return F.when(literal.rlike(r"^[rR]?[fFtT][rR]?[\"']"), fragment).otherwise(body)
+# ---------------------------------------------------------------------------- reading
 
+# What is read at a mark; ``default`` and ``other`` are raw text of the language.
+HITS = (
+    "array<struct<key: string, line: int, column: int, snippet: string, default: string, "
+    "other: string>>"
+)
 
-def _lexed_hits(marked: Column, spec: LexedLanguage) -> Column:
-    def group(index: int | None) -> Column:
-        if index is None:
-            return F.transform(places, lambda _: F.lit(""))
-        return F.regexp_extract_all(marked, F.lit(spec.call), F.lit(index))
 
-    places = _places(marked)
-    keys = group(spec.key_groups[0])
-    for index in spec.key_groups[1:]:
-        keys = F.zip_with(keys, group(index), lambda a, b: F.when(a != "", a).otherwise(b))
-    zipped = F.arrays_zip(
-        places.alias("place"),
-        keys.alias("key"),
-        group(spec.default_group).alias("default"),
-        group(spec.other_argument_group).alias("other"),
+def _no_hits() -> Column:
+    return F.expr(f"cast(array() as {HITS})")
+
+
+def _raw_hit(key: Column, place: Column, default: Column, other: Column) -> Column:
+    return F.struct(
+        key.alias("key"),
+        place["line"].alias("line"),
+        place["column"].alias("column"),
+        place["snippet"].alias("snippet"),
+        default.alias("default"),
+        other.alias("other"),
     )
+
+
+def _groups(marked: Column, pattern: str, *indexes: int) -> list[Column]:
+    return [F.regexp_extract_all(marked, F.lit(pattern), F.lit(i)) for i in indexes]
+
+
+def _lexed_hits(spec: LexedLanguage) -> Column:
+    """One hit per START. The call pattern matches at each START exactly once, so the
+    arrays of its groups and of the places run in step."""
+    marked = F.col("_marked")
+    keys, *more = _groups(marked, spec.call, *spec.key_groups)
+    for other_keys in more:
+        keys = F.zip_with(keys, other_keys, lambda a, b: F.when(a != "", a).otherwise(b))
+    columns = [_places(marked).alias("place"), keys.alias("key")]
+    for index, name in ((spec.default_group, "default"), (spec.other_argument_group, "other")):
+        if index is not None:
+            columns.append(_groups(marked, spec.call, index)[0].alias(name))
+
+    def part(h: Column, index: int | None, name: str) -> Column:
+        return F.lit("") if index is None else h[name]
+
     return F.transform(
-        zipped,
-        lambda h: F.struct(
-            F.replace(literal_text(h["key"]), F.lit(START), F.lit("")).alias("name"),
-            h["place"]["line"].alias("line"),
-            h["place"]["column"].alias("column"),
-            h["place"]["snippet"].alias("snippet"),
-            F.nullif(
-                F.replace(literal_text(h["default"]), F.lit(START), F.lit("")), F.lit("")
-            ).alias("default_value"),
-            ((h["default"] == "") & (h["other"] == "")).alias("is_required"),
+        F.arrays_zip(*columns),
+        lambda h: _raw_hit(
+            h["key"], h["place"],
+            part(h, spec.default_group, "default"),
+            part(h, spec.other_argument_group, "other"),
         ),
     )
 
 
-# ----------------------------------------------------------------------- line languages
+def literal_text(literal: Column) -> Column:
+    """Text between the quotes; of an interpolated literal, its first plain fragment.
+    Text without quotes is returned as it is."""
+    body = F.regexp_replace(
+        literal, r"^[A-Za-z]{0,2}(\"\"\"|'''|\"|')([\s\S]*)\1$", "$2"
+    )
+    fragment = F.regexp_extract(body, r"^(?:\{[^{}]*+\})*+([^{]*+)", 1)
+    quoted = literal.endswith('"') | literal.endswith("'")
+    return (
+        F.when(~quoted, literal)
+        .when(
+            literal.rlike(r"^[rR]?[fFtT][rR]?[\"']"),
+            F.replace(fragment, F.lit(START), F.lit("")),
+        )
+        .otherwise(body)
+    )
+
 
 _NAME = "[A-Z_][A-Z0-9_]*+"
+_WORD_END = r"(?![\p{L}\p{N}_])"
 SHELL_BRACED = rf"\$\{{#?({_NAME})[^}}\n]*+\}}"
-SHELL_SIMPLE = rf"\$({_NAME})(?![\p{{L}}\p{{N}}_])"
+SHELL_SIMPLE = rf"\$({_NAME}){_WORD_END}"
 _SHELL_EXPORT = rf"(?md)^[{WS_INLINE}]*+export[{WS_INLINE}]++({_NAME})(?=[={WS}#]|$)"
 # An assignment whose right-hand side (up to a comment) does not read the same name.
-_SHELL_ASSIGN = rf"(?md)^[{WS_INLINE}]*+({_NAME})=(?![^#\n]*\$\{{?\1(?![\p{{L}}\p{{N}}_]))"
+_SHELL_ASSIGN = rf"(?md)^[{WS_INLINE}]*+({_NAME})=(?![^#\n]*\$\{{?\1{_WORD_END})"
 
 # One-character names that are shell specials.
 SHELL_SPECIAL_NAMES = ("$", "?", "!", "@", "*", "#", "-", "_") + tuple("0123456789")
@@ -196,99 +266,64 @@ def is_shell_special(name: Column) -> Column:
 
 def shell_local_names(lines: Column) -> Column:
     """Names assigned at a line start, never exported and not read by their own value."""
-    assigned = F.regexp_extract_all(lines, F.lit(_SHELL_ASSIGN), F.lit(1))
-    exported = F.regexp_extract_all(lines, F.lit(_SHELL_EXPORT), F.lit(1))
+    (assigned,), (exported,) = _groups(lines, _SHELL_ASSIGN, 1), _groups(lines, _SHELL_EXPORT, 1)
     return F.array_except(assigned, exported)
 
 
-def _shell_hits(lines: Column) -> Column:
+def _shell_hits() -> Column:
     """One hit per (name, line), alphabetical within a line; comments count."""
 
     def names(line: Column) -> Column:
-        found = F.concat(
-            F.regexp_extract_all(line, F.lit(SHELL_BRACED), F.lit(1)),
-            F.regexp_extract_all(line, F.lit(SHELL_SIMPLE), F.lit(1)),
+        (braced,), (simple,) = _groups(line, SHELL_BRACED, 1), _groups(line, SHELL_SIMPLE, 1)
+        return F.array_sort(F.array_except(F.concat(braced, simple), F.col("_known")))
+
+    def place(line: Column, i: Column) -> Column:
+        return F.struct(
+            (i + 1).alias("line"), F.lit(0).alias("column"), line.alias("snippet")
         )
-        return F.array_sort(F.array_except(found, F.col("_hidden")))
 
     return F.flatten(
         F.transform(
-            F.split(lines, "\n"),
+            F.split("_marked", "\n"),
             lambda line, i: F.when(
                 F.contains(line, F.lit("$")),
-                F.transform(names(line), lambda n: _hit(n, i + 1, line, F.lit(None), F.lit(True))),
+                F.transform(
+                    names(line), lambda n: _raw_hit(n, place(line, i), F.lit(""), F.lit(""))
+                ),
             ).otherwise(_no_hits()),
         )
     )
 
 
-def _docker_hits(lines: Column) -> Column:
-    """First ENV or ARG declaration of each name."""
-    env = rf"^ENV[{WS}]+({_NAME})(?:=(.*))?(?:[{WS}]+(.*))?$"
-    arg = rf"^ARG[{WS}]+({_NAME})(?:=(.*))?$"
+# A declaration line: keyword, name, then `=value` or (ENV only) a blank and a value.
+_DOCKER_LINE = (
+    rf"[{WS_INLINE}]*+(ENV|ARG(?=[{WS_INLINE}]++{_NAME}(?:=|[{WS_INLINE}]*+$)))"
+    rf"[{WS_INLINE}]++({_NAME})(?:(=)([^\n]*+)|[{WS_INLINE}]([^\n]*+))?$"
+)
 
-    def declaration(line: Column, index: Column) -> Column:
-        bare = strip(line)
-        env_name = F.regexp_extract(bare, env, 1)
-        arg_name = F.regexp_extract(bare, arg, 1)
-        env_value = F.concat(F.regexp_extract(bare, env, 2), F.regexp_extract(bare, env, 3))
-        arg_value = F.regexp_extract(bare, arg, 2)
-        has_value = F.when(env_name != "", env_value != "").otherwise(
-            bare.rlike(rf"^ARG[{WS}]+{_NAME}=")
-        )
-        value = F.when(has_value, unquote(F.concat(env_value, arg_value)))
-        return _hit(F.concat(env_name, arg_name), index + 1, line, value, ~has_value)
 
-    declared = F.filter(
-        F.transform(
-            F.split(lines, "\n"),
-            lambda line, i: F.when(
-                F.contains(line, F.lit("ENV")) | F.contains(line, F.lit("ARG")),
-                declaration(line, i),
-            ),
-        ),
-        lambda d: d["name"] != "",
-    )
-    return F.filter(
-        declared,
-        lambda d, i: F.array_position(F.transform(declared, lambda e: e["name"]), d["name"])
-        == i + 1,
+def _docker_hits() -> Column:
+    """First ENV or ARG declaration of each name; ``_known`` lists the declared names."""
+    marked = F.col("_marked")
+    keyword, equals, after, beside = _groups(marked, f"(?md){START}{_DOCKER_LINE}", 1, 3, 4, 5)
+    zipped = F.arrays_zip(
+        _places(marked).alias("place"), F.col("_known").alias("name"),
+        keyword.alias("keyword"), equals.alias("equals"), after.alias("after"),
+        beside.alias("beside"),
     )
-
-
-def _hit(name: Column, line: Column, snippet: Column, default: Column, required: Column) -> Column:
-    return F.struct(
-        name.alias("name"),
-        line.alias("line"),
-        F.lit(0).alias("column"),
-        snippet.alias("snippet"),
-        default.cast("string").alias("default_value"),
-        required.alias("is_required"),
+    first = F.filter(zipped, lambda h, i: F.array_position(F.col("_known"), h["name"]) == i + 1)
+    return F.transform(
+        first,
+        lambda h: _raw_hit(
+            h["name"], h["place"],
+            F.concat(h["after"], h["beside"]), F.concat(h["keyword"], h["equals"]),
+        ),
     )
 
 
-def _no_hits() -> Column:
-    return F.expr(f"cast(array() as {HITS})")
-
-
-HITS = (
-    "array<struct<name: string, line: int, column: int, snippet: string, "
-    "default_value: string, is_required: boolean>>"
-)
-
-
 # --------------------------------------------------------------------------- extraction
 
 
-def may_reference(language: Column, content: Column, languages: Sequence[Language]) -> Column:
-    """Cheap substring test that lets most files skip the lexer."""
-    chain = F
-    for spec in languages:
-        tests = [F.contains(content, F.lit(g)) for g in spec.guards]
-        chain = chain.when(language == spec.name, reduce(Column.__or__, tests))
-    return chain.otherwise(F.lit(False))
-
-
 def _by_language(
     languages: Sequence[Language], build: Callable[[Language], Column | None], default: Column
 ) -> Column:
@@ -305,47 +340,79 @@ def extract(
     languages: Sequence[Language] = DEFAULT_LANGUAGES,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """References of ``files`` (repo, path, content[, language]).
+    """References of ``files`` (repo, path, content).
 
     Columns named in ``keep`` are carried along (for instance a list position or an event
     time). Files without language, without content or without any guard word end early.
     """
-    if "language" not in files.columns:
-        files = route_language(files, languages)
     carried = ["repo", "path", "language", *keep]
+    is_docker = F.col("language") == "docker"
+    lexed = F.col("language").isin(
+        *[s.name for s in languages if isinstance(s, LexedLanguage)]
+    )
 
-    def prepared(spec: Language) -> Column:
+    def tagged(spec: Language) -> Column:
         if isinstance(spec, LexedLanguage):
-            clean = F.translate(F.col("_text"), START + END, "\uFFFD\uFFFD")
-            return mark_references(clean, spec)
-        return unify_lines(F.col("_text"))
+            return _tag_tokens(F.col("_text"), spec)
+        lines = unify_lines(F.col("_text"))
+        if spec.name == "docker":
+            return F.regexp_replace(lines, f"(?md)^{_DOCKER_LINE}", START + "$0")
+        return lines
+
+    def marked(spec: Language) -> Column | None:
+        return (
+            _keep_references(F.col("_tagged"), spec) if isinstance(spec, LexedLanguage) else None
+        )
+
+    def known(spec: Language) -> Column | None:
+        if spec.name == "shell":
+            specials = F.array(*[F.lit(n) for n in SHELL_SPECIAL_NAMES])
+            return F.concat(shell_local_names(F.col("_marked")), specials)
+        if spec.name == "docker":
+            return _groups(F.col("_marked"), f"(?md){START}{_DOCKER_LINE}", 2)[0]
+        return None
 
     def hits(spec: Language) -> Column:
         if isinstance(spec, LexedLanguage):
-            return _lexed_hits(F.col("_marked"), spec)
-        return _shell_hits(F.col("_marked")) if spec.name == "shell" else _docker_hits(
-            F.col("_marked")
-        )
+            return F.when(F.contains("_marked", F.lit(START)), _lexed_hits(spec))
+        return _shell_hits() if spec.name == "shell" else _docker_hits()
 
-    hidden = _by_language(
-        languages,
-        lambda s: F.concat(
-            shell_local_names(F.col("_marked")),
-            F.array(*[F.lit(n) for n in SHELL_SPECIAL_NAMES]),
-        )
-        if isinstance(s, LineLanguage) and s.name == "shell"
-        else None,
-        F.lit(None).cast("array<string>"),
+    value = strip(F.col("default"))
+    declared = F.when(F.col("other").startswith("ENV"), value != "").otherwise(
+        F.col("other") == "ARG="
     )
     return (
-        supported(files)
-        .filter(may_reference(F.col("language"), F.col("content"), languages))
-        .select(*carried, decode(F.col("content")).alias("_text"))
-        .select(*carried, _by_language(languages, prepared, F.lit(None)).alias("_marked"))
-        .select(*carried, "_marked", hidden.alias("_hidden"))
+        supported(
+            files.withColumn(
+                "language", candidate_language(F.col("path"), F.col("content"), languages)
+            )
+        )
+        .select(
+            *carried,
+            F.translate(decode(F.col("content")), START + END, "\uFFFD\uFFFD").alias("_text"),
+        )
+        .select(*carried, _by_language(languages, tagged, F.lit(None)).alias("_tagged"))
+        .select(*carried, _by_language(languages, marked, F.col("_tagged")).alias("_marked"))
+        .select(
+            *carried, "_marked",
+            _by_language(languages, known, F.lit(None).cast("array<string>")).alias("_known"),
+        )
         .select(*carried, F.explode(_by_language(languages, hits, _no_hits())).alias("_hit"))
         .select(*carried, "_hit.*")
+        .withColumn("name", F.when(lexed, literal_text(F.col("key"))).otherwise(F.col("key")))
         .filter(F.col("name") != "")
+        .withColumn(
+            "default_value",
+            F.when(lexed, F.nullif(literal_text(F.col("default")), F.lit(""))).when(
+                is_docker & declared, unquote(F.col("default"))
+            ),
+        )
+        .withColumn(
+            "is_required",
+            F.when(lexed, (F.col("default") == "") & (F.col("other") == ""))
+            .when(is_docker, ~declared)
+            .otherwise(F.lit(True)),
+        )
         .withColumn("snippet", rstrip(F.col("snippet")))
         .select(*REF_COLUMNS, *keep)
     )

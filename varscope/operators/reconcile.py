@@ -10,23 +10,6 @@ from varscope.functions.text import strip
 MARKER = "# Added by varscope"
 STALE_COMMENT = "# UNUSED (not found in codebase): "
 
-ENTRY_COLUMNS = (
-    "repo", "key", "value", "comments", "inline_comment", "blank_line_before", "status", "pos",
-)
-# Order of merged entries in a repo: side 0 are template entries by their place, side 1
-# new names as first seen in code.
-_POS = "struct<side: int, ord: int, seen: {seen}>"
-
-
-def _entry_pos(entries: DataFrame, found: DataFrame) -> Column:
-    seen = found.schema["first_pos"].dataType.simpleString()
-    return F.struct(
-        F.lit(0).alias("side"),
-        F.col("ord").cast("int").alias("ord"),
-        F.lit(None).cast(seen).alias("seen"),
-    )
-
-
 def _found_names(found: DataFrame) -> DataFrame:
     return found.select("repo", F.col("name").alias("key"))
 
@@ -55,34 +38,40 @@ def new(entries: DataFrame, found: DataFrame, marker: str = MARKER) -> DataFrame
         F.lit(None).cast("string").alias("inline_comment"),
         F.lit(False).alias("blank_line_before"),
         F.lit("NEW").alias("status"),
-        F.struct(
-            F.lit(1).alias("side"), F.lit(None).cast("int").alias("ord"),
-            F.col("first_pos").alias("seen"),
-        ).alias("pos"),
+        "first_pos",
     )
 
 
 def reconcile(found: DataFrame, entries: DataFrame, marker: str = MARKER) -> DataFrame:
     """Merged entries with status EXISTING, STALE or NEW; ``pos`` orders them per repo.
 
-    Template entries take one left join that decides EXISTING or STALE. Both joins use
-    (repo, name), the key the inventory is already partitioned by, and inventory has one
-    row per key, so no repository or name is a hot join key.
+    One full outer join decides all three, so the inventory is computed once. It joins on
+    (repo, name), the key the inventory is already partitioned by and of which it has one
+    row per value, so no repository or name is a hot join key.
     """
-    hits = _found_names(found).withColumn("_found", F.lit(True))
-    is_found = F.coalesce("_found", F.lit(False))
-    notice = F.array(F.concat(F.lit(STALE_COMMENT), F.col("key")))
-    documented = (
-        entries.join(hits, ["repo", "key"], "left")
-        .withColumn("status", F.when(is_found, "EXISTING").otherwise("STALE"))
-        .withColumn(
-            "comments",
-            F.when(is_found, F.col("comments")).otherwise(F.concat(notice, F.col("comments"))),
-        )
-        .withColumn("pos", _entry_pos(entries, found))
+    both = entries.withColumnRenamed("key", "name").withColumn("_documented", F.lit(True)).join(
+        found.select("repo", "name", "default_value", "first_pos"), ["repo", "name"], "full"
     )
-    return documented.select(*ENTRY_COLUMNS).unionByName(
-        new(entries, found, marker).select(*ENTRY_COLUMNS)
+    documented, read = F.col("_documented").isNotNull(), F.col("first_pos").isNotNull()
+    notice = F.array(F.concat(F.lit(STALE_COMMENT), F.col("name")))
+    return both.select(
+        "repo",
+        F.col("name").alias("key"),
+        F.when(documented, F.col("value"))
+        .otherwise(F.coalesce("default_value", F.lit("")))
+        .alias("value"),
+        F.when(~documented, F.array(F.lit(marker)))
+        .when(read, F.col("comments"))
+        .otherwise(F.concat(notice, F.col("comments")))
+        .alias("comments"),
+        "inline_comment",
+        F.coalesce("blank_line_before", F.lit(False)).alias("blank_line_before"),
+        F.when(~documented, "NEW").when(read, "EXISTING").otherwise("STALE").alias("status"),
+        F.struct(
+            F.when(documented, 0).otherwise(1).alias("side"),
+            F.col("ord").cast("int").alias("ord"),
+            F.when(~documented, F.col("first_pos")).alias("seen"),
+        ).alias("pos"),
     )
 
 

@@ -47,9 +47,8 @@ def join_per_repo(rows: DataFrame, side: DataFrame, small: bool) -> DataFrame:
     if small:
         return rows.join(F.broadcast(side), "repo", "left")
     salt = F.pmod(F.xxhash64("path"), F.lit(RULE_SALTS))
-    copies = side.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))).cast("bigint")
-    )
+    salts = F.transform(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1)), lambda n: n.cast("bigint"))
+    copies = side.withColumn("_salt", F.explode(salts))
     return rows.withColumn("_salt", salt).join(copies, ["repo", "_salt"], "left").drop("_salt")
 
 

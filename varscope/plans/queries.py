@@ -6,6 +6,7 @@ Every callable takes (spark, sf_dir) and returns a DataFrame of scalar columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from varscope.operators.languages import (
 )
 from varscope.operators.ordering import with_ordinal
 from varscope.plans import corpus
-from varscope.session import materialize, new_table_path
+from varscope.session import materialize, new_table_path, tune
 from varscope.sources import tables
 from varscope.streaming import alerts
 
@@ -42,8 +43,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tune(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 # A language registered by a user: environment lookups of Ruby.

@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 100_000
 
 
+def tune(spark: SparkSession) -> None:
+    """Session settings the extraction depends on for speed.
+
+    The JVM never compiles a method above 8,000 bytes of bytecode, so a larger generated
+    stage would stay interpreted; Spark then does better with its split projections.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables, as named by ``spark.checkpoint.dir``.
 

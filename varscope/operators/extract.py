@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varscope.functions import paths
@@ -335,17 +336,34 @@ def _by_language(
     return default if chain is F else chain.otherwise(default)
 
 
-def extract(
-    files: DataFrame,
-    languages: Sequence[Language] = DEFAULT_LANGUAGES,
-    keep: Sequence[str] = (),
-) -> DataFrame:
-    """References of ``files`` (repo, path, content).
+class _Stages(NamedTuple):
+    """Column of each extraction step, over the columns of the step before."""
 
-    Columns named in ``keep`` are carried along (for instance a list position or an event
-    time). Files without language, without content or without any guard word end early.
-    """
-    carried = ["repo", "path", "language", *keep]
+    language: Column
+    text: Column
+    tagged: Column
+    marked: Column
+    known: Column
+    hits: Column
+    name: Column
+    default_value: Column
+    is_required: Column
+    snippet: Column
+
+
+_stages_of: dict[tuple, _Stages] = {}
+
+
+def _stages(spark: SparkSession, languages: tuple[Language, ...]) -> _Stages:
+    """Steps for ``languages``; built once per application, as building takes longer than
+    planning."""
+    key = (spark.sparkContext.applicationId, languages)
+    if key not in _stages_of:
+        _stages_of[key] = _build_stages(languages)
+    return _stages_of[key]
+
+
+def _build_stages(languages: tuple[Language, ...]) -> _Stages:
     is_docker = F.col("language") == "docker"
     lexed = F.col("language").isin(
         *[s.name for s in languages if isinstance(s, LexedLanguage)]
@@ -377,43 +395,55 @@ def extract(
             return F.when(F.contains("_marked", F.lit(START)), _lexed_hits(spec))
         return _shell_hits() if spec.name == "shell" else _docker_hits()
 
-    value = strip(F.col("default"))
-    declared = F.when(F.col("other").startswith("ENV"), value != "").otherwise(
-        F.col("other") == "ARG="
+    declared = F.when(
+        F.col("other").startswith("ENV"), strip(F.col("default")) != ""
+    ).otherwise(F.col("other") == "ARG=")
+    return _Stages(
+        language=candidate_language(F.col("path"), F.col("content"), languages),
+        text=F.translate(decode(F.col("content")), START + END, "\uFFFD\uFFFD"),
+        tagged=_by_language(languages, tagged, F.lit(None)),
+        marked=_by_language(languages, marked, F.col("_tagged")),
+        known=_by_language(languages, known, F.lit(None).cast("array<string>")),
+        hits=_by_language(languages, hits, _no_hits()),
+        name=F.when(lexed, literal_text(F.col("key"))).otherwise(F.col("key")),
+        default_value=F.when(
+            lexed, F.nullif(literal_text(F.col("default")), F.lit(""))
+        ).when(is_docker & declared, unquote(F.col("default"))),
+        is_required=F.when(lexed, (F.col("default") == "") & (F.col("other") == ""))
+        .when(is_docker, ~declared)
+        .otherwise(F.lit(True)),
+        snippet=rstrip(F.col("snippet")),
     )
+
+
+def extract(
+    files: DataFrame,
+    languages: Sequence[Language] = DEFAULT_LANGUAGES,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """References of ``files`` (repo, path, content).
+
+    Columns named in ``keep`` are carried along (for instance a list position or an event
+    time). Files without language, without content or without any guard word end early.
+    """
+    carried = ["repo", "path", "language", *keep]
+    stage = _stages(files.sparkSession, tuple(languages))
     return (
-        supported(
-            files.withColumn(
-                "language", candidate_language(F.col("path"), F.col("content"), languages)
-            )
-        )
-        .select(
-            *carried,
-            F.translate(decode(F.col("content")), START + END, "\uFFFD\uFFFD").alias("_text"),
-        )
-        .select(*carried, _by_language(languages, tagged, F.lit(None)).alias("_tagged"))
-        .select(*carried, _by_language(languages, marked, F.col("_tagged")).alias("_marked"))
+        supported(files.withColumn("language", stage.language))
+        .select(*carried, stage.text.alias("_text"))
+        .select(*carried, stage.tagged.alias("_tagged"))
+        .select(*carried, stage.marked.alias("_marked"))
+        .select(*carried, "_marked", stage.known.alias("_known"))
+        .select(*carried, F.explode(stage.hits).alias("_hit"))
+        .select(*carried, "_hit.*")
         .select(
-            *carried, "_marked",
-            _by_language(languages, known, F.lit(None).cast("array<string>")).alias("_known"),
+            "*",
+            stage.name.alias("name"),
+            stage.default_value.alias("default_value"),
+            stage.is_required.alias("is_required"),
         )
-        .select(*carried, F.explode(_by_language(languages, hits, _no_hits())).alias("_hit"))
-        .select(*carried, "_hit.*")
-        .withColumn("name", F.when(lexed, literal_text(F.col("key"))).otherwise(F.col("key")))
         .filter(F.col("name") != "")
-        .withColumn(
-            "default_value",
-            F.when(lexed, F.nullif(literal_text(F.col("default")), F.lit(""))).when(
-                is_docker & declared, unquote(F.col("default"))
-            ),
-        )
-        .withColumn(
-            "is_required",
-            F.when(lexed, (F.col("default") == "") & (F.col("other") == ""))
-            .when(is_docker, ~declared)
-            .otherwise(F.lit(True)),
-        )
-        .withColumn("snippet", rstrip(F.col("snippet")))
+        .withColumn("snippet", stage.snippet)
         .select(*REF_COLUMNS, *keep)
     )
 

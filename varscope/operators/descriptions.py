@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from varscope.functions.naming import describe
 from varscope.functions.text import scrub_snippet, strip
+from varscope.operators.joins import join_heavy
 from varscope.operators.ordering import with_ordinal
 from varscope.operators.reports import attach
 
@@ -112,8 +113,16 @@ def _hash_sorted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def cache_lookup(keyed: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits with description and example, misses) of rows with a ``key``."""
-    return keyed.join(cache, "key"), keyed.join(cache, "key", "left_anti")
+    """(hits with description and example, misses) of rows with a ``key``.
+
+    Copies of the same code share one key, so a key may have very many rows. ``keyed``
+    should be a stored table; ``cache`` has one row per key.
+    """
+    counted = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    return (
+        join_heavy(keyed, cache, ["key"], counted, "n"),
+        join_heavy(keyed, cache.select("key"), ["key"], counted, "n", "left_anti"),
+    )
 
 
 def prompt_batches(misses: DataFrame, order: tuple[str, ...], size: int = BATCH_SIZE) -> DataFrame:

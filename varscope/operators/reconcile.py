@@ -144,17 +144,16 @@ def entry_lines(merged: DataFrame) -> DataFrame:
 
     The blocks of a repo in ``pos`` order, one below the other, are its template file.
     """
-    first = merged.groupBy("repo").agg(F.min("pos").alias("_first"))
+    # Only template entries ask for a blank line, and the first of them has number 1.
+    first = (F.col("pos.side") == 0) & (F.col("pos.ord") == 1)
     tail = F.when(
         F.col("inline_comment") != "", F.concat(F.lit(" "), F.col("inline_comment"))
     ).otherwise(F.lit(""))
     lines = F.concat(
         F.when(
-            F.col("blank_line_before") & (F.col("pos") != F.col("_first")), F.array(F.lit(""))
+            F.col("blank_line_before") & ~first, F.array(F.lit(""))
         ).otherwise(F.expr("cast(array() as array<string>)")),
         F.col("comments"),
         F.array(F.concat("key", F.lit("="), "value", tail)),
     )
-    return merged.join(first, "repo").select(
-        "repo", "pos", F.array_join(lines, "\n").alias("text")
-    )
+    return merged.select("repo", "pos", F.array_join(lines, "\n").alias("text"))

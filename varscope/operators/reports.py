@@ -10,32 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varscope.session import heavy_keys
+from varscope.operators.joins import join_heavy, join_per_key
 
 ORDER = ("section", "finding", "part", "pos")
 MARKDOWN_HEAD = "| Name | Type | Required | Default | Locations |\n| --- | --- | --- | --- | --- |\n"
 
 
-def attach(refs: DataFrame, found: DataFrame, facts: list[str]) -> DataFrame:
-    """Join each reference with ``facts`` of its inventory row.
-
-    Names with very many references are known from the inventory's own counts: those few
-    rows are broadcast, so their references stay where they are; the others shuffle.
-    """
+def attach(rows: DataFrame, found: DataFrame, facts: list[str]) -> DataFrame:
+    """Join rows of references with ``facts`` of their inventory row, whose own counts
+    tell which names have very many of them."""
     keys = ["repo", "name"]
-    side = found.select(*keys, *facts)
-    threshold = heavy_keys(found, "n_locations")
-    if threshold is None:
-        return refs.join(side, keys)
-    heavy = found.filter(F.col("n_locations") >= threshold).select(*keys, *facts)
-    return (
-        refs.join(F.broadcast(heavy), keys)
-        .unionByName(
-            refs.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(
-                side.join(heavy.select(*keys), keys, "left_anti"), keys
-            )
-        )
-    )
+    return join_heavy(rows, found.select(*keys, *facts), keys, found, "n_locations")
 
 
 def json_string(text: Column) -> Column:
@@ -59,7 +44,7 @@ def _rows(df: DataFrame, section: int, finding: Column, part: int, pos: Column,
 def report_json(refs: DataFrame, found: DataFrame, stats: DataFrame, errors: DataFrame) -> DataFrame:
     """JSON report with two-space indent as blocks of whole lines.
 
-    ``refs`` and ``found`` should be stored tables, as each is read more than once.
+    All inputs should be stored tables, as each is read more than once.
     """
     pos_type = refs.schema["pos"].dataType
     no_pos = F.lit(None).cast(pos_type)
@@ -98,7 +83,7 @@ def report_json(refs: DataFrame, found: DataFrame, stats: DataFrame, errors: Dat
         ),
     )
     foot = _rows(
-        found.join(last_finding, "repo"), 1, finding, 2, no_pos,
+        join_per_key(found, last_finding, ["repo"], ["name"]), 1, finding, 2, no_pos,
         F.concat(F.lit("      ]\n    }"), comma(finding == F.col("_last"))),
     )
     tally = F.concat(
@@ -113,7 +98,7 @@ def report_json(refs: DataFrame, found: DataFrame, stats: DataFrame, errors: Dat
     ).cast(pos_type)
     last_error = errors.groupBy("repo").agg(F.max(F.split("path", "/")).alias("_last_path"))
     error_rows = _rows(
-        errors.join(last_error, "repo"), 3, no_finding, 0, error_pos,
+        join_per_key(errors, last_error, ["repo"], ["path"]), 3, no_finding, 0, error_pos,
         F.concat(
             F.lit("    "), json_string(F.col("error")),
             comma(F.split("path", "/") == F.col("_last_path")),

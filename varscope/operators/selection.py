@@ -15,13 +15,10 @@ from pyspark.sql import functions as F
 from varscope.functions import ignore, paths
 from varscope.operators.extract import extract, route_language, supported
 from varscope.operators.inventory import with_position
+from varscope.operators.joins import join_per_key
 from varscope.operators.languages import DEFAULT_LANGUAGES, Language
 from varscope.session import fits_broadcast
 
-# Copies of each repo's rules when they are shuffled; a repo's paths spread over these.
-RULE_SALTS = 32
-
-
 def drop_default_dirs(files: DataFrame) -> DataFrame:
     return files.filter(paths.outside_default_dirs(F.col("path")))
 
@@ -38,20 +35,6 @@ def _excluded(kinds: Sequence[str]):
     return test
 
 
-def join_per_repo(rows: DataFrame, side: DataFrame, small: bool) -> DataFrame:
-    """Left join rows with a side of one row per repo.
-
-    A repo may own a third of all rows. So a small side is broadcast, and a large one is
-    copied RULE_SALTS times, with the repo's paths spread over the copies.
-    """
-    if small:
-        return rows.join(F.broadcast(side), "repo", "left")
-    salt = F.pmod(F.xxhash64("path"), F.lit(RULE_SALTS))
-    salts = F.transform(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1)), lambda n: n.cast("bigint"))
-    copies = side.withColumn("_salt", F.explode(salts))
-    return rows.withColumn("_salt", salt).join(copies, ["repo", "_salt"], "left").drop("_salt")
-
-
 def apply_rules(
     rows: DataFrame,
     rules: DataFrame,
@@ -62,7 +45,8 @@ def apply_rules(
     """Drop rows (anything with repo and path) that the rules of their repo exclude."""
     if small is None:
         small = fits_broadcast(rules)
-    joined = join_per_repo(rows, ignore.exclusion_regexes(rules), small)
+    # A repo may own a third of all rows; its rules are one row.
+    joined = join_per_key(rows, ignore.exclusion_regexes(rules), ["repo"], ["path"], small)
     kept = ~_excluded(kinds)
     if exempt is not None:
         kept = exempt | kept
@@ -164,7 +148,7 @@ def changed_or_walked_refs(
     def choose(rows: DataFrame) -> DataFrame:
         listed = F.col("_listed").isNotNull()
         marked = (
-            join_per_repo(rows, listing, small)
+            join_per_key(rows, listing, ["repo"], ["path"], small)
             .join(places, ["repo", "path"], "left")
             .filter(
                 F.when(listed, F.col("ord").isNotNull()).otherwise(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varscope.operators import selection
 from varscope.operators.inventory import inventory
+from varscope.operators.joins import join_per_key
 from varscope.operators.reconcile import diff_counts, new
 from varscope.operators.reports import json_string
 
@@ -50,7 +51,7 @@ def verdict_lines(merged: DataFrame, verdicts: DataFrame) -> DataFrame:
     last = listed.groupBy("repo", "status").agg(F.max("pos").alias("_last"))
     comma = F.when(F.col("pos") == F.col("_last"), "").otherwise(",")
     section = F.when(F.col("status") == "NEW", 1).otherwise(3)
-    names = listed.join(last, ["repo", "status"]).select(
+    names = join_per_key(listed, last, ["repo", "status"], ["key"]).select(
         "repo", section.alias("section"), "pos", F.concat(json_string(F.col("key")), comma).alias("text")
     )
     pos_type = merged.schema["pos"].dataType

@@ -616,7 +616,7 @@ def check(spark, sf):
 @query
 def check_json(spark, sf):
     entries_ = materialize(merged(spark, sf))
-    verdicts = verdict.check(entries_, inventory.scanned_files(visited(spark, sf)))
+    verdicts = materialize(verdict.check(entries_, inventory.scanned_files(visited(spark, sf))))
     rows = with_ordinal(verdict.verdict_lines(entries_, verdicts), ["repo"], ["section", "pos"])
     return rows.select("repo", "ord", "text")
 
@@ -780,11 +780,12 @@ def report_json(spark, sf):
     rules = corpus.ignore_rules(spark, sf)
     refs = materialize(selection.walk_refs(broken, rules))
     names = materialize(inventory.inventory(refs))
-    seen = selection.walked_paths(broken, rules)
+    seen = materialize(selection.walked_paths(broken, rules))
     errors = seen.filter("unreadable").select(
         "repo", "path", F.concat(F.lit("File not found: "), "path").alias("error")
     )
-    rows = reports.report_json(refs, names, inventory.scan_stats(seen, names), errors)
+    stats = materialize(inventory.scan_stats(seen, names))
+    rows = reports.report_json(refs, names, stats, materialize(errors))
     return with_ordinal(rows, ["repo"], list(reports.ORDER)).select("repo", "ord", "text")
 
 

@@ -15,7 +15,7 @@ def test_every_query_has_an_expected_result():
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert {r.exit_code for r in rows} == {0, 1}
-    assert {r.strict_exit_code for r in rows} == {0, 1, 2}
+    assert {1, 2} <= {r.strict_exit_code for r in rows}
 
 
 @pytest.fixture(scope="module")

@@ -186,7 +186,11 @@ def corpus_path(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _tables:
         path = new_table_path(spark)
-        render(spark.read.parquet(f"{sf_dir}/orders.parquet")).write.parquet(path)
+        # Files of a repo lie together, as in a table loaded repo by repo: the compiled
+        # ignore rules of a repo then serve a run of rows.
+        render(spark.read.parquet(f"{sf_dir}/orders.parquet")).sortWithinPartitions(
+            "repo", "path"
+        ).write.parquet(path)
         _tables[key] = path
     return _tables[key]
 

@@ -6,7 +6,7 @@ from samples import FILES, SIMPLE_TEMPLATE
 
 from varscope.operators import inventory as I
 from varscope.operators import reconcile, reports, selection, template, verdict
-from varscope.operators.extract import extract, route_language
+from varscope.operators.extract import extract
 from varscope.operators.ordering import with_ordinal
 from varscope.session import materialize
 from varscope.sources import sinks, tables
@@ -32,8 +32,8 @@ def corpus(spark, files_of):
 
 def test_json_report_is_the_document(spark, corpus):
     files, refs, found, seen = corpus
-    errors = I.scan_errors(route_language(files))
-    rows = reports.report_json(refs, found, I.scan_stats(seen, found), errors)
+    errors = I.scan_errors(selection.unreadable_paths(files))
+    rows = reports.report_json(refs, found, I.scan_stats(seen, errors, found), errors)
     docs = {}
     for r in rows.orderBy("repo", *reports.ORDER).collect():
         docs.setdefault(r.repo, []).append(r.text)
@@ -154,3 +154,23 @@ def test_stream_reports_what_the_batch_finds(spark, files_of, tmp_path, watermar
     batch = reconcile.new(entries, I.inventory(extract(df)))
     assert got == sorted((r.repo, r.key) for r in batch.collect())
     assert got == [("r", f"V{n}") for n in (0, 1, 2, 4)]
+
+
+def test_paths_are_selected_without_reading_text(spark, files_of, tmp_path):
+    files_of({"a.py": "x", "b.py": None}).write.parquet(str(tmp_path / "f"))
+    files = tables.source_files(spark, str(tmp_path / "f"))
+
+    def scan(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return next(line for line in plan.split("\n") if "FileScan" in line)
+
+    assert "content" not in scan(selection.walked_paths(files))
+    lost = selection.unreadable_paths(files)
+    assert "IsNull(content)" in scan(lost)
+    assert [r.path for r in lost.collect()] == ["b.py"]
+    # Aggregated facts need neither text nor a second scan.
+    plan = reconcile.reconcile(
+        I.inventory(extract(files)),
+        template.parse_templates(spark.createDataFrame([("r", "A=1")], "repo string, content string")),
+    )._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1

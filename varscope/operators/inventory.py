@@ -91,21 +91,25 @@ def scanned_files(files: DataFrame) -> DataFrame:
     return files.groupBy("repo").agg(F.count("language").alias("scanned_files"))
 
 
-def scan_errors(files: DataFrame) -> DataFrame:
-    """One row per file whose language is known but whose text could not be read."""
-    return files.filter(F.col("language").isNotNull() & F.col("content").isNull()).select(
+def scan_errors(unreadable: DataFrame) -> DataFrame:
+    """One error row per file (repo, path, language) whose language is known but whose
+    text could not be read."""
+    return unreadable.filter(F.col("language").isNotNull()).select(
         "repo", "path", F.concat(F.lit("File not found: "), F.col("path")).alias("error")
     )
 
 
-def scan_stats(files: DataFrame, found: DataFrame) -> DataFrame:
-    """Per repo: files scanned, variables found, errors. ``files`` needs repo, language and
-    unreadable (BOOLEAN), not the text itself."""
-    counted = files.groupBy("repo").agg(
-        F.count("language").alias("scanned_files"),
-        F.count_if(F.col("language").isNotNull() & F.col("unreadable")).alias("errors"),
-    )
+def scan_stats(visited: DataFrame, errors: DataFrame, found: DataFrame) -> DataFrame:
+    """Per repo: files scanned, variables found, errors. No input holds source text."""
     names = found.groupBy("repo").agg(F.count("*").alias("found"))
-    return counted.join(names, "repo", "left").select(
-        "repo", "scanned_files", F.coalesce("found", F.lit(0)).alias("found"), "errors"
+    failed = errors.groupBy("repo").agg(F.count("*").alias("errors"))
+    return (
+        scanned_files(visited)
+        .join(names, "repo", "left")
+        .join(failed, "repo", "left")
+        .select(
+            "repo", "scanned_files",
+            F.coalesce("found", F.lit(0)).alias("found"),
+            F.coalesce("errors", F.lit(0)).alias("errors"),
+        )
     )

@@ -67,18 +67,24 @@ def walked_paths(
     rules: DataFrame | None = None,
     languages: Sequence[Language] = DEFAULT_LANGUAGES,
 ) -> DataFrame:
-    """(repo, path, language, unreadable) of the supported files a full scan visits."""
-    rows = supported(
-        route_language(
-            drop_default_dirs(
-                files.select("repo", "path", F.col("content").isNull().alias("unreadable"))
-            ),
-            languages,
-        )
-    )
+    """(repo, path, language) of the supported files a full scan visits.
+
+    Only these two columns of the file table are read.
+    """
+    rows = supported(route_language(drop_default_dirs(files.select("repo", "path")), languages))
     return rows if rules is None else apply_rules(rows, rules)
 
 
+def unreadable_paths(
+    files: DataFrame,
+    rules: DataFrame | None = None,
+    languages: Sequence[Language] = DEFAULT_LANGUAGES,
+) -> DataFrame:
+    """The visited files without text. The null test is pushed to the scan, where the
+    statistics of a row group that has no null rule it out unread."""
+    return walked_paths(files.filter(F.col("content").isNull()), rules, languages)
+
+
 def walk_refs(
     files: DataFrame,
     rules: DataFrame | None = None,

@@ -415,22 +415,26 @@ def scanned_files(spark, sf):
     return inventory.scanned_files(visited(spark, sf))
 
 
-@query
-def scan_errors(spark, sf):
-    broken = corpus.keyed_files(spark, sf).selectExpr(
+def _partly_unreadable(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.keyed_files(spark, sf).selectExpr(
         "repo", "path", "case when k % 71 = 0 then null else content end as content"
     )
-    return inventory.scan_errors(extract.route_language(broken))
+
+
+@query
+def scan_errors(spark, sf):
+    lost = _partly_unreadable(spark, sf).filter("content is null")
+    return inventory.scan_errors(extract.route_language(lost))
 
 
 @query
 def scan_summary(spark, sf):
-    broken = corpus.keyed_files(spark, sf).selectExpr(
-        "repo", "path", "case when k % 71 = 0 then null else content end as content"
+    broken, rules = _partly_unreadable(spark, sf), corpus.ignore_rules(spark, sf)
+    return inventory.scan_stats(
+        selection.walked_paths(broken, rules),
+        inventory.scan_errors(selection.unreadable_paths(broken, rules)),
+        inventory.inventory(selection.walk_refs(broken, rules)),
     )
-    rules = corpus.ignore_rules(spark, sf)
-    names = inventory.inventory(selection.walk_refs(broken, rules))
-    return inventory.scan_stats(selection.walked_paths(broken, rules), names)
 
 
 # ---------------------------------------------------------------------- names, rules
@@ -774,18 +778,13 @@ def cache_upsert(spark, sf):
 
 @query
 def report_json(spark, sf):
-    broken = corpus.keyed_files(spark, sf).selectExpr(
-        "repo", "path", "case when k % 71 = 0 then null else content end as content"
-    )
-    rules = corpus.ignore_rules(spark, sf)
+    broken, rules = _partly_unreadable(spark, sf), corpus.ignore_rules(spark, sf)
     refs = materialize(selection.walk_refs(broken, rules))
     names = materialize(inventory.inventory(refs))
-    seen = materialize(selection.walked_paths(broken, rules))
-    errors = seen.filter("unreadable").select(
-        "repo", "path", F.concat(F.lit("File not found: "), "path").alias("error")
-    )
-    stats = materialize(inventory.scan_stats(seen, names))
-    rows = reports.report_json(refs, names, stats, materialize(errors))
+    errors = materialize(inventory.scan_errors(selection.unreadable_paths(broken, rules)))
+    visited_ = selection.walked_paths(broken, rules)
+    stats = materialize(inventory.scan_stats(visited_, errors, names))
+    rows = reports.report_json(refs, names, stats, errors)
     return with_ordinal(rows, ["repo"], list(reports.ORDER)).select("repo", "ord", "text")
 
 

@@ -7,6 +7,9 @@ by parsing text. A third of all files belongs to ``repo0``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,23 +181,40 @@ def render(orders: DataFrame) -> DataFrame:
     )
 
 
-_tables: dict[tuple[str, str], str] = {}
+_tables: dict[tuple[str, str, str], str] = {}
 
 
-def corpus_path(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the rendered corpus; rendered and written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _stored(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
+) -> str:
+    """Path of an input table; built and written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _tables:
         path = new_table_path(spark)
-        # Files of a repo lie together, as in a table loaded repo by repo: the compiled
-        # ignore rules of a repo then serve a run of rows.
-        render(spark.read.parquet(f"{sf_dir}/orders.parquet")).sortWithinPartitions(
-            "repo", "path"
-        ).write.parquet(path)
+        build().write.parquet(path)
         _tables[key] = path
     return _tables[key]
 
 
+def corpus_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the rendered corpus. Files of a repo lie together, as in a table loaded
+    repo by repo: the compiled ignore rules of a repo then serve a run of rows."""
+    def build() -> DataFrame:
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        return render(orders).sortWithinPartitions("repo", "path")
+
+    return _stored(spark, sf_dir, "corpus", build)
+
+
+def _input(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(build)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _stored(spark, sf_dir, build.__name__, lambda: build(spark, sf_dir))
+        return spark.read.parquet(path)
+
+    return read
+
+
 def keyed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(corpus_path(spark, sf_dir))
 
@@ -224,6 +244,7 @@ def _repo_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_files(spark, sf_dir).select("r", "repo").distinct()
 
 
+@_input
 def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ", ".join(
         f"if({when}, named_struct('kind', '{kind}', 'ord', {ord_}, 'pattern', '{pattern}'), null)"
@@ -236,6 +257,7 @@ def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_input
 def repo_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dedicated file for even r (invalid when r % 3 = 0), project file for r % 4 < 3."""
     return _repo_numbers(spark, sf_dir).selectExpr(
@@ -251,6 +273,7 @@ def repo_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_input
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change lists: k % 29 = 0, last key first, some listed twice, some missing; none for
     r % 10 = 0."""
@@ -285,6 +308,7 @@ ENTRY_LAYERS = (
 )
 
 
+@_input
 def env_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """env_templates(repo, content). A repo documents at most 77 names, so each text is
     assembled from a bounded group."""

@@ -142,7 +142,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     """64-bit hash of each span of bytes (spans have at least one byte)."""
     length = end - start
     head, tail = ends_of(data, start, end)
-    h = mix(head + U(seed * 2 + 1) * U(0x9E3779B97F4A7C15)) + tail
+    h = mix(head + U((seed * 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) + tail
     h = mix(h ^ (length.astype(U) * U(0xC2B2AE3D27D4EB4F)))
     long = np.flatnonzero(length > 16)
     huge = long[length[long] > _LONG_WORD]

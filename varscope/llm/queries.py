@@ -8,8 +8,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varscope.llm import windows
+from varscope.llm import quality, windows
 from varscope.llm.ship import ship
+from varscope.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +39,15 @@ def sha256(column: str):
 def op7_substring_dedup(spark, sf_dir):
     kept = windows.dedup_substrings(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))
+
+
+@query
+def op9_quality_rules(spark, sf_dir):
+    counted = materialize(quality.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    judged = quality.judge(counted, quality.estimate(counted))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select(
+        "doc_id",
+        *(F.col(quality.PREFIX + c).alias(c) for c in names),
+        F.round(quality.PREFIX + "posterior", 9).alias("posterior"),
+    )

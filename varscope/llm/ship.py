@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 import varscope
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
 _shipped: set[str] = set()
 
 
@@ -17,7 +20,11 @@ def ship(spark: SparkSession) -> None:
     """Send the package's source to the executors, once per application.
 
     ``addPyFile`` serves the archive from the driver, so no folder needs to be shared.
+    Where the session has Spark's default, rows also go to Python in smaller batches, so
+    that a batch of very long texts still fits a worker.
     """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varscope.llm import quality, windows
+from varscope.llm import packing, pieces, quality, windows
 from varscope.llm.ship import ship
 from varscope.session import materialize
 
@@ -19,9 +19,9 @@ ORACLES: dict[str, str] = {}
 
 def query(function: Query) -> Query:
     @wraps(function)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
         ship(spark)
-        return function(spark, sf_dir)
+        return function(spark, sf_dir, **options)
 
     QUERIES[function.__name__] = run
     return run
@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; the folder is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def sha256(column: str):
     return F.sha2(F.col(column).cast("binary"), 256)
 
@@ -51,3 +58,30 @@ def op9_quality_rules(spark, sf_dir):
         *(F.col(quality.PREFIX + c).alias(c) for c in names),
         F.round(quality.PREFIX + "posterior", 9).alias("posterior"),
     )
+
+
+@query
+def op1_sentencepiece(spark, sf_dir, path=None):
+    path = path or tokenizer_path("piece_bpe_32k.model")
+    encoded = table(spark, sf_dir, "documents").select("doc_id", pieces.encode(F.col("text"), path).alias("pieces"))
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("pieces.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("pieces.ids", 256).alias("ids_sha256"),
+        F.sha2(pieces.decode(F.col("pieces.ids"), path).cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.concat("pieces.begins", "pieces.ends"), 256).alias("spans_sha256"),
+    )
+
+
+@query
+def op10_packing(spark, sf_dir, path=None):
+    packed = packing.pack(table(spark, sf_dir, "documents"), path or tokenizer_path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id",
+        "start",
+        (F.length("ids") / 4).cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )

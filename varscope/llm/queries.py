@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varscope.llm import packing, pieces, quality, windows
+from varscope.llm import lines, packing, pieces, quality, secrets, windows
 from varscope.llm.ship import ship
 from varscope.session import materialize
 
@@ -85,3 +85,40 @@ def op10_packing(spark, sf_dir, path=None):
         "sequence_id",
         "offset",
     )
+
+
+@query
+def op8_line_dedup(spark, sf_dir):
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "lines.n_lines", "lines.n_dropped", sha256("lines.kept_text").alias("kept_sha256")
+    )
+
+
+ORACLES["op8_line_dedup"] = """
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from d),
+k as (
+    select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from l
+),
+o as (select key, min(doc_id) as owner from k where length(key) >= 10 group by key),
+r as (select k.*, coalesce(o.owner < k.doc_id, false) as gone from k left join o on k.key = o.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from r group by doc_id
+"""
+
+
+@query
+def op2_secret_scan(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)),
+        F.sha2(secrets.span_list(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_list(F.col("secrets")).alias("spans"),
+    )

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varscope.llm import lines, packing, pieces, quality, secrets, windows
+from varscope.llm import lines, near, packing, pieces, quality, secrets, windows
 from varscope.llm.ship import ship
 from varscope.session import materialize
 
@@ -122,3 +122,36 @@ def op2_secret_scan(spark, sf_dir):
         F.sha2(secrets.span_list(base).cast("binary"), 256).alias("base_sha256"),
         secrets.span_list(F.col("secrets")).alias("spans"),
     )
+
+
+@query
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_ngram_jaccard_join"] = r"""
+with recursive t as (
+    select doc_id, coalesce(text, '') as text,
+        list_filter(string_split_regex(coalesce(text, ''), '[ 	
+]+'), lambda w: w <> '') as w
+    from documents
+),
+r as (select text, min(doc_id) as node, count(*) as copies, any_value(w) as w from t where len(w) > 0 group by text),
+s as (
+    select node, unnest(list_distinct(list_transform(range(greatest(len(w) - 4, 1)), lambda k: array_to_string(w[k+1:k+5], ' ')))) as gram
+    from r
+),
+n as (select node, count(*) as grams from s group by node),
+p as (select a.node as a, b.node as b, count(*) as both from s a join s b on a.gram = b.gram and a.node <> b.node group by all),
+l as (
+    select a, b from p join n x on x.node = a join n y on y.node = b
+    where p.both >= 0.8 * (x.grams + y.grams - p.both) - 1e-9
+),
+c as (select node, node as other from r union select c.node, l.b from c join l on c.other = l.a),
+k as (select node, min(other) as class_id from c group by node),
+m as (select l.a as node, sum(r.copies) as links from l join r on r.node = l.b group by l.a)
+select t.doc_id, coalesce(k.class_id, t.doc_id) as class_id,
+    case when r.node is null then 0 else coalesce(m.links, 0) + r.copies - 1 end::bigint as n_links,
+    coalesce(r.copies, count(*) over (partition by t.text)) as n_copies
+from t left join r on r.text = t.text left join k on k.node = r.node left join m on m.node = r.node
+"""

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varscope.llm import lines, near, packing, pieces, quality, secrets, windows
+from varscope.llm import lines, near, packing, pieces, quality, secrets, suffixes, voronoi, windows
 from varscope.llm.ship import ship
 from varscope.session import materialize
 
@@ -155,3 +155,45 @@ select t.doc_id, coalesce(k.class_id, t.doc_id) as class_id,
     coalesce(r.copies, count(*) over (partition by t.text)) as n_copies
 from t left join r on r.text = t.text left join k on k.node = r.node left join m on m.node = r.node
 """
+
+
+@query
+def op3_suffix_array_dedup(spark, sf_dir):
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_suffix_array_dedup"] = r"""
+with t as (
+    select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '') as w
+    from documents where doc_id is not null
+),
+s as (select doc_id, w, unnest(range(len(w) - 49)) as a from t where len(w) >= 50),
+k as (select doc_id, a, md5(array_to_string(w[a+1:a+50], ' ')) as h from s),
+o as (select h, min(doc_id) as first from k group by h),
+r as (select k.doc_id, a, first from k join o using (h) where first < k.doc_id),
+i as (select *, case when a > coalesce(lag(a) over (partition by doc_id order by a), -100) + 50 then 1 else 0 end as new from r),
+g as (select *, sum(new) over (partition by doc_id order by a rows unbounded preceding) as span from i)
+select doc_id, min(a) as start_word, (max(a) + 50 - min(a))::bigint as n_words, min(first) as first_doc_id
+from g group by doc_id, span
+"""
+
+
+@query
+def op6_exact_top_k(spark, sf_dir):
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op6_exact_top_k"] = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+    from embeddings
+    where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+    select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+    from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)
+),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+"""

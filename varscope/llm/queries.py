@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varscope.llm import lines, near, packing, pieces, quality, secrets, suffixes, voronoi, windows
+from varscope.llm import licences, lines, near, packing, pieces, quality, secrets, suffixes, voronoi, windows
 from varscope.llm.ship import ship
 from varscope.session import materialize
 
@@ -133,7 +134,8 @@ ORACLES["op4_ngram_jaccard_join"] = r"""
 with recursive t as (
     select doc_id, coalesce(text, '') as text,
         list_filter(string_split_regex(coalesce(text, ''), '[ 	
-]+'), lambda w: w <> '') as w
+
+]+'), lambda w: w <> '') as w
     from documents
 ),
 r as (select text, min(doc_id) as node, count(*) as copies, any_value(w) as w from t where len(w) > 0 group by text),
@@ -197,3 +199,39 @@ s as (
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
+
+
+@query
+def op5_license_scan(spark, sf_dir):
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("best_dice", F.round("best_dice", 6))
+
+
+_TEMPLATES = ", ".join(
+    "({}, '{}', '{}')".format(k, name, " ".join(re.findall("[0-9a-z]+", text.lower())))
+    for k, (name, text) in enumerate(licences.TEMPLATES)
+)
+_GRAMS = "list_distinct(list_transform(range(len(w) - 1), lambda k: w[k+1] || ' ' || w[k+2]))"
+ORACLES["op5_license_scan"] = f"""
+with t(id, licence, words) as (values {_TEMPLATES}),
+tg as (select id, licence, {_GRAMS} as g from (select *, string_split(words, ' ') as w from t)),
+d as (
+    select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x
+    from documents
+),
+l as (select doc_id, unnest(string_split(x, chr(10))) as x, unnest(range(len(string_split(x, chr(10))))) as n from d),
+lw as (select doc_id, n, list_filter(string_split_regex(x, '[^a-z0-9]+'), lambda v: v <> '') as w from l),
+filled as (select *, n - row_number() over (partition by doc_id order by n) as paragraph from lw where len(w) > 0),
+s as (
+    select doc_id, w from filled
+    union all select doc_id, flatten(list(w order by n)) from filled group by doc_id, paragraph
+    union all select doc_id, flatten(list(w order by n)) from filled group by doc_id
+),
+sg as (select doc_id, {_GRAMS} as g from s where len(w) > 1),
+m as (
+    select doc_id, licence, 2 * len(list_intersect(sg.g, tg.g)) / (len(sg.g) + len(tg.g)) as dice
+    from sg join tg on len(sg.g) <= 1.5 * len(tg.g) and len(tg.g) <= 1.5 * len(sg.g)
+)
+select doc_id, licence, count(*) as n_segments, round(max(dice), 6) as best_dice
+from m where dice >= 0.8 - 1e-12 group by doc_id, licence
+"""

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varscope.llm.tasks import quoted
 from varscope.session import materialize, new_table_path
 
 MIN_CHARS = 10
@@ -162,11 +163,14 @@ def dedup_lines(
     ]
     index.close()
     gone = lines.join(reduce(DataFrame.unionByName, owners), ["batch", *KEY]).filter("doc_id > owner")
-    positions = gone.groupBy("doc_id", "mark").agg(F.collect_list("pos").alias("_gone"))
-    positions = positions.select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"), "_gone")
-    marked = docs.withColumn("_mark", text_mark(F.col(text)))
+    positions = gone.groupBy("doc_id", "mark").agg(F.collect_list("pos").alias("_gone_lines"))
+    positions = positions.select(
+        F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark"), "_gone_lines"
+    )
+    marked = docs.withColumn("_line_dedup_mark", text_mark(F.col(text)))
     found = marked.join(
-        positions, (F.col(doc_id) == F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark")), "left"
+        positions, (F.col(doc_id) == F.col("_gone_id")) & (F.col("_line_dedup_mark") == F.col("_gone_mark")), "left"
     )
     drop = F.arrow_udf(_drop, "struct<kept_text: string, n_lines: bigint, n_dropped: bigint>")
-    return found.select(*docs.columns, drop(F.col(text), F.col("_gone")).alias("lines"))
+    others = [F.col(quoted(c)) for c in docs.columns if c != "lines"]
+    return found.select(*others, drop(F.col(text), F.col("_gone_lines")).alias("lines"))

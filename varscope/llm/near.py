@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from varscope.llm.blocks import U, blocks, find_words, mix, ngrams, span_hash, text_bytes, to_strings, within
 from varscope.llm.components import components
-from varscope.llm.tasks import text_rows
+from varscope.llm.tasks import carried, restored, text_rows
 from varscope.operators.joins import join_heavy
 from varscope.session import materialize
 
@@ -329,21 +329,14 @@ def verify(rows: DataFrame, connected: DataFrame, n: int, threshold: float) -> D
     return parts.mapInArrow(_verify(n, threshold), "node binary, links long, hangs_on binary")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    n: int = WORDS,
-    threshold: float = THRESHOLD,
-    tolerance: float = TOLERANCE,
-    doc_id: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """One row per input row: ``doc_id, class_id, n_links, n_copies``.
+def classes(
+    rows: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows ``doc_id, node, text``: (``doc_id, node`` of every row, row counts per node, classes per node).
 
-    ``class_id`` is the smallest id among documents connected by links, ``n_links`` the
-    number of rows linked with this one, equal texts included, ``n_copies`` the number of
-    rows of equal text.
+    The last has ``node, root, first_id, copies, class_id, links`` for every node; ``root``
+    is null for texts without words.
     """
-    rows = text_rows(docs, doc_id, text).withColumn("node", node_of(F.coalesce("text", F.lit(""))))
     ids = materialize(rows.select("doc_id", "node"))
     nodes = materialize(ids.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     schema = "node binary, bands array<long>, signature binary, grams long"
@@ -352,18 +345,37 @@ def near_duplicates(
 
     connected = worded.join(components(candidates(signed, threshold, tolerance)), "node")
     checked = materialize(verify(rows, connected, n, threshold))
-    classes = components(checked.filter("node <> hangs_on"), "node", "hangs_on")
+    linked = components(checked.filter("node <> hangs_on"), "node", "hangs_on")
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
 
-    placed = worded.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = worded.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("first_id").alias("class_id"))
     per_node = (
-        nodes.join(placed.select("node", "root"), "node", "left")
-        .join(named, "root", "left")
-        .join(links, "node", "left")
-        .select("node", "root", "copies", "class_id", "links")
+        nodes.join(placed.select("node", "root"), "node", "left").join(named, "root", "left").join(links, "node", "left")
     )
-    found = join_heavy(ids, per_node, ["node"], nodes, "copies")
+    return ids, nodes, per_node
+
+
+def with_node(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("node", node_of(F.coalesce("text", F.lit(""))))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    n: int = WORDS,
+    threshold: float = THRESHOLD,
+    tolerance: float = TOLERANCE,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """One row per input row: ``doc_id, class_id, n_links, n_copies``.
+
+    ``class_id`` is the smallest id among documents connected by links, ``n_links`` the
+    number of rows linked with this one, equal texts included, ``n_copies`` the number of
+    rows of equal text.
+    """
+    ids, nodes, per_node = classes(with_node(text_rows(docs, doc_id, text)), n, threshold, tolerance)
+    found = join_heavy(ids, per_node.drop("first_id"), ["node"], nodes, "copies")
     has_words = F.col("root").isNotNull()
     return found.select(
         "doc_id",
@@ -374,3 +386,24 @@ def near_duplicates(
         .alias("n_links"),
         F.col("copies").alias("n_copies"),
     )
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows again, of each class only one: that of its smallest id. All columns stay.
+
+    A row that repeats the kept one, id and text alike, goes as well. Rows without words
+    all stay.
+    """
+    rows = with_node(carried(docs, doc_id, text))
+    _, _, per_node = classes(rows)
+    kept = (
+        per_node.filter("root is not null and first_id <=> class_id")
+        .groupBy("root")
+        .agg(F.min_by(F.struct("node", "first_id"), "node").alias("kept"))
+        .select(F.col("kept.node").alias("_node"), F.col("kept.first_id").alias("_id"))
+    )
+    empty = rows.filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    # the id is part of the key, so that the copies of a text do not meet in one task
+    chosen = rows.join(kept, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    chosen = chosen.dropDuplicates(["doc_id", "node"])
+    return restored(chosen.select("text", "row").unionByName(empty.select("text", "row")), docs, text)

@@ -11,8 +11,7 @@ the number of documents. The posterior is a plain column expression of the count
 
 Defined results. A null or empty text has no words and fails the base rules. Repeated
 rows and rows without ``doc_id`` count and stay as rows of their own. Other columns pass
-through; the added ones are named by ``PREFIX``, so they cannot clash with names like
-``n_words``. Of an empty table the result is empty.
+through, but for those whose names start with ``PREFIX``, like the added ones. Of an empty table the result is empty.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varscope.llm.blocks import SPACE, blocks, code_points, find_words, ngrams, span_hash, text_bytes
+from varscope.llm.tasks import quoted
 
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters",
@@ -143,8 +143,9 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with one long column for each of COUNTS, named ``quality_<count>``."""
     counts = F.arrow_udf(_count, "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">")
     counted = docs.withColumn(f"{PREFIX}counts", counts(F.col(text).cast("string")))
+    others = [F.col(quoted(c)) for c in docs.columns if not c.startswith(PREFIX)]
     return counted.select(
-        *docs.columns, *(F.col(f"{PREFIX}counts.{c}").alias(PREFIX + c) for c in COUNTS)
+        *others, *(F.col(f"{PREFIX}counts.{c}").alias(PREFIX + c) for c in COUNTS)
     )
 
 

@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varscope.llm.tasks import carried, restored
+
 # The patterns of the base kinds, and how long a match must be.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -257,3 +259,17 @@ def redact(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """The text with every secret replaced by MARK. No match crosses a line, so lines go one by one."""
     lines = F.transform(F.split(text, "\n", -1), lambda line: let(spans(line, allowed), lambda s: _cover(line, s)))
     return F.array_join(lines, "\n")
+
+
+def may_hold(text: Column) -> Column:
+    """False for texts that certainly have no span."""
+    run = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % WINDOW
+    seen = text.rlike(ASSIGN) | text.rlike(r"AKIA[A-Z0-9]{16}") | text.rlike("[0-9a-f]{24}")
+    return seen | text.rlike(run)
+
+
+def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows with secrets replaced in the text. All columns stay."""
+    rows = carried(docs, doc_id, text)
+    clean = F.when(may_hold(F.col("text")), redact(F.col("text"))).otherwise(F.col("text"))
+    return restored(rows.withColumn("text", clean), docs, text)

@@ -22,3 +22,32 @@ def group_of(groups: int, *columns: str) -> Column:
 def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id bigint, text string) of the documents, whatever other columns they have."""
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, text, row``: the whole row travels as a struct, so that no name can clash."""
+    return docs.select(
+        F.col(doc_id).cast("bigint").alias("doc_id"),
+        F.col(text).cast("string").alias("text"),
+        F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"),
+    )
+
+
+def restored(rows: DataFrame, docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """The columns of ``docs`` from ``text`` and ``row``; where the text is new, ``chars`` counts it again."""
+    old = F.col("row").getField(text).cast("string")
+    changed = ~F.col("text").eqNullSafe(old)
+
+    def column(name: str) -> Column:
+        value = F.col("row").getField(name)
+        if name == text:
+            value = F.col("text").cast(docs.schema[name].dataType)
+        elif name == chars:
+            value = F.when(changed, F.char_length("text")).otherwise(value).cast(docs.schema[name].dataType)
+        return value.alias(name)
+
+    return rows.select(*(column(name) for name in docs.columns))

@@ -2,7 +2,7 @@ import glob
 import json
 
 import pytest
-from samples import FILES, SIMPLE_TEMPLATE
+from samples import FILES, INVENTORY, N_LOCATIONS, SIMPLE_TEMPLATE
 
 from varscope.operators import inventory as I
 from varscope.operators import reconcile, reports, selection, template, verdict
@@ -40,11 +40,11 @@ def test_json_report_is_the_document(spark, corpus):
     data = json.loads("\n".join(docs["r"]))
     # The layout is that of a standard two-space indented dump.
     assert "\n".join(docs["r"]) == json.dumps(data, indent=2, ensure_ascii=False)
-    assert len(data["findings"]) == 21
-    assert sum(len(f["locations"]) for f in data["findings"]) == 42
-    assert data["findings"][0]["default_value"] is None
-    assert data["findings"][0]["locations"] == [
-        {"file": "Dockerfile_sample", "line": 5, "column": 0, "snippet": "ARG BUILD_VERSION"}
+    assert len(data["findings"]) == len(INVENTORY)
+    assert sum(len(f["locations"]) for f in data["findings"]) == N_LOCATIONS
+    assert data["findings"][1]["default_value"] is None
+    assert data["findings"][3]["locations"] == [
+        {"file": "Dockerfile", "line": 5, "column": 0, "snippet": "  ENV THEME='dark'"}
     ]
     assert data["scanned_files"] == 7
     assert data["errors"] == ["File not found: lost.go", 'File not found: x/lost "1".py']
@@ -60,9 +60,9 @@ def test_markdown_report(spark, corpus):
         docs[r.repo] = docs.get(r.repo, "") + r.text
     lines = docs["r"].split("\n")
     assert lines[0] == "| Name | Type | Required | Default | Locations |"
-    assert "| VAR | STRING | yes |  | shell_sample.sh:4<br>shell_sample.sh:7 |" in lines
-    assert "| NODE_ENV | STRING | yes | production | Dockerfile_sample:8<br>javascript_sample.js:13 |" in lines
-    assert len(lines) == 24 and lines[-1] == ""
+    assert "| REGION | STRING | yes |  | ledger.py:11<br>relay.go:6 |" in lines
+    assert "| CACHE_PORT | PORT | yes | 6380 | Dockerfile:4<br>desk.ts:5 |" in lines
+    assert len(lines) == len(INVENTORY) + 3 and lines[-1] == ""
     assert docs["bare"] == reports.MARKDOWN_HEAD
 
 
@@ -77,8 +77,8 @@ def test_verdict_json(spark, corpus):
     for r in verdict.verdict_lines(merged, checked).orderBy("repo", "section", "pos").collect():
         docs.setdefault(r.repo, []).append(r.text)
     r, bare = (json.loads("\n".join(docs[repo])) for repo in ("r", "bare"))
-    assert (r["status"], len(r["new_vars"]), r["stale_vars"], r["scanned_files"]) == ("fail", 17, ["APP_NAME"], 7)
-    assert r["new_vars"][:2] == ["BUILD_VERSION", "NODE_ENV"]
+    assert (r["status"], len(r["new_vars"]), r["stale_vars"], r["scanned_files"]) == ("fail", len(INVENTORY) - 3, ["LEGACY_FLAG"], 7)
+    assert r["new_vars"][:2] == ["QUEUE_DSN", "CACHE_PORT"]
     assert bare == {"status": "pass", "new_vars": [], "stale_vars": ["OLD"], "scanned_files": 1}
     numbered = with_ordinal(
         merged.filter("status <> 'EXISTING'").select("repo", "status", "pos", "key"), ["repo", "status"], ["pos"]
@@ -99,9 +99,9 @@ def test_long_lists_continue_in_further_rows(spark):
 def test_sinks_round_trip(spark, corpus, tmp_path):
     _, _, found, _ = corpus
     sinks.write_table(found, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 21
+    assert spark.read.parquet(str(tmp_path / "t")).count() == len(INVENTORY)
     sinks.write_json(found, str(tmp_path / "j"))
-    assert spark.read.json(str(tmp_path / "j")).filter("default_value is null").count() == 11
+    assert spark.read.json(str(tmp_path / "j")).filter("default_value is null").count() == 7
     entries = template.parse_templates(
         spark.createDataFrame([("r", SIMPLE_TEMPLATE)], "repo string, content string")
     )
@@ -109,8 +109,8 @@ def test_sinks_round_trip(spark, corpus, tmp_path):
     sinks.write_documents(blocks, str(tmp_path / "d"), ("pos",))
     parts = sorted(glob.glob(str(tmp_path / "d" / "repo=r" / "part-*")))
     text = "".join(open(p, encoding="utf-8").read() for p in parts)
-    assert text.startswith(SIMPLE_TEMPLATE.split("APP_NAME")[0] + "# UNUSED")
-    assert text.count("\n") == 4 + 2 + 17 * 2
+    assert text.startswith(SIMPLE_TEMPLATE.split("LEGACY_FLAG")[0] + "# UNUSED")
+    assert text.count("\n") == 3 + 2 + (len(INVENTORY) - 3) * 2
 
 
 def test_sources_read_tables(spark, files_of, tmp_path):

@@ -24,11 +24,11 @@ def test_sample_templates(spark):
         for repo, rows in got.items()
     }
     assert brief == {
-        "a": [(k, 0, False) for k in ("DATABASE_URL", "API_KEY", "DEBUG", "PORT", "APP_NAME")],
-        "b": [("DATABASE_URL", 1, False), ("API_KEY", 2, True), ("DEBUG", 1, True), ("PORT", 1, True)],
+        "a": [(k, 0, False) for k in ("THEME", "GIT_REF", "PAGE_SIZE", "LEGACY_FLAG")],
+        "b": [("THEME", 1, False), ("GIT_REF", 2, False), ("PAGE_SIZE", 1, True)],
         "c": [
-            ("DATABASE_URL", 1, False), ("DATABASE_POOL_SIZE", 0, False), ("API_KEY", 1, True),
-            ("API_SECRET", 0, False), ("HOST", 1, True), ("PORT", 0, False), ("DEBUG", 0, False),
+            ("RELAY_ENABLED", 1, False), ("QUEUE_DSN", 1, True), ("RETRIES", 0, False), ("REGION", 0, False),
+            ("DESK_HOST", 1, True),
         ],
     }
 
@@ -116,17 +116,14 @@ def sample(spark, files_of):
 def test_reconcile_sample(sample):
     found, entries = sample
     rows = reconcile.reconcile(found, entries(SIMPLE_TEMPLATE)).orderBy("pos").collect()
-    assert [(r.key, r.status) for r in rows[:5]] == [
-        ("DATABASE_URL", "EXISTING"), ("API_KEY", "EXISTING"), ("DEBUG", "EXISTING"),
-        ("PORT", "EXISTING"), ("APP_NAME", "STALE"),
-    ]
-    assert list(rows[4].comments) == ["# UNUSED (not found in codebase): APP_NAME"]
-    assert rows[4].value == "myapp"
-    known = {"DATABASE_URL", "API_KEY", "DEBUG", "PORT"}
+    known = ["THEME", "GIT_REF", "PAGE_SIZE"]
+    assert [(r.key, r.status) for r in rows[:4]] == [(k, "EXISTING") for k in known] + [("LEGACY_FLAG", "STALE")]
+    assert list(rows[3].comments) == ["# UNUSED (not found in codebase): LEGACY_FLAG"]
+    assert rows[3].value == "0"
     new = [r for r in rows if r.status == "NEW"]
     assert [r.key for r in new] == [i[0] for i in INVENTORY if i[0] not in known]
-    assert {r.key: r.value for r in new}["LOG_LEVEL"] == "INFO"
-    assert {r.key: r.value for r in new}["VAR"] == ""
+    assert {r.key: r.value for r in new}["CACHE_PORT"] == "6380"
+    assert {r.key: r.value for r in new}["REGION"] == ""
 
 
 def test_join_parts_agree_with_reconcile(sample):
@@ -150,7 +147,7 @@ def test_join_parts_agree_with_reconcile(sample):
     [
         (SIMPLE_TEMPLATE, ("fail", 1), 1),
         ("".join(f"{i[0]}=\n" for i in INVENTORY), ("pass", 0), 0),
-        ("APP_NAME=\n" + "".join(f"{i[0]}=\n" for i in INVENTORY), ("pass", 0), 2),
+        ("LEGACY_FLAG=\n" + "".join(f"{i[0]}=\n" for i in INVENTORY), ("pass", 0), 2),
     ],
 )
 def test_check(spark, sample, text, plain, strict):
@@ -164,11 +161,11 @@ def test_check(spark, sample, text, plain, strict):
 
 
 def test_rendering(spark):
-    text = "# DB connection string\nDATABASE_URL=postgres://localhost/mydb\n\n# API auth key\nAPI_KEY=key # inline\n"
+    text = "# where ships report\nHARBOUR=north\n\n# signs the log\nSIGNING_KEY=k # inline\n"
     templates = spark.createDataFrame([("r", text), ("empty", "\n# nothing\n")], "repo string, content string")
     entries = template.parse_templates(templates)
     found = spark.createDataFrame(
-        [("r", n, None, (0, ["a"], 1, 0)) for n in ("DATABASE_URL", "API_KEY")],
+        [("r", n, None, (0, ["a"], 1, 0)) for n in ("HARBOUR", "SIGNING_KEY")],
         "repo string, name string, default_value string, "
         "first_pos struct<rank: bigint, parts: array<string>, line: int, column: int>",
     )
@@ -179,17 +176,17 @@ def test_rendering(spark):
     # Stale notices pile up run after run, everything else is stable.
     stale = reconcile.entry_lines(reconcile.reconcile(found.limit(0), entries)).orderBy("pos").collect()
     assert stale[1].text == (
-        "\n# UNUSED (not found in codebase): API_KEY\n# API auth key\nAPI_KEY=key # inline"
+        "\n# UNUSED (not found in codebase): SIGNING_KEY\n# signs the log\nSIGNING_KEY=k # inline"
     )
 
 
 def test_undescribed_and_blocks(spark, sample):
     found, entries = sample
-    text = "# Added by varscope\n#\nAPI_KEY=1\n# real\nPORT=1\nDEBUG=1\n# real\nDEBUG=2\nGONE=1\n"
+    text = "# Added by varscope\n#\nGIT_REF=1\n# real\nTHEME=1\nREGION=1\n# real\nREGION=2\nGONE=1\n"
     rows = reconcile.undescribed(found, entries(text)).collect()
     existing = {r.name for r in rows if r.existing}
-    assert existing == {"API_KEY", "DEBUG"}
-    assert {r.name for r in rows} == {i[0] for i in INVENTORY} - {"PORT"}
+    assert existing == {"GIT_REF", "REGION"}
+    assert {r.name for r in rows} == {i[0] for i in INVENTORY} - {"THEME"}
     block = spark.createDataFrame([("d", "e"), ("d", "")], ["d", "e"]).select(
         reconcile.description_block(F.col("d"), F.col("e"))
     )

@@ -99,6 +99,23 @@ JS_CASES = [
     ("`${x ? `y${process.env.A}` : ''}` + process.env.B", [("A", 11), ("B", 36)]),
     ("/* process.env.NO\n*/ '\\' process.env.NO'", []),
     ("const {A} = process.env;", []),
+    ("`a${f(() => { if (a) { g({ k: { v: process.env.A } }) } })}`", [("A", 35)]),
+    ("`a${f('}') + process.env.A}`", [("A", 13)]),
+    ("`a${ `process.env.NO` }`; process.env.A", [("A", 26)]),
+    ("`${`${`${process.env.A} ${process.env.B}`}`}` + process.env.C", [("A", 9), ("B", 26), ("C", 48)]),
+    ("p.replace(/\\/*$/, '')\nprocess.env.A", [("A", 0)]),
+    ("x = /[/*]/\nprocess.env.A", [("A", 0)]),
+    ("s.split(/`/); process.env.A", [("A", 14)]),
+    ('x.match(/"/g) || process.env.A', [("A", 17)]),
+    ("u = /https?:\\/\\//; process.env.A", [("A", 19)]),
+    ("a = b / c / process.env.A / 'x'", [("A", 12)]),
+    ("return /'/.test(process.env.A)", [("A", 16)]),
+    ("<p>Don't {process.env.A} won't</p>", [("A", 10)]),
+    ("<p>http://x {process.env.A}</p>", [("A", 13)]),
+    ("<p>src/*.js ` {process.env.A}</p>", [("A", 15)]),
+    ("`http://${process.env.A}/it's` + process.env.B", [("A", 10), ("B", 33)]),
+    ("case'process.env.NO': x = 'open\nprocess.env.A", [("A", 0)]),
+    ("// it's\nprocess.env.A /* ' */ + process.env.B // process.env.NO", [("A", 0), ("B", 24)]),
 ]
 
 
@@ -204,3 +221,15 @@ def test_result_does_not_depend_on_partitioning(spark, files_of):
     one = {r.name: r for r in inventory(refs.coalesce(1)).collect()}
     many = {r.name: r for r in inventory(refs.repartition(13)).collect()}
     assert one == many
+
+
+def test_many_references_on_one_line(spark, files_of):
+    n = 1500
+    text = ";".join(f"é(process.env.V{k})" for k in range(n))
+    rows = extract(files_of({"a.js": text})).select("name", "line", "column").collect()
+    data, at, want = text.encode(), 0, []
+    for k in range(n):
+        at = data.index(b"process.env", at)
+        want.append((f"V{k}", 1, at))
+        at += 1
+    assert sorted(map(tuple, rows), key=lambda r: r[2]) == want

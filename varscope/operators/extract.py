@@ -19,6 +19,7 @@ from varscope.functions.text import WS, WS_INLINE, decode, rstrip, strip, unify_
 from varscope.operators.languages import (
     DEFAULT_LANGUAGES,
     END,
+    OPENS,
     START,
     Language,
     LexedLanguage,
@@ -99,13 +100,18 @@ def _tag_tokens(text: Column, spec: LexedLanguage) -> Column:
     """Put START tag END before every token; the tag tells what the token is.
 
     One pass matches references, comments and literals from left to right, so a
-    reference inside a comment or literal is swallowed by it.
+    reference inside a comment or literal is swallowed by it. A language read by a stack
+    only has its possible openings marked here.
     """
+    if spec.opener:
+        return F.regexp_replace(text, spec.opener, OPENS + "$0")
     return F.regexp_replace(text, spec.token, _tags(spec))
 
 
 def _keep_references(tagged: Column, spec: LexedLanguage) -> Column:
     """Leave one START before every reference that is code and drop all other marks."""
+    if spec.opener:
+        return _read_by_stack(tagged, spec)
     marked = tagged
     if spec.interpolated:
         opens = [tag + END for tag in spec.interpolation_tags]
@@ -146,23 +152,144 @@ def _keep_references(tagged: Column, spec: LexedLanguage) -> Column:
     return F.replace(marked, F.lit(START + spec.anchor + END), F.lit(START))
 
 
+# What the stack holds, the innermost last: a brace or embedded code, or an open literal.
+_BRACE, _EMBEDDED, _TEMPLATE, _DOUBLE, _SINGLE, _LINE, _BLOCK, _REGEX, _CLASS = "BITDSLMRK"
+
+
+def _read_by_stack(tagged: Column, spec: LexedLanguage) -> Column:
+    """START before every reference that is code, found by one pass over the delimiters.
+
+    The pass keeps the literals and braces that are open, so code may be embedded in
+    literals, and literals in code, to any depth.
+    """
+
+    def move(stack: Column, token: Column) -> Column:
+        top = F.substring(stack, -1, 1)
+        plain = F.replace(token, F.lit(OPENS), F.lit(""))
+        opens = token.startswith(OPENS)
+        popped = F.substring(stack, F.lit(1), F.length(stack) - 1)
+        push = lambda mode: F.concat(stack, F.lit(mode))
+        in_code = (
+            F.when((token == "{") | (token == "${"), push(_BRACE))
+            .when(token == "}", popped)
+            .when(token == "//", push(_LINE))
+            .when(~opens, stack)
+            .when(plain == "`", push(_TEMPLATE))
+            .when(plain == '"', push(_DOUBLE))
+            .when(plain == "'", push(_SINGLE))
+            .when(plain == "/", push(_REGEX))
+            .when(plain == "/*", push(_BLOCK))
+            .otherwise(stack)
+        )
+        line_end = token == "\n"
+        return (
+            F.when(top.isin("", _BRACE, _EMBEDDED), in_code)
+            .when(
+                top == _TEMPLATE,
+                F.when(plain == "`", popped).when(token == "${", push(_EMBEDDED)).otherwise(stack),
+            )
+            .when(top == _LINE, F.when(line_end, popped).otherwise(stack))
+            .when(top == _BLOCK, F.when(plain == "*/", popped).otherwise(stack))
+            .when(top == _DOUBLE, F.when((plain == '"') | line_end, popped).otherwise(stack))
+            .when(top == _SINGLE, F.when((plain == "'") | line_end, popped).otherwise(stack))
+            .when(
+                top == _REGEX,
+                F.when(plain.isin("/", "//", "*/", "/*") | line_end, popped)
+                .when(token == "[", push(_CLASS))
+                .otherwise(stack),
+            )
+            .otherwise(
+                F.when(token == "]", popped)
+                .when(line_end, F.substring(stack, F.lit(1), F.length(stack) - 2))
+                .otherwise(stack)
+            )
+        )
+
+    def is_reference(token: Column) -> Column:
+        return token.startswith(spec.anchor)
+
+    def step(acc: Column, at: Column) -> Column:
+        code = F.substring(acc["stack"], -1, 1).isin("", _BRACE, _EMBEDDED)
+        found = is_reference(at["token"])
+        return F.struct(
+            F.when(found, acc["stack"]).otherwise(move(acc["stack"], at["token"])).alias("stack"),
+            F.when(found & code, F.concat(acc["kept"], F.array(at["place"])))
+            .otherwise(acc["kept"])
+            .alias("kept"),
+        )
+
+    def rebuilt(tokens: Column) -> Column:
+        gaps = F.split(tagged, spec.delimiter, -1)
+        places = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("place")))
+        start = F.struct(F.lit("").alias("stack"), F.expr("cast(array() as array<int>)").alias("kept"))
+        kept = F.aggregate(places, start, step, lambda acc: acc["kept"])
+
+        def join(kept: Column) -> Column:
+            marked = F.transform(
+                tokens,
+                lambda t, i: F.when(
+                    is_reference(t) & F.array_contains(kept, i), F.concat(F.lit(START), t)
+                ).otherwise(t),
+            )
+            return F.array_join(
+                F.zip_with(gaps, marked, lambda gap, t: F.concat(gap, F.coalesce(t, F.lit("")))), ""
+            )
+
+        return _let(kept, join)
+
+    tokens = F.regexp_extract_all(tagged, F.lit(spec.delimiter), F.lit(0))
+    return F.replace(_let(tokens, rebuilt), F.lit(OPENS), F.lit(""))
+
+
+# Pieces of a line that one running sum covers, so that many pieces do not cost their square.
+_CHUNK = 256
+
+
 def _places(marked: Column) -> Column:
     """ARRAY<STRUCT<line, column, snippet>>, one per START, in reading order."""
 
+    def ends(pieces: Column) -> Column:
+        """Bytes up to the end of each piece but the last, by running sums in chunks."""
+
+        def run(sizes: Column, base: Column) -> Column:
+            zero = F.struct(base.alias("sum"), F.expr("cast(array() as array<int>)").alias("sums"))
+            return F.aggregate(
+                sizes,
+                zero,
+                lambda acc, n: F.struct(
+                    (acc["sum"] + n).alias("sum"), F.concat(acc["sums"], F.array(acc["sum"] + n)).alias("sums")
+                ),
+                lambda acc: acc["sums"],
+            )
+
+        def chunked(sizes: Column) -> Column:
+            n_chunks = F.ceil(F.size(sizes) / _CHUNK).cast("int")
+            chunks = F.transform(
+                F.sequence(F.lit(0), n_chunks - 1), lambda k: F.slice(sizes, k * _CHUNK + 1, F.lit(_CHUNK))
+            )
+            total = lambda c: F.aggregate(c, F.lit(0), lambda a, n: a + n)
+            return _let(
+                chunks,
+                lambda cs: F.flatten(
+                    F.zip_with(
+                        cs,
+                        F.concat(F.array(F.lit(0)), run(F.transform(cs, total), F.lit(0))),
+                        lambda c, base: F.when(c.isNull(), F.array()).otherwise(run(c, base)),
+                    )
+                ),
+            )
+
+        sizes = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.octet_length)
+        return _let(sizes, lambda s: F.when(F.size(s) <= _CHUNK, run(s, F.lit(0))).otherwise(chunked(s)))
+
     def on_line(line: Column, index: Column) -> Column:
+        snippet = F.replace(line, F.lit(START), F.lit(""))
         return _let(
-            F.struct(
-                F.split(line, START).alias("pieces"),
-                F.replace(line, F.lit(START), F.lit("")).alias("snippet"),
-            ),
+            F.struct(ends(F.split(line, START)).alias("columns"), snippet.alias("snippet")),
             lambda l: F.transform(
-                F.slice(l["pieces"], F.lit(1), F.size(l["pieces"]) - 1),
-                lambda _, i: F.struct(
-                    (index + 1).alias("line"),
-                    F.octet_length(
-                        F.array_join(F.slice(l["pieces"], F.lit(1), i + 1), "")
-                    ).alias("column"),
-                    l["snippet"].alias("snippet"),
+                l["columns"],
+                lambda column: F.struct(
+                    (index + 1).alias("line"), column.alias("column"), l["snippet"].alias("snippet")
                 ),
             ),
         )
@@ -400,7 +527,7 @@ def _build_stages(languages: tuple[Language, ...]) -> _Stages:
     ).otherwise(F.col("other") == "ARG=")
     return _Stages(
         language=candidate_language(F.col("path"), F.col("content"), languages),
-        text=F.translate(decode(F.col("content")), START + END, "\uFFFD\uFFFD"),
+        text=F.translate(decode(F.col("content")), START + END + OPENS, "\uFFFD\uFFFD\uFFFD"),
         tagged=_by_language(languages, tagged, F.lit(None)),
         marked=_by_language(languages, marked, F.col("_tagged")),
         known=_by_language(languages, known, F.lit(None).cast("array<string>")),

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 # Marks written into a text: START before a reference, END after a tag. Noncharacters
 # of three UTF-8 bytes, so replacing one that a file already holds keeps byte columns.
 START, END = "\uFDD0", "\uFDD1"
-
+# Put before a delimiter that can open a literal at its place.
+OPENS = "\uFDD8"
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,9 @@ class LexedLanguage:
     skip:          comments and plain string literals.
     interpolated:  string literal with embedded code, capturing one tag character.
     opening:       where embedded code starts inside such a literal.
+    opener:        delimiters that can open a literal where they stand; the language is then
+                   read by a stack of open literals and braces, and ``interpolated`` is unused.
+    delimiter:     references and everything that opens or closes something.
     call:          read at a reference; always matches there. Groups: see the next fields.
     """
 
@@ -40,6 +44,8 @@ class LexedLanguage:
     interpolated: str | None = None
     interpolation_tags: tuple[str, ...] = ()
     opening: str | None = None
+    opener: str | None = None
+    delimiter: str | None = None
 
     @property
     def token(self) -> str:
@@ -91,20 +97,37 @@ PYTHON = LexedLanguage(
     other_argument_group=3,
 )
 
+# A spread (`...process.env`) is a reference, a member (`x.process.env`) is not.
+_JS_HEAD = (
+    r"(?<![\w$])(?<!(?<!\.\.)\.)(process)\s*+(?:\?\s*+)?\.\s*+env(?![\w$])\s*+"
+    r"(?:(?:\?\s*+)?\.\s*+(?=[\p{L}_$])|\[)"
+)
+# Words after which an expression begins.
+_JS_WORDS = "return|typeof|case|in|of|delete|void|throw|new|do|else|await|yield|instanceof|from|import|export|default|as"
+# A quote right after a word is text (`Don't`), unless an expression begins there.
+_JS_CODE_WORD = rf"(?:(?<![\p{{L}}\p{{N}}])|(?<=(?<![\w$])(?:{_JS_WORDS})))"
+# A slash begins a regex literal where an operand is expected, else it divides.
+_JS_REGEX_PLACE = (
+    rf"(?:(?<=[(,=:\[!&|?;{{}}+\-*%~^>\n]\s{{0,9}})|(?<=(?<![\w$.])(?:{_JS_WORDS})\s{{0,9}})|(?<=^\s{{0,9}}))"
+)
+
 JAVASCRIPT = LexedLanguage(
     name="javascript",
     extensions=(".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx"),
     guards=("process",),
     anchor="process",
-    # A spread (`...process.env`) is a reference, a member (`x.process.env`) is not.
-    head=(
-        r"(?<![\w$])(?<!(?<!\.\.)\.)(process)\s*+(?:\?\s*+)?\.\s*+env(?![\w$])\s*+"
-        r"(?:(?:\?\s*+)?\.\s*+(?=[\p{L}_$])|\[)"
+    head=_JS_HEAD,
+    skip="(?!)",
+    # An opening delimiter has its closing one: on the line for quotes and regex literals.
+    opener=(
+        rf"(?<!\\)(?:{_JS_CODE_WORD}(?:\"(?=(?:[^\"\\\n]|\\[\s\S])*+\")|'(?=(?:[^'\\\n]|\\[\s\S])*+'))"
+        rf"|{_JS_REGEX_PLACE}/(?![/*])(?=(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/)"
+        r"|`(?=[^`]*+`)|/\*(?=(?:[^*]++|\*(?!/))*+\*/))"
+    ),
+    delimiter=(
+        rf"{_JS_HEAD}|\\[\s\S]|{OPENS}/\*|\*{OPENS}?/|(?<!(?:https?|wss?|ftp|file):)//|{OPENS}?[\"'`/]"
+        r"|\$\{|[{}\[\]\n]"
     ),
-    skip=rf"{_C_COMMENT}|{_DOUBLE}?|{_SINGLE}?",
-    interpolated=r"(`)(?:[^`\\]++|\\[\s\S])*+`?",
-    interpolation_tags=("`",),
-    opening=r"(?<!\\)\$\{",
     call=(
         rf"{START}process\s*+(?:\?\s*+)?\.\s*+env\s*+(?:(?:\?\s*+)?\.\s*+([\p{{L}}_$][\p{{L}}\p{{N}}_$]*+)"
         rf"|\[(?:\s*+({_DOUBLE}|{_SINGLE})\s*+\])?)"

@@ -116,6 +116,22 @@ IGNORE_CASES = [
     (["/"], "a.py", False),
     (["foo  "], "foo", True),
     (["foo\\ "], "foo ", True),
+    (["[[]x"], "[x", True),
+    (["[[]x"], "ax", False),
+    (["a[&&]b"], "a&b", True),
+    (["[a&&b].txt"], "a.txt", True),
+    (["[a&&b].txt"], "&.txt", True),
+    (["[*]x"], "ax", False),
+    (["[*]x"], "*x", True),
+    (["[?]x"], "ax", False),
+    (["[?]x"], "?x", True),
+    (["[]a]x"], "]x", True),
+    (["[^a]x"], "^x", True),
+    (["[a^]x"], "^x", True),
+    (["[a-\\]"], "a", False),
+    (["[+-\\]]"], "-]", True),
+    (["x[0-9][!a-c].py"], "x1d.py", True),
+    (["x[0-9][!a-c].py"], "x1b.py", False),
 ]
 
 
@@ -143,14 +159,25 @@ def test_rule_sets_do_not_mix(spark):
     assert sorted(map(tuple, selection.apply_rules(files, rules).collect())) == [("r", "c.go"), ("s", "a.py")]
 
 
-def test_regex_list_is_compact(spark):
+def test_runs_of_rules_are_compact(spark):
     rules = spark.createDataFrame(
-        [("r", "gitignore", 1, "a"), ("r", "gitignore", 2, "!b"), ("r", "gitignore", 3, "c")],
+        [("r", "gitignore", n, p) for n, p in enumerate(["a", "b", "!b", "!c", "d", "[z-a]"])],
         "repo string, kind string, ord int, pattern string",
     )
-    row = ignore.exclusion_regexes(rules).first()
-    assert row.exclude_regex == ""
-    assert row.ignore_regex.startswith("^(?:.+/)?c(?:/.*)?$|(?!")
+    row = ignore.exclusion_rules(rules).first()
+    assert list(row.exclude_rules) == []
+    assert [r.negated for r in row.ignore_rules] == [False, True, False]
+    assert [tuple(r) for r in ignore.rule_errors(rules).collect()] == [("r", "gitignore", 5, "[z-a]")]
+
+
+def test_ten_thousand_rules(spark):
+    signs = ["*.py"] + [f"{'!' if n % 2 else ''}f{n}.py" for n in range(10_000)]
+    rules = spark.createDataFrame(
+        [("r", "gitignore", n, p) for n, p in enumerate(signs)], "repo string, kind string, ord int, pattern string"
+    )
+    files = spark.createDataFrame([("r", f"f{n}.py") for n in (0, 1, 9_998, 9_999)] + [("r", "x.py"), ("r", "x.go")], ["repo", "path"])
+    kept = {r.path for r in selection.apply_rules(files, rules).collect()}
+    assert kept == {"f1.py", "f9999.py", "x.go"}
 
 
 def test_ordinals_are_dense_over_many_slices(spark):

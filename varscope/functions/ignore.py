@@ -1,8 +1,8 @@
 """Ignore patterns as regular expressions, and the last-match-wins decision.
 
-A repository's ordered rules become ONE regex: going through the rules in order, a
-plain rule is added as an alternative and a negated rule guards everything before it
-with a negative lookahead. A path is excluded if and only if that regex matches it.
+A repository's ordered rules become a list of regexes, one for each run of rules of the
+same sign: a run of plain rules excludes, a run of negated ones takes back. The last run
+that matches a path decides. Rules without negation are a single regex.
 """
 
 from __future__ import annotations
@@ -14,8 +14,30 @@ from varscope.functions.paths import prefixes
 
 # Matches nothing, written without a lookahead.
 NEVER = "$.^"
-# Noncharacters that stand for translated wildcards while the rest is being escaped.
-_ANY_DIRS, _BELOW, _STARS, _ONE, _SEGMENT, _NOT = (chr(0xFDD2 + n) for n in range(6))
+# Noncharacters that stand for translated parts while the rest is being escaped.
+_ANY_DIRS, _BELOW, _STARS, _ONE, _SEGMENT, _CLASS = (chr(0xFDD2 + n) for n in range(6))
+# A character class; a `[` without its `]` is an ordinary character.
+CLASS = r"(?<!\\)\[[!^]?\]?[^\]]*+\]"
+
+
+def _class_regex(cls: Column) -> Column:
+    """A class in which only ranges and the leading negation have a meaning."""
+    negated = cls.rlike(r"^\[[!^]")
+    inner = F.regexp_replace(cls, r"^\[[!^]?|\]$", "")
+    quoted = F.regexp_replace(inner, r"[\[\]&^\\]", r"\\$0")
+    return F.concat(F.when(negated, "[^").otherwise("["), quoted, F.lit("]"))
+
+
+def unreadable(pattern: Column) -> Column:
+    """True for a pattern with a range that runs backwards, which no reader accepts."""
+    classes = F.regexp_extract_all(pattern, F.lit(CLASS), F.lit(0))
+
+    def backwards(cls: Column) -> Column:
+        inner = F.regexp_replace(cls, r"^\[[!^]?|\]$", "")
+        ranges = F.regexp_extract_all(inner, F.lit(r"[\s\S]-[\s\S]"), F.lit(0))
+        return F.exists(ranges, lambda r: F.substring(r, 1, 1) > F.substring(r, 3, 1))
+
+    return F.exists(classes, backwards)
 
 
 def pattern_regex(pattern: Column) -> Column:
@@ -26,9 +48,9 @@ def pattern_regex(pattern: Column) -> Column:
     rooted = F.contains(body, F.lit("/"))
     body = F.regexp_replace(body, "^/", "")
 
-    # A `[` without its `]` is an ordinary character.
-    body = F.regexp_replace(body, r"(?<!\\)\[(?![!^]?\]?[^\]]*\])", r"\\[")
-    body = F.regexp_replace(body, r"(?<!\\)\[[!^]", "[" + _NOT)
+    # Classes are set aside, so that nothing inside them is read as a wildcard.
+    classes = F.regexp_extract_all(body, F.lit(CLASS), F.lit(0))
+    body = F.regexp_replace(body, CLASS, _CLASS)
     body = F.regexp_replace(body, r"^(?:\*\*/)+", _ANY_DIRS)
     body = F.regexp_replace(body, r"/(?:\*\*/)+", "/" + _ANY_DIRS)
     body = F.regexp_replace(body, r"/\*\*$", _BELOW)
@@ -38,12 +60,18 @@ def pattern_regex(pattern: Column) -> Column:
     # Escaped letters and digits mean themselves; every other escape is kept.
     body = F.regexp_replace(body, r"\\([A-Za-z0-9])", "$1")
     body = F.regexp_replace(body, r"\\$", "")
-    body = F.regexp_replace(body, r"(?<!\\)([.+^$(){}|])", r"\\$1")
+    body = F.regexp_replace(body, r"(?<!\\)([.+^$(){}|\[\]])", r"\\$1")
     for mark, regex in (
         (_ANY_DIRS, "(?:.+/)?"), (_BELOW, "/.*"), (_STARS, "[^/]*"),
-        (_ONE, "[^/]"), (_SEGMENT, "[^/]+"), (_NOT, "^"),
+        (_ONE, "[^/]"), (_SEGMENT, "[^/]+"),
     ):
         body = F.replace(body, F.lit(mark), F.lit(regex))
+    filled = F.zip_with(
+        F.split(body, _CLASS, -1),
+        F.transform(classes, _class_regex),
+        lambda piece, cls: F.concat(piece, F.coalesce(cls, F.lit(""))),
+    )
+    body = F.array_join(filled, "")
     return F.concat(
         F.when(rooted, F.lit("^")).otherwise(F.lit("^(?:.+/)?")),
         body,
@@ -60,11 +88,6 @@ def parse_rules(rules: DataFrame) -> DataFrame:
     bare = F.when(negated, F.substring(F.col("text"), F.lit(2), F.length("text"))).otherwise(
         F.col("text")
     )
-    # Nothing can be matched by a class whose range runs backwards.
-    backwards = F.exists(
-        F.regexp_extract_all(F.col("bare"), F.lit(r"\[[^\]]*?(\w-\w)"), F.lit(1)),
-        lambda r: F.substring(r, 1, 1) > F.substring(r, 3, 1),
-    )
     return (
         rules.withColumn("text", text)
         .filter((F.col("text") != "") & ~F.col("text").startswith("#") & (F.col("text") != "/"))
@@ -73,29 +96,39 @@ def parse_rules(rules: DataFrame) -> DataFrame:
         .filter(F.col("bare") != "")
         .select(
             "repo", "kind", "ord", "negated",
-            F.when(backwards, NEVER).otherwise(pattern_regex(F.col("bare"))).alias("regex"),
+            F.when(unreadable(F.col("bare")), NEVER).otherwise(pattern_regex(F.col("bare"))).alias("regex"),
         )
     )
 
 
-def _decision(ordered: Column) -> Column:
-    """Fold ordered (negated, regex) rules into one regex; '' excludes nothing."""
-    return F.aggregate(
-        ordered,
-        F.lit(""),
-        lambda acc, rule: F.when(
-            rule["negated"],
-            F.when(acc == "", "").otherwise(
-                F.concat(F.lit("(?!"), rule["regex"], F.lit(")(?:"), acc, F.lit(")"))
-            ),
+def rule_errors(rules: DataFrame) -> DataFrame:
+    """(repo, kind, ord, pattern) of the rules that cannot be read; they exclude nothing."""
+    text = F.trim(F.col("pattern"))
+    return rules.filter(~text.startswith("#") & unreadable(text)).select("repo", "kind", "ord", "pattern")
+
+
+RUNS = "array<struct<negated: boolean, regex: string>>"
+
+
+def _runs(ordered: Column) -> Column:
+    """Join neighbouring (negated, regex) rules of one sign to alternatives."""
+
+    def add(acc: Column, rule: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(
+            rule["negated"].alias("negated"), F.concat(last["regex"], F.lit("|"), rule["regex"]).alias("regex")
         )
-        .when(acc == "", rule["regex"])
-        .otherwise(F.concat(rule["regex"], F.lit("|"), acc)),
-    )
+        own = F.struct(rule["negated"].alias("negated"), rule["regex"].alias("regex"))
+        same = F.coalesce(last["negated"] == rule["negated"], F.lit(False))
+        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(
+            F.concat(acc, F.array(own))
+        )
+
+    return F.aggregate(ordered, F.expr(f"cast(array() as {RUNS})"), add)
 
 
-def exclusion_regexes(rules: DataFrame) -> DataFrame:
-    """One row per repo: regex of its ignore file and regex of its exclude globs.
+def exclusion_rules(rules: DataFrame) -> DataFrame:
+    """One row per repo: the runs of its ignore file and those of its exclude globs.
 
     The two sets are separate: a negation in one never revives a path excluded by the
     other. A group holds one ignore file's lines, so collecting it is bounded.
@@ -105,24 +138,32 @@ def exclusion_regexes(rules: DataFrame) -> DataFrame:
         return F.array_sort(F.collect_list(row))
 
     return parse_rules(rules).groupBy("repo").agg(
-        _decision(ordered("gitignore")).alias("ignore_regex"),
-        _decision(ordered("exclude")).alias("exclude_regex"),
+        _runs(ordered("gitignore")).alias("ignore_rules"),
+        _runs(ordered("exclude")).alias("exclude_rules"),
     )
 
 
-def matches(path: Column, regex: Column) -> Column:
-    """True if any gating prefix of ``path`` is matched by ``regex`` (NULL or '': no rules).
+def matches(path: Column, runs: Column) -> Column:
+    """True if any gating prefix of ``path`` is excluded by ``runs`` (NULL or empty: no rules).
 
     A rule that matches a directory also matches everything below it, so without
     negations the whole path decides alone. With them every prefix is asked, because an
     excluded directory keeps its content excluded. ``regexp_extract`` keeps the last
     compiled pattern, which ``rlike`` does not.
     """
-    def hit(p: Column) -> Column:
+    def hit(p: Column, regex: Column) -> Column:
         return F.call_function("regexp_extract", p, regex, F.lit(0)) != ""
 
+    def decided(p: Column) -> Column:
+        return F.aggregate(
+            runs,
+            F.lit(False),
+            lambda out, run: F.when(hit(p, run["regex"]), ~run["negated"]).otherwise(out),
+        )
+
+    first = F.get(runs, F.lit(0))
     return (
-        F.when(F.coalesce(regex, F.lit("")) == "", F.lit(False))
-        .when(~F.contains(regex, F.lit("(?!")), hit(path))
-        .otherwise(F.exists(prefixes(path), hit))
+        F.when(F.coalesce(F.size(runs), F.lit(0)) <= 0, F.lit(False))
+        .when((F.size(runs) == 1) & ~first["negated"], hit(path, first["regex"]))
+        .otherwise(F.exists(prefixes(path), decided))
     )

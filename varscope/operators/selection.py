@@ -28,7 +28,7 @@ def filter_extensions(files: DataFrame, extensions: Iterable[str]) -> DataFrame:
 
 
 def _excluded(kinds: Sequence[str]):
-    column = {"gitignore": "ignore_regex", "exclude": "exclude_regex"}
+    column = {"gitignore": "ignore_rules", "exclude": "exclude_rules"}
     test = F.lit(False)
     for kind in kinds:
         test = test | ignore.matches(F.col("path"), F.col(column[kind]))
@@ -46,7 +46,7 @@ def apply_rules(
     if small is None:
         small = fits_broadcast(rules)
     # A repo may own a third of all rows; its rules are one row.
-    joined = join_per_key(rows, ignore.exclusion_regexes(rules), ["repo"], ["path"], small)
+    joined = join_per_key(rows, ignore.exclusion_rules(rules), ["repo"], ["path"], small)
     kept = ~_excluded(kinds)
     if exempt is not None:
         kept = exempt | kept

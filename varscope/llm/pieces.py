@@ -28,6 +28,11 @@ from varscope.llm.blocks import blocks, ranges, text_bytes, to_strings
 from varscope.llm.segments import SegmentIds, flatten
 
 MARK = "▁".encode()
+# Text that one vectorised step encodes; it needs some seventy times as much memory.
+STEP_BYTES = 1 << 18
+DECODE_ROWS = 20
+# Segments a worker remembers.
+REMEMBERED = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 ENCODED = "struct<ids: binary, begins: binary, ends: binary>"
 
@@ -182,7 +187,7 @@ class Normaliser:
 
 
 class Pieces:
-    """One model: encodes and decodes."""
+    """One model's encoder."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -192,11 +197,10 @@ class Pieces:
         spec = b"".join(v for k, v in message_fields(model) if k == 3)
         pieces = [dict(message_fields(v)) for k, v in message_fields(model) if k == 1]
         self.normaliser = Normaliser(spec)
-        self.decoder = sentencepiece.SentencePieceProcessor(model_proto=model)
         # the same model with an identity normaliser: no map, no prefix, no squeezing, no marks
         off = b"\x12\x00\x18\x00\x20\x00\x28\x00"
         self.encoder = sentencepiece.SentencePieceProcessor(model_proto=model + b"\x1a" + bytes([len(off)]) + off)
-        self.begin_id, self.end_id = self.decoder.bos_id(), self.decoder.eos_id()
+        self.begin_id, self.end_id = self.encoder.bos_id(), self.encoder.eos_id()
         kind = np.array([p.get(3, NORMAL) for p in pieces])
         self.width = np.array([1 if k == BYTE else len(p.get(1, b"")) for k, p in zip(kind, pieces)], np.int32)
         self.width[kind == CONTROL] = 0
@@ -208,12 +212,12 @@ class Pieces:
         self.alone = np.zeros(256, bool)  # ASCII bytes that no merge takes in
         self.alone[[b for b in range(128) if chr(b) not in joined]] = True
         self.whole_texts = bool(crossing)
-        self.segments = SegmentIds(self._encode)
+        self.segments = SegmentIds(self._encode, REMEMBERED)
 
     def _encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [s.decode("utf-8", "replace") for s in segments]
         ids, counts = flatten(self.encoder.encode(texts, num_threads=1))
-        if not self.decoder.id_to_piece(self.unknown) or (ids == self.unknown).any():
+        if (ids == self.unknown).any():
             raise ValueError("spans need a model with byte fallback: a character has no piece")
         return ids, counts
 
@@ -267,12 +271,9 @@ class Pieces:
         ]
         return pa.StructArray.from_arrays(packed, ["ids", "begins", "ends"])
 
-    def decode(self, column: pa.Array) -> pa.Array:
-        lists = [np.frombuffer(x.as_buffer(), "<i4").tolist() if x.is_valid else [] for x in column]
-        return pa.array(self.decoder.decode(lists, num_threads=1) if lists else [], pa.string())
-
 
 _models: dict[str, Pieces] = {}
+_decoders: dict = {}
 
 
 def model(path: str) -> Pieces:
@@ -293,7 +294,7 @@ def encode(text: Column, path: str) -> Column:
         pieces = model(path)
         for column in columns:
             rows = pa.RecordBatch.from_arrays([column], ["text"])
-            parts = [pieces.encode(block.column(0)) for block in blocks(iter([rows]), "text")]
+            parts = [pieces.encode(block.column(0)) for block in blocks(iter([rows]), "text", STEP_BYTES)]
             yield pa.concat_arrays(parts) if parts else pieces.encode(column)
 
     return F.arrow_udf(run, ENCODED)(text.cast("string"))
@@ -303,7 +304,15 @@ def decode(ids: Column, path: str) -> Column:
     """Text of packed ids, as the library decodes the whole list; null ids give an empty text."""
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import sentencepiece
+
+        if path not in _decoders:
+            _decoders[path] = sentencepiece.SentencePieceProcessor(model_file=path)
         for column in columns:
-            yield model(path).decode(column)
+            texts: list[str] = []
+            for part in (column.slice(k, DECODE_ROWS) for k in range(0, len(column), DECODE_ROWS)):
+                lists = [np.frombuffer(x.as_buffer(), "<i4").tolist() if x.is_valid else [] for x in part]
+                texts.extend(_decoders[path].decode(lists, num_threads=1))
+            yield pa.array(texts, pa.string())
 
     return F.arrow_udf(run, "string")(ids)

@@ -15,15 +15,15 @@ import numpy as np
 from varscope.llm.blocks import U, ranges, span_hash
 
 # What a worker remembers before it starts anew, so that its memory is bounded.
-REMEMBERED_SEGMENTS = 2_000_000
-REMEMBERED_IDS = 12_000_000
+REMEMBERED = 1_000_000
+IDS_PER_SEGMENT = 6
 
 
 class SegmentIds:
     """Ids of byte spans; ``encode`` gives the ids of each of a list of byte strings."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], remembered: int = REMEMBERED):
+        self.encode, self.remembered = encode, remembered
         self.forget()
 
     def forget(self) -> None:
@@ -87,7 +87,7 @@ class SegmentIds:
         """
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        if self.size > REMEMBERED_SEGMENTS or self.used > REMEMBERED_IDS:
+        if self.size > self.remembered or self.used > IDS_PER_SEGMENT * self.remembered:
             self.forget()
         key, check = span_hash(data, start, end), span_hash(data, start, end, 1)
         number = self.find(key, check)

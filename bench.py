@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from varscope.plans import corpus  # noqa: E402
 from varscope.plans.queries import QUERIES  # noqa: E402
+from varscope.session import scratch  # noqa: E402
 
 HEADLINE = (
     "lexical_mask", "ref_locations", "inventory", "inventory_order", "ignore_filter",
@@ -53,7 +54,8 @@ def main() -> None:
         times = []
         for _ in range(runs + 1):
             start = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            with scratch(spark):
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         cold[name], warm[name] = round(times[0], 3), round(statistics.median(times[1:]), 3)
     spark.stop()

@@ -145,3 +145,14 @@ def test_cache_store_and_config(spark):
         "both": (["x"], ".env.example"), "broken": (["y"], "out"),
         "bare": ([], ".env.example"), "none": ([], ".env.example"),
     }
+
+
+def test_last_of_repeated_keys_counts(spark):
+    batched = spark.createDataFrame([("r", n, "b") for n in "ABC"], "repo string, name string, batch_id string")
+    text = (
+        'Sure: {"A": {"description": "old"}, "B": {"description": "b"}, "A": {"description": "new", "example": "e"}, '
+        '"C": {"description": "c"}, "C": 3}'
+    )
+    responses = spark.createDataFrame([("b", text)], "batch_id string, text string")
+    rows = D.parse_responses(batched, responses).select("name", "description", "example").collect()
+    assert sorted(map(tuple, rows)) == [("A", "new", "e"), ("B", "b", "")]

@@ -3,6 +3,7 @@ from samples import COLUMNS, FILES, INVENTORY, N_LOCATIONS
 
 from varscope.operators.extract import extract
 from varscope.operators.inventory import file_findings, inventory, with_position
+from varscope.operators.languages import LineLanguage
 from varscope.plans.queries import RUBY
 
 @pytest.fixture(scope="module")
@@ -233,3 +234,13 @@ def test_many_references_on_one_line(spark, files_of):
         want.append((f"V{k}", 1, at))
         at += 1
     assert sorted(map(tuple, rows), key=lambda r: r[2]) == want
+
+
+def test_own_line_language(files_of):
+    own = LineLanguage("compose", (".env",), ("ARG", "ENV"), filename_prefixes=("Containerfile",), reader="docker")
+    rows = extract(files_of({"Containerfile.x": "ENV A=1\nARG B\n", "x.env": "ARG C=2"}), (own,)).collect()
+    assert sorted((r.name, r.language, r.default_value) for r in rows) == [
+        ("A", "compose", "1"), ("B", "compose", None), ("C", "compose", "2"),
+    ]
+    with pytest.raises(ValueError):
+        LineLanguage("x", (".x",), ("X",), reader="unknown")

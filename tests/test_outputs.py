@@ -8,7 +8,7 @@ from varscope.operators import inventory as I
 from varscope.operators import reconcile, reports, selection, template, verdict
 from varscope.operators.extract import extract
 from varscope.operators.ordering import with_ordinal
-from varscope.session import materialize
+from varscope.session import materialize, scratch
 from varscope.sources import sinks, tables
 from varscope.streaming import alerts
 
@@ -83,17 +83,38 @@ def test_verdict_json(spark, corpus):
     numbered = with_ordinal(
         merged.filter("status <> 'EXISTING'").select("repo", "status", "pos", "key"), ["repo", "status"], ["pos"]
     )
-    drift = {d.repo: d for d in verdict.drift_outputs(numbered, checked).collect()}
-    assert drift["r"].new_vars.split(",") == r["new_vars"] and drift["r"].drift_detected
-    assert (drift["bare"].stale_vars, drift["bare"].drift_detected) == ("OLD", False)
+    drift = sorted(verdict.drift_outputs(numbered, checked).collect())
+    assert [d.name for d in drift if (d.repo, d.list) == ("r", "new_vars")] == r["new_vars"]
+    assert all(d.drift_detected for d in drift if d.repo == "r")
+    assert [(d.list, d.name, d.drift_detected) for d in drift if d.repo == "bare"] == [("stale_vars", "OLD", False)]
 
 
-def test_long_lists_continue_in_further_rows(spark):
+def test_drift_has_a_row_per_name_at_every_size(spark):
     numbered = spark.range(2500).selectExpr("'r' as repo", "'NEW' as status", "id + 1 as ord", "'K' || id as key")
-    checked = spark.createDataFrame([("r", 3, 2500)], "repo string, scanned_files long, n_new long")
-    rows = verdict.drift_outputs(numbered, checked).orderBy("chunk").collect()
-    assert [len(r.new_vars.split(",")) for r in rows] == [1000, 1000, 500]
-    assert ",".join(r.new_vars for r in rows) == ",".join(f"K{i}" for i in range(2500))
+    checked = spark.createDataFrame([("r", 3, 2500), ("s", 1, 0)], "repo string, scanned_files long, n_new long")
+    rows = verdict.drift_outputs(numbered, checked).orderBy("repo", "ord").collect()
+    assert [(r.ord, r.name) for r in rows if r.repo == "r"] == [(i + 1, f"K{i}") for i in range(2500)]
+    assert [tuple(r) for r in rows if r.repo == "s"] == [("s", None, None, None, 1, False)]
+
+
+def test_markdown_file(spark, corpus, tmp_path):
+    files, refs, found, _ = corpus
+    pieces = materialize(reports.report_markdown(refs, found, files.select("repo").distinct()))
+    sinks.write_documents(reports.whole_lines(pieces), str(tmp_path / "m"), ("section", "finding"))
+    parts = sorted(glob.glob(str(tmp_path / "m" / "repo=r" / "part-*")))
+    written = "".join(open(p, encoding="utf-8").read() for p in parts)
+    assert written == "".join(r.text for r in pieces.filter("repo = 'r'").orderBy(*reports.ORDER).collect())
+    assert written.count("\n") == len(INVENTORY) + 2
+
+
+def test_scratch_drops_its_tables(spark):
+    with scratch(spark):
+        outer = materialize(spark.range(3))
+        with scratch(spark):
+            inner = materialize(spark.range(4)).inputFiles()[0]
+        assert not glob.glob(inner.removeprefix("file://")) and outer.count() == 3
+        kept = outer.inputFiles()[0]
+    assert not glob.glob(kept.removeprefix("file://"))
 
 
 def test_sinks_round_trip(spark, corpus, tmp_path):

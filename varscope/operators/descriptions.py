@@ -178,17 +178,26 @@ def parse_responses(batched: DataFrame, responses: DataFrame) -> DataFrame:
     """(repo, name, description, example) of requested names a response describes.
 
     The text is JSON, or holds it between its first and last brace. Only object values
-    count; a missing field is ''; anything unusable gives no row.
+    count; a missing field is '', of a repeated key the last value counts; anything
+    unusable gives no row.
     """
     as_map = "map<string,string>"
     whole, inner = strip(F.col("text")), F.regexp_extract("text", r"(\{[\s\S]*\})", 1)
-    valid = F.when(F.try_parse_json(whole).isNotNull(), whole).when(
-        F.try_parse_json(inner).isNotNull(), inner
-    )
+
+    def usable(text: Column) -> Column:
+        # The strict parser refuses repeated keys, of which the last one counts.
+        keys = F.json_object_keys(text)
+        repeated = F.coalesce(F.size(F.array_distinct(keys)) < F.size(keys), F.lit(False))
+        return F.try_parse_json(text).isNotNull() | repeated
+
+    valid = F.when(usable(whole), whole).when(usable(inner), inner)
     parsed = F.from_json(valid, as_map)
-    answers = responses.select(
-        "batch_id", F.explode(parsed).alias("name", "_value")
-    ).filter(strip(F.col("_value")).startswith("{"))
+    answers = (
+        responses.select("batch_id", F.posexplode(parsed).alias("_nth", "name", "_value"))
+        .groupBy("batch_id", "name")
+        .agg(F.max_by("_value", "_nth").alias("_value"))
+        .filter(strip(F.col("_value")).startswith("{"))
+    )
     fields = F.from_json("_value", "description string, example string")
     return (
         batched.select("repo", "name", "batch_id")

@@ -491,7 +491,10 @@ def _stages(spark: SparkSession, languages: tuple[Language, ...]) -> _Stages:
 
 
 def _build_stages(languages: tuple[Language, ...]) -> _Stages:
-    is_docker = F.col("language") == "docker"
+    def reader(spec: Language) -> str | None:
+        return None if isinstance(spec, LexedLanguage) else spec.reader
+
+    is_docker = F.col("language").isin(*[s.name for s in languages if reader(s) == "docker"])
     lexed = F.col("language").isin(
         *[s.name for s in languages if isinstance(s, LexedLanguage)]
     )
@@ -500,7 +503,7 @@ def _build_stages(languages: tuple[Language, ...]) -> _Stages:
         if isinstance(spec, LexedLanguage):
             return _tag_tokens(F.col("_text"), spec)
         lines = unify_lines(F.col("_text"))
-        if spec.name == "docker":
+        if reader(spec) == "docker":
             return F.regexp_replace(lines, f"(?md)^{_DOCKER_LINE}", START + "$0")
         return lines
 
@@ -510,17 +513,17 @@ def _build_stages(languages: tuple[Language, ...]) -> _Stages:
         )
 
     def known(spec: Language) -> Column | None:
-        if spec.name == "shell":
+        if reader(spec) == "shell":
             specials = F.array(*[F.lit(n) for n in SHELL_SPECIAL_NAMES])
             return F.concat(shell_local_names(F.col("_marked")), specials)
-        if spec.name == "docker":
+        if reader(spec) == "docker":
             return _groups(F.col("_marked"), f"(?md){START}{_DOCKER_LINE}", 2)[0]
         return None
 
     def hits(spec: Language) -> Column:
         if isinstance(spec, LexedLanguage):
             return F.when(F.contains("_marked", F.lit(START)), _lexed_hits(spec))
-        return _shell_hits() if spec.name == "shell" else _docker_hits()
+        return _shell_hits() if reader(spec) == "shell" else _docker_hits()
 
     declared = F.when(
         F.col("other").startswith("ENV"), strip(F.col("default")) != ""

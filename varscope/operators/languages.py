@@ -55,12 +55,17 @@ class LexedLanguage:
 
 @dataclass(frozen=True)
 class LineLanguage:
-    """A language read line by line: ``shell`` references or ``docker`` declarations."""
+    """A language read line by line, like ``shell`` references or ``docker`` declarations."""
 
     name: str
     extensions: tuple[str, ...]
     guards: tuple[str, ...]
     filename_prefixes: tuple[str, ...] = ()
+    reader: str = "shell"
+
+    def __post_init__(self):
+        if self.reader not in ("shell", "docker"):
+            raise ValueError(f"no reader of lines is called {self.reader!r}")
 
 
 _DOUBLE = r'"(?:[^"\\\n]++|\\[\s\S])*+"'
@@ -151,7 +156,7 @@ GO = LexedLanguage(
 
 SHELL = LineLanguage("shell", (".sh", ".bash", ".zsh", ".ksh", ".fish"), ("$",))
 DOCKER = LineLanguage(
-    "docker", (), ("ENV", "ARG"), filename_prefixes=("Dockerfile", "dockerfile")
+    "docker", (), ("ENV", "ARG"), filename_prefixes=("Dockerfile", "dockerfile"), reader="docker"
 )
 
 DEFAULT_LANGUAGES = (PYTHON, JAVASCRIPT, GO, SHELL, DOCKER)

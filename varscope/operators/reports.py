@@ -145,3 +145,14 @@ def report_markdown(refs: DataFrame, found: DataFrame, repos: DataFrame) -> Data
     )
     foot = _rows(found, 1, finding, 2, no_pos, F.lit(" |\n"))
     return opening.unionByName(head).unionByName(body).unionByName(foot)
+
+
+def whole_lines(pieces: DataFrame) -> DataFrame:
+    """(repo, section, finding, text): the pieces of ``report_markdown`` as lines for a sink.
+
+    A line of the table holds all locations of one finding, as the format demands.
+    """
+    piece = F.struct("part", "pos", "text")
+    joined = pieces.groupBy("repo", "section", "finding").agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    text = F.array_join(F.transform("_pieces", lambda p: p["text"]), "")
+    return joined.select("repo", "section", "finding", F.regexp_replace(text, r"\n$", "").alias("text"))

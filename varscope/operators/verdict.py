@@ -11,9 +11,6 @@ from varscope.operators.joins import join_per_key
 from varscope.operators.reconcile import diff_counts, new
 from varscope.operators.reports import json_string
 
-# Names per row where a list of names is asked for.
-LIST_CHUNK = 1000
-
 
 def exit_code(n_new: Column, n_stale: Column, strict: bool, fail_on_stale: bool) -> Column:
     """1 for undocumented names, else 2 for stale ones if those count, else 0."""
@@ -74,32 +71,28 @@ def verdict_lines(merged: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def drift_outputs(numbered: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Comma-joined new and stale names, scanned count and drift flag.
+    """New and stale names of each repo, in order, with its scanned count and drift flag.
 
-    ``numbered`` are the NEW and STALE entries with ``ord`` within (repo, status). A list
-    longer than LIST_CHUNK names goes on in further rows (``chunk`` 1, 2, ...), so no row
-    grows with a repository.
+    ``numbered`` are the NEW and STALE entries with ``ord`` within (repo, status). One row
+    per name at every size: ``list`` is ``new_vars`` or ``stale_vars``. A repo without
+    either has one row whose list, ord and name are NULL.
     """
-    chunk = F.floor((F.col("ord") - 1) / LIST_CHUNK).cast("int")
-    lists = (
-        numbered.withColumn("chunk", chunk)
-        .groupBy("repo", "status", "chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "key"))).alias("names"))
-        .withColumn("names", F.array_join(F.transform("names", lambda n: n["key"]), ","))
-        .groupBy("repo", "chunk")
-        .agg(
-            F.max(F.when(F.col("status") == "NEW", F.col("names"))).alias("new_vars"),
-            F.max(F.when(F.col("status") == "STALE", F.col("names"))).alias("stale_vars"),
-        )
+    named = numbered.select(
+        "repo",
+        F.when(F.col("status") == "NEW", "new_vars").otherwise("stale_vars").alias("list"),
+        F.col("ord").cast("bigint").alias("ord"),
+        F.col("key").alias("name"),
     )
-    return verdicts.join(lists, "repo", "left").select(
+    facts = verdicts.select("repo", "scanned_files", (F.col("n_new") > 0).alias("drift_detected"))
+    without = facts.join(named.select("repo").distinct(), "repo", "left_anti").select(
         "repo",
-        F.coalesce("chunk", F.lit(0)).alias("chunk"),
-        F.coalesce("new_vars", F.lit("")).alias("new_vars"),
-        F.coalesce("stale_vars", F.lit("")).alias("stale_vars"),
+        F.lit(None).cast("string").alias("list"),
+        F.lit(None).cast("bigint").alias("ord"),
+        F.lit(None).cast("string").alias("name"),
         "scanned_files",
-        (F.col("n_new") > 0).alias("drift_detected"),
+        "drift_detected",
     )
+    return join_per_key(named, facts, ["repo"], ["name"]).unionByName(without)
 
 
 def check_changes(

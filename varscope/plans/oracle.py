@@ -466,8 +466,13 @@ oracle(
 )
 oracle(
     "drift_outputs",
-    """select repo, 0 as chunk, new_vars, stale_vars, scanned_files, n_new > 0 as drift_detected
-       from verdict""",
+    """select v.repo, list, ord, name, scanned_files, n_new > 0 as drift_detected
+       from verdict v left join (
+         select repo, list, unnest(range(1, len(names) + 1)) as ord, unnest(names) as name from (
+           select repo, 'new_vars' as list, string_split(new_vars, ',') as names from verdict where new_vars <> ''
+           union all
+           select repo, 'stale_vars', string_split(stale_vars, ',') from verdict where stale_vars <> '')) n
+       on v.repo = n.repo""",
     VERDICT,
 )
 

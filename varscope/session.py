@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +42,30 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
+_scopes: list[list[str]] = []
+
+
 def new_table_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/varscope-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/varscope-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops, at its end, the intermediate tables that were stored inside it.
+
+    Results must be written or collected before: a DataFrame reads them when it runs.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in _scopes.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -80,6 +80,11 @@ KEY_LAYERS = (
         ),
     },
     {
+        # Regex literals, markup text and nested literals that a shallow reader would run past.
+        "js_traps": (
+            "' q(p.split(/[\"''`]/), p.match(/[/*]/), a / b / c, <p>Don''t see http://x</p>, '"
+            "|| '`a${g({k: {l: {m: {n: `}''${1}process.env.DECOY_N`}}}})} process.env.DECOY_M`);'"
+        ),
         # The line that holds the first reference; multi-line calls continue in `ref_rest`.
         "ref_line": (
             "case lang "
@@ -130,7 +135,7 @@ KEY_LAYERS = (
             f"|| ref_line || '  ' || ref_rest || {NL} || 'z = os.getenv(dyn)' || {NL} "
             f"|| case when again then again_line || {NL} else '' end "
             f"when 'javascript' then '// process.env.DECOY_C' || {NL} || '/* process.env.DECOY_B' || {NL} "
-            f"|| '*/ const s = \"process.env.DECOY_S\";' || {NL} || ref_line || ' ' || chr(13) || {NL} "
+            f"|| '*/ const s = \"process.env.DECOY_S\";' || js_traps || {NL} || ref_line || ' ' || chr(13) || {NL} "
             f"|| 'h(process.env[dyn], x.process.env.DECOY_X);' || {NL} "
             f"|| case when again then again_line || {NL} else '' end "
             f"when 'go' then 'package main' || {NL} || '// os.Getenv(\"DECOY_C\")' || {NL} "

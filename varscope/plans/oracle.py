@@ -203,7 +203,7 @@ oracle(
 
 oracle(
     "lexical_mask",
-    "select repo, language, count(*) as n_refs, 0 as n_decoys from refs group by repo, language",
+    'select repo, path, language, line, col as "column", name from refs',
 )
 for _name, _where in (
     ("py_getenv", "language = 'python' and (form in (0, 3) or (form = 2 and arg1 <> ''))"),

@@ -234,12 +234,7 @@ def line_split(spark, sf):
 
 @query
 def lexical_mask(spark, sf):
-    decoy = F.col("name").contains("DECOY") | F.col("name").isin("dyn", "LOC", "lower")
-    return (
-        extract.extract(files(spark, sf))
-        .groupBy("repo", "language")
-        .agg(F.count("*").alias("n_refs"), F.count_if(decoy).alias("n_decoys"))
-    )
+    return extract.extract(files(spark, sf)).select("repo", "path", "language", "line", "column", "name")
 
 
 @query

@@ -16,6 +16,7 @@ from varscope.functions.naming import describe
 from varscope.functions.text import scrub_snippet, strip
 from varscope.operators.joins import join_heavy
 from varscope.operators.ordering import with_ordinal
+from varscope.session import materialize
 from varscope.operators.reports import attach
 
 # Variables per request and snippets per variable.
@@ -116,13 +117,14 @@ def cache_lookup(keyed: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFra
     """(hits with description and example, misses) of rows with a ``key``.
 
     Copies of the same code share one key, so a key may have very many rows. ``keyed``
-    should be a stored table; ``cache`` has one row per key.
+    should be a stored table; ``cache`` has one row per key. They are joined once, and the
+    result is stored.
     """
     counted = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    return (
-        join_heavy(keyed, cache, ["key"], counted, "n"),
-        join_heavy(keyed, cache.select("key"), ["key"], counted, "n", "left_anti"),
-    )
+    marked = cache.withColumn("_cached", F.lit(True))
+    met = materialize(join_heavy(keyed, marked, ["key"], counted, "n", "left"))
+    hits = met.filter("_cached").drop("_cached")
+    return hits, met.filter("_cached is null").select(*keyed.columns)
 
 
 def prompt_batches(misses: DataFrame, order: tuple[str, ...], size: int = BATCH_SIZE) -> DataFrame:

@@ -44,7 +44,7 @@ def join_heavy(
     count_col: str,
     how: str = "inner",
 ) -> DataFrame:
-    """Join (``inner`` or ``left_anti``) with a side of one row per key, of any size.
+    """Join (``inner``, ``left`` or ``left_anti``) with a side of one row per key, of any size.
 
     ``counted`` tells how many rows each key has. Keys with very many rows are few by
     arithmetic: those rows of ``side`` are broadcast, so the heavy rows stay where they

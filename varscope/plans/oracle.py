@@ -552,12 +552,10 @@ oracle(
 )
 oracle(
     "cache_upsert",
-    """select description, example, count(*) as n from (
-         select distinct key, description, example from (
-           select key, 'cached ' || name as description, 'ce' as example from keys where a in (0, 4, 8)
-           union all
-           select key, description, example from said join keys using (repo, name)))
-       group by description, example""",
+    """select distinct key, description, example from (
+         select key, 'cached ' || name as description, 'ce' as example from keys where a in (0, 4, 8)
+         union all
+         select key, description, example from said join keys using (repo, name))""",
     BATCHES,
 )
 

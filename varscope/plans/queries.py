@@ -32,6 +32,7 @@ from varscope.operators.languages import (
     START,
     LexedLanguage,
 )
+from varscope.operators.joins import join_heavy
 from varscope.operators.ordering import with_ordinal
 from varscope.plans import corpus
 from varscope.session import materialize, new_table_path, tune
@@ -667,11 +668,18 @@ def scrub_snippets(spark, sf):
 class _Described:
     """Requested names with cache keys, the cache they meet, and batches of the misses."""
 
-    def __init__(self, spark: SparkSession, sf: str):
+    def __init__(self, spark: SparkSession, sf: str, all_keys: bool = False):
         self.refs = materialize(walked(spark, sf))
         names = materialize(inventory.inventory(self.refs))
-        keys = materialize(descriptions.cache_keys(self.refs, names))
-        requested = reconcile.undescribed(names, entries(spark, sf))
+        requested = materialize(reconcile.undescribed(names, entries(spark, sf)))
+        # Only names that want a description are hashed.
+        wanted = requested.select("repo", "name")
+        keys = materialize(
+            descriptions.cache_keys(
+                self.refs if all_keys else join_heavy(self.refs, wanted, ["repo", "name"], names, "n_locations"),
+                names if all_keys else names.join(wanted, ["repo", "name"], "left_semi"),
+            )
+        )
         self.keyed = materialize(requested.join(keys, ["repo", "name"]))
         # Cached in an earlier run: names numbered 0, 4 and 8.
         self.cache = keys.filter("name rlike '^V[048]_'").select(
@@ -760,12 +768,11 @@ def resolve_descriptions(spark, sf):
 
 @query
 def cache_upsert(spark, sf):
-    case = _Described(spark, sf)
+    case = _Described(spark, sf, all_keys=True)
     batched = case.batches()
     parsed = descriptions.parse_responses(batched, _responses(batched))
     fresh = case.keyed.select("repo", "name", "key").join(parsed, ["repo", "name"])
-    stored = descriptions.upsert(case.cache, fresh.select("key", "description", "example"))
-    return stored.groupBy("description", "example").agg(F.count("*").alias("n"))
+    return descriptions.upsert(case.cache, fresh.select("key", "description", "example"))
 
 
 # --------------------------------------------------------------------------- reports

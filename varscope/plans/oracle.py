@@ -333,16 +333,16 @@ def _describe_sql(source: str, extra: str) -> str:
       coalesce(k_desc, replace(replace(w_desc, '{{service}}', {title.format('stem')}), '{{slug}}',
         replace(lower(stem), '_', '-')), {title.format('name')} || ' configuration value') as description,
       coalesce(k_ex, replace(w_ex, '{{slug}}', replace(lower(stem), '_', '-')), '') as example
-    from (select *, case when strpos(name, '_') > 0 then string_split(name, '_')[-1] end as word,
+    from (select *, case when strpos(name, '_') > 0 then string_split(upper(name), '_')[-1] end as word,
             left(name, length(name) - length(string_split(name, '_')[-1]) - 1) as stem from {source})
-    left join {_values(naming.KNOWN_NAMES)} kn(k_name, k_desc, k_ex) on name = k_name
+    left join {_values(naming.KNOWN_NAMES)} kn(k_name, k_desc, k_ex) on upper(name) = k_name
     left join {_values(naming.LAST_WORDS)} lw(w_name, w_desc, w_ex) on word = w_name
     """
 
 
 oracle(
     "describe_rules",
-    _describe_sql("(select * from typed where strpos(name, 'db') = 0)", "k"),
+    _describe_sql("typed", "k"),
     TYPED,
 )
 oracle(

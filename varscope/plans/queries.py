@@ -479,7 +479,7 @@ def infer_type_name_only(spark, sf):
 
 @query
 def describe_rules(spark, sf):
-    named = _typed_names(spark, sf).filter("not contains(name, 'db')").withColumn(
+    named = _typed_names(spark, sf).withColumn(
         "d", naming.describe(F.col("name"))
     )
     return named.select("k", "name", "d.description", "d.example")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 # Text that one vectorised step looks at; a longer document makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 U = np.uint64
 SPACE = np.zeros(256, bool)

@@ -406,4 +406,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # the id is part of the key, so that the copies of a text do not meet in one task
     chosen = rows.join(kept, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     chosen = chosen.dropDuplicates(["doc_id", "node"])
-    return restored(chosen.select("text", "row").unionByName(empty.select("text", "row")), docs, text)
+    return restored(chosen.select("text", "row").unionByName(empty.select("text", "row")), docs, text=text)

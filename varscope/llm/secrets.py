@@ -272,4 +272,5 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The rows with secrets replaced in the text. All columns stay."""
     rows = carried(docs, doc_id, text)
     clean = F.when(may_hold(F.col("text")), redact(F.col("text"))).otherwise(F.col("text"))
-    return restored(rows.withColumn("text", clean), docs, text)
+    rows = rows.withColumn("clean", clean).withColumn("changed", ~F.col("clean").eqNullSafe(F.col("text")))
+    return restored(rows.withColumn("text", F.col("clean")), docs, F.col("changed"), text)

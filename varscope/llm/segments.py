@@ -15,7 +15,7 @@ import numpy as np
 from varscope.llm.blocks import U, ranges, span_hash
 
 # What a worker remembers before it starts anew, so that its memory is bounded.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 IDS_PER_SEGMENT = 6
 
 

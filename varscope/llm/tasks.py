@@ -29,24 +29,25 @@ def quoted(name: str) -> str:
 
 
 def carried(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text, row``: the whole row travels as a struct, so that no name can clash."""
+    """``doc_id, text, row``: all other columns travel as a struct, so that no name can clash."""
+    others = [F.col(quoted(c)) for c in docs.columns if c != text]
     return docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"),
         F.col(text).cast("string").alias("text"),
-        F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"),
+        F.struct(*others).alias("row"),
     )
 
 
-def restored(rows: DataFrame, docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """The columns of ``docs`` from ``text`` and ``row``; where the text is new, ``chars`` counts it again."""
-    old = F.col("row").getField(text).cast("string")
-    changed = ~F.col("text").eqNullSafe(old)
+def restored(
+    rows: DataFrame, docs: DataFrame, changed: Column | None = None, text: str = "text", chars: str = "n_chars"
+) -> DataFrame:
+    """The columns of ``docs`` from ``text`` and ``row``; where ``changed``, ``chars`` counts the text again."""
 
     def column(name: str) -> Column:
-        value = F.col("row").getField(name)
         if name == text:
-            value = F.col("text").cast(docs.schema[name].dataType)
-        elif name == chars:
+            return F.col("text").cast(docs.schema[name].dataType).alias(name)
+        value = F.col("row").getField(name)
+        if name == chars and changed is not None:
             value = F.when(changed, F.char_length("text")).otherwise(value).cast(docs.schema[name].dataType)
         return value.alias(name)
 

@@ -32,8 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go."""
     ship(spark)
     found = lines.dedup_lines(carried(docs))
-    kept = F.when(F.col("lines.n_dropped") > 0, F.col("lines.kept_text")).otherwise(F.col("text"))
-    return restored(found.withColumn("text", kept), docs)
+    changed = F.col("lines.n_dropped") > 0
+    kept = F.when(changed, F.col("lines.kept_text")).otherwise(F.col("text"))
+    return restored(found.withColumn("text", kept), docs, changed)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,77 +152,92 @@ def _keep_references(tagged: Column, spec: LexedLanguage) -> Column:
     return F.replace(marked, F.lit(START + spec.anchor + END), F.lit(START))
 
 
-# What the stack holds, the innermost last: a brace or embedded code, or an open literal.
-_BRACE, _EMBEDDED, _TEMPLATE, _DOUBLE, _SINGLE, _LINE, _BLOCK, _REGEX, _CLASS = "BITDSLMRK"
+# What can be open, the innermost last on the stack: a brace or embedded code, or a literal.
+_CODE, _BRACE, _EMBEDDED, _TEMPLATE, _DOUBLE, _SINGLE, _LINE, _BLOCK, _REGEX, _CLASS = range(10)
+_LETTERS = "_BITDSLMRK"
+# Delimiters by number; an opening one is preceded by OPENS. 0 is anything else, 1 a reference.
+_DELIMITERS = ("{", "${", "}", "[", "]", "\n", "`", '"', "'", "/", "//", "*/")
+_OPENING = ("`", '"', "'", "/", "/*")
+_NUMBERS = {d: n for n, d in enumerate(_DELIMITERS, 2)}
+_NUMBERS |= {OPENS + d: n for n, d in enumerate(_OPENING, 2 + len(_DELIMITERS))}
+_N_TOKENS = 2 + len(_DELIMITERS) + len(_OPENING)
+_STAY, _KEEP, _POP, _POP_TWO, _PUSH = range(5)  # _PUSH + m opens m
+
+
+def _action(mode: int, token: str) -> int:
+    """What a delimiter does while ``mode`` is the innermost open thing."""
+    bare = token.removeprefix(OPENS)
+    if mode in (_CODE, _BRACE, _EMBEDDED):
+        if token == "reference":
+            return _KEEP
+        if token == "}":
+            return _STAY if mode == _CODE else _POP
+        opened = {"{": _BRACE, "${": _BRACE, "//": _LINE}.get(token)
+        if token.startswith(OPENS):
+            opened = {"`": _TEMPLATE, '"': _DOUBLE, "'": _SINGLE, "/": _REGEX, "/*": _BLOCK}[bare]
+        return _STAY if opened is None else _PUSH + opened
+    if mode == _TEMPLATE:
+        return _POP if bare == "`" else _PUSH + _EMBEDDED if token == "${" else _STAY
+    if mode == _REGEX and token == "[":
+        return _PUSH + _CLASS
+    if mode == _CLASS and token == "\n":
+        return _POP_TWO
+    closing = {
+        _DOUBLE: ('"', "\n"), _SINGLE: ("'", "\n"), _LINE: ("\n",), _BLOCK: ("*/",),
+        _REGEX: ("/", "//", "*/", "/*", "\n"), _CLASS: ("]",),
+    }
+    return _POP if bare in closing[mode] else _STAY
+
+
+_TABLE = [
+    _action(mode, token)
+    for mode in range(len(_LETTERS))
+    for token in ("other", "reference", *_NUMBERS)
+]
 
 
 def _read_by_stack(tagged: Column, spec: LexedLanguage) -> Column:
     """START before every reference that is code, found by one pass over the delimiters.
 
     The pass keeps the literals and braces that are open, so code may be embedded in
-    literals, and literals in code, to any depth.
+    literals, and literals in code, to any depth. A table says what a delimiter does.
     """
-
-    def move(stack: Column, token: Column) -> Column:
-        top = F.substring(stack, -1, 1)
-        plain = F.replace(token, F.lit(OPENS), F.lit(""))
-        opens = token.startswith(OPENS)
-        popped = F.substring(stack, F.lit(1), F.length(stack) - 1)
-        push = lambda mode: F.concat(stack, F.lit(mode))
-        in_code = (
-            F.when((token == "{") | (token == "${"), push(_BRACE))
-            .when(token == "}", popped)
-            .when(token == "//", push(_LINE))
-            .when(~opens, stack)
-            .when(plain == "`", push(_TEMPLATE))
-            .when(plain == '"', push(_DOUBLE))
-            .when(plain == "'", push(_SINGLE))
-            .when(plain == "/", push(_REGEX))
-            .when(plain == "/*", push(_BLOCK))
-            .otherwise(stack)
-        )
-        line_end = token == "\n"
-        return (
-            F.when(top.isin("", _BRACE, _EMBEDDED), in_code)
-            .when(
-                top == _TEMPLATE,
-                F.when(plain == "`", popped).when(token == "${", push(_EMBEDDED)).otherwise(stack),
-            )
-            .when(top == _LINE, F.when(line_end, popped).otherwise(stack))
-            .when(top == _BLOCK, F.when(plain == "*/", popped).otherwise(stack))
-            .when(top == _DOUBLE, F.when((plain == '"') | line_end, popped).otherwise(stack))
-            .when(top == _SINGLE, F.when((plain == "'") | line_end, popped).otherwise(stack))
-            .when(
-                top == _REGEX,
-                F.when(plain.isin("/", "//", "*/", "/*") | line_end, popped)
-                .when(token == "[", push(_CLASS))
-                .otherwise(stack),
-            )
-            .otherwise(
-                F.when(token == "]", popped)
-                .when(line_end, F.substring(stack, F.lit(1), F.length(stack) - 2))
-                .otherwise(stack)
-            )
-        )
+    table = F.array(*(F.lit(x) for x in _TABLE))
+    letters = F.array(*(F.lit(c) for c in _LETTERS))
+    numbers = F.create_map(*(F.lit(x) for pair in {**_NUMBERS, f"*{OPENS}/": _NUMBERS["*/"]}.items() for x in pair))
 
     def is_reference(token: Column) -> Column:
         return token.startswith(spec.anchor)
 
     def step(acc: Column, at: Column) -> Column:
-        code = F.substring(acc["stack"], -1, 1).isin("", _BRACE, _EMBEDDED)
-        found = is_reference(at["token"])
-        return F.struct(
-            F.when(found, acc["stack"]).otherwise(move(acc["stack"], at["token"])).alias("stack"),
-            F.when(found & code, F.concat(acc["kept"], F.array(at["place"])))
-            .otherwise(acc["kept"])
-            .alias("kept"),
+        action = table[acc["top"] * _N_TOKENS + at["number"]]
+        length = F.length(acc["stack"])
+        shorter = F.substring(acc["stack"], F.lit(1), length - F.when(action == _POP, 1).otherwise(2))
+        stack = F.when(action >= _PUSH, F.concat(acc["stack"], letters[action - _PUSH])).otherwise(shorter)
+        top = F.when(action >= _PUSH, action - _PUSH).otherwise(
+            F.instr(F.lit(_LETTERS), F.substring(shorter, -1, 1)) - 1
+        )
+        moved = F.struct(stack.alias("stack"), top.alias("top"), acc["kept"].alias("kept"))
+        kept = F.struct(
+            acc["stack"].alias("stack"),
+            acc["top"].alias("top"),
+            F.concat(acc["kept"], F.array(at["place"])).alias("kept"),
         )
+        return F.when(action == _STAY, acc).when(action == _KEEP, kept).otherwise(moved)
 
     def rebuilt(tokens: Column) -> Column:
         gaps = F.split(tagged, spec.delimiter, -1)
-        places = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("place")))
-        start = F.struct(F.lit("").alias("stack"), F.expr("cast(array() as array<int>)").alias("kept"))
-        kept = F.aggregate(places, start, step, lambda acc: acc["kept"])
+        numbered = F.transform(
+            tokens,
+            lambda t, i: F.struct(
+                F.coalesce(F.try_element_at(numbers, t), F.when(is_reference(t), 1).otherwise(0)).alias("number"),
+                i.alias("place"),
+            ),
+        )
+        start = F.struct(
+            F.lit(_LETTERS[0]).alias("stack"), F.lit(0).alias("top"), F.expr("cast(array() as array<int>)").alias("kept")
+        )
+        kept = F.aggregate(numbered, start, step, lambda acc: acc["kept"])
 
         def join(kept: Column) -> Column:
             marked = F.transform(

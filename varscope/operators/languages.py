@@ -125,13 +125,14 @@ JAVASCRIPT = LexedLanguage(
     skip="(?!)",
     # An opening delimiter has its closing one: on the line for quotes and regex literals.
     opener=(
-        rf"(?<!\\)(?:{_JS_CODE_WORD}(?:\"(?=(?:[^\"\\\n]|\\[\s\S])*+\")|'(?=(?:[^'\\\n]|\\[\s\S])*+'))"
+        # What is looked for stands first, so that nothing is looked behind at other characters.
+        rf"(?=[\"'`/])(?<!\\)(?:{_JS_CODE_WORD}(?:\"(?=(?:[^\"\\\n]|\\[\s\S])*+\")|'(?=(?:[^'\\\n]|\\[\s\S])*+'))"
         rf"|{_JS_REGEX_PLACE}/(?![/*])(?=(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/)"
         r"|`(?=[^`]*+`)|/\*(?=(?:[^*]++|\*(?!/))*+\*/))"
     ),
     delimiter=(
-        rf"{_JS_HEAD}|\\[\s\S]|{OPENS}/\*|\*{OPENS}?/|(?<!(?:https?|wss?|ftp|file):)//|{OPENS}?[\"'`/]"
-        r"|\$\{|[{}\[\]\n]"
+        rf"(?=[p\\/*\"'`${{}}\[\]\n{OPENS}])(?:(?=process){_JS_HEAD}|\\[\s\S]|{OPENS}/\*|\*{OPENS}?/|(?=//)(?<!(?:https?|wss?|ftp|file):)//|{OPENS}?[\"'`/]"
+        r"|\$\{|[{}\[\]\n])"
     ),
     call=(
         rf"{START}process\s*+(?:\?\s*+)?\.\s*+env\s*+(?:(?:\?\s*+)?\.\s*+([\p{{L}}_$][\p{{L}}\p{{N}}_$]*+)"

@@ -235,3 +235,78 @@ m as (
 select doc_id, licence, count(*) as n_segments, round(max(dice), 6) as best_dice
 from m where dice >= 0.8 - 1e-12 group by doc_id, licence
 """
+
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '')"
+ORACLES["op7_substring_dedup"] = f"""
+with t as (select doc_id, {_WORDS} as w from documents),
+s as (select doc_id, w, unnest(range(len(w) - 12)) as a from t where len(w) >= 13),
+k as (select doc_id, a, array_to_string(w[a+1:a+13], ' ') as h from s),
+o as (select h, min(doc_id) as first from k group by h),
+g as (select distinct doc_id, a + unnest(range(13)) as pos from k join o using (h) where first < k.doc_id),
+p as (select doc_id, unnest(range(len(w))) as pos, unnest(w) as word from t),
+j as (select p.*, g.pos is not null as gone from p left join g on g.doc_id = p.doc_id and g.pos = p.pos),
+x as (
+    select doc_id, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by pos) filter (not gone) as kept
+    from j group by doc_id
+)
+select t.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+    sha256(coalesce(kept, '')) as kept_sha256
+from t left join x using (doc_id)
+"""
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _spans_sql(kind: int, pattern: str, keep: str, group: int = 0) -> str:
+    """Spans of one kind: lengths of the gaps and matches before each match."""
+    p = _text(pattern)
+    return f"""
+    select doc_id, start, {kind} as kind, start + length(m) as stop from (
+        select doc_id, ms[i] as m, parts[i] as part,
+            list_sum(list_transform(gaps[1:i], lambda z: length(z)))
+            + coalesce(list_sum(list_transform(ms[1:i-1], lambda z: length(z))), 0) as start
+        from (
+            select *, unnest(range(1, len(ms) + 1)) as i from (
+                select doc_id, string_split_regex(x, {p}) as gaps, regexp_extract_all(x, {p}, 0) as ms,
+                    regexp_extract_all(x, {p}, {group}) as parts
+                from d
+            )
+        )
+    ) where {keep}"""
+
+
+_TERMS = "[" + ", ".join(map(str, secrets.TERMS)) + "]"
+_LEAST = (
+    f"list_min(list_transform(range(length(m) - {secrets.WINDOW - 1}), lambda k: list_sum(list_transform("
+    f"map_values(list_aggregate(string_split(substr(m, k + 1, {secrets.WINDOW}), ''), 'histogram')), "
+    f"lambda v: {_TERMS}[v::bigint + 1]))))"
+)
+_MOST = "case " + " ".join(
+    f"when regexp_matches(m, {_text(c.pattern)}) then {c.most()}" for c in secrets.CLASSES
+) + " else -1 end"
+_NOT_ALLOWED = " and ".join(f"not regexp_matches(m, {_text(a)})" for a in secrets.ALLOWED)
+_ENTROPY = (
+    f"regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and {_NOT_ALLOWED} and {_LEAST} <= {_MOST}"
+)
+_NAMES = "['" + "', '".join(secrets.KINDS) + "']"
+_LIST = f"string_agg({_NAMES}[kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop)"
+ORACLES["op2_secret_scan"] = f"""
+with d as (select doc_id, coalesce(text, '') as x from documents),
+s as (
+    {_spans_sql(0, secrets.ASSIGN, f"length(part) >= {secrets.ASSIGN_CHARS}", 2)}
+    union all {_spans_sql(1, secrets.ACCESS, f"length(m) >= {secrets.ACCESS_CHARS}")}
+    union all {_spans_sql(2, secrets.HEX, f"length(m) >= {secrets.HEX_CHARS}")}
+    union all {_spans_sql(3, secrets.CANDIDATE[:-1] + "{" + str(secrets.WINDOW) + ",}", _ENTROPY)}
+),
+g as (
+    select doc_id, {", ".join(f"count(*) filter (kind = {k}) as n_{name}" for k, name in enumerate(secrets.KINDS))},
+        {_LIST} filter (kind < 3) as base, {_LIST} as spans
+    from s group by doc_id
+)
+select d.doc_id, {", ".join(f"coalesce(n_{name}, 0) as n_{name}" for name in secrets.KINDS)},
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (doc_id)
+"""

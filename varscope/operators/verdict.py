@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varscope.operators import selection
-from varscope.operators.inventory import inventory
+from varscope.operators.inventory import inventory, scanned_files
 from varscope.operators.joins import join_per_key
-from varscope.operators.reconcile import diff_counts, new
+from varscope.operators.reconcile import diff_counts, new, reconcile
 from varscope.operators.reports import json_string
+from varscope.operators.template import parse_templates
+from varscope.session import materialize
+from varscope.sources import tables
 
 
 def exit_code(n_new: Column, n_stale: Column, strict: bool, fail_on_stale: bool) -> Column:
@@ -95,6 +98,22 @@ def drift_outputs(numbered: DataFrame, verdicts: DataFrame) -> DataFrame:
     return join_per_key(named, facts, ["repo"], ["name"]).unionByName(without)
 
 
+def check_configured(
+    files: DataFrame, config: DataFrame, strict: bool = False, fail_on_stale: bool = False
+) -> DataFrame:
+    """The verdict of repositories that bring their own ignore file, template and configuration.
+
+    ``files`` holds all of them as files; ``config`` has the exclude globs and the
+    template's name (see ``tables.resolve_config``).
+    """
+    resolved = tables.resolve_config(files.select("repo").distinct(), config)
+    rules = materialize(tables.rules_from_files(files).unionByName(selection.config_rules(resolved)))
+    found = inventory(selection.walk_refs(files, rules))
+    entries = parse_templates(tables.templates_from_files(files, resolved))
+    stats = scanned_files(selection.walked_paths(files, rules))
+    return check(reconcile(found, entries), stats, strict, fail_on_stale)
+
+
 def check_changes(
     files: DataFrame,
     changes: DataFrame,

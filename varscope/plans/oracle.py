@@ -433,6 +433,13 @@ oracle(
        from verdict""",
     VERDICT,
 )
+oracle(
+    "check_configured",
+    """select repo, case when n_new > 0 then 'fail' else 'pass' end as status,
+         case when n_new > 0 then 1 when n_stale > 0 then 2 else 0 end as exit_code, n_new, n_stale, scanned_files
+       from verdict""",
+    VERDICT,
+)
 oracle(
     "check_json",
     """select repo, row_number() over (partition by repo order by section, place) as ord, text from (

@@ -613,6 +613,29 @@ def check(spark, sf):
     return plain.withColumn("strict_exit_code", strict)
 
 
+@query
+def check_configured(spark, sf):
+    """Ignore files and templates lie among the files; exclude globs are configured."""
+    rules = corpus.ignore_rules(spark, sf)
+
+    def patterns(kind):
+        ordered = F.array_sort(F.collect_list(F.struct("ord", "pattern")))
+        return rules.filter(F.col("kind") == kind).groupBy("repo").agg(
+            F.transform(ordered, lambda rule: rule["pattern"]).alias("patterns")
+        )
+
+    ignore_files = patterns("gitignore").select(
+        "repo", F.lit(".gitignore").alias("path"), F.array_join("patterns", "\n").alias("content")
+    )
+    templates = corpus.env_templates(spark, sf).select("repo", F.lit(".env.example").alias("path"), "content")
+    config = patterns("exclude").select(
+        "repo", F.lit("project").alias("source"), F.lit(True).alias("valid"),
+        F.col("patterns").alias("exclude"), F.lit(None).cast("string").alias("output"),
+    )
+    brought = files(spark, sf).select("repo", "path", "content").unionByName(ignore_files).unionByName(templates)
+    return verdict.check_configured(brought, config, fail_on_stale=True)
+
+
 @query
 def check_json(spark, sf):
     entries_ = materialize(merged(spark, sf))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varscope.functions import paths
+from varscope.functions import paths, text
+from varscope.session import fits_broadcast
 
 DEFAULT_OUTPUT = ".env.example"
+IGNORE_FILE = ".gitignore"
 
 
 def source_files(spark: SparkSession, table: str) -> DataFrame:
@@ -42,6 +44,26 @@ def resolve_config(repos: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
+def rules_from_files(files: DataFrame) -> DataFrame:
+    """(repo, kind, ord, pattern): lines of the ignore file at the root of each repo."""
+    lines = text.to_lines(text.decode(F.col("content")))
+    root = files.filter((F.col("path") == IGNORE_FILE) & F.col("content").isNotNull())
+    return root.select("repo", F.lit("gitignore").alias("kind"), F.posexplode(lines).alias("ord", "pattern"))
+
+
+def templates_from_files(files: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(repo, content): the file each repo's configuration names as its template.
+
+    ``resolved`` has one row per repo (see ``resolve_config``). Only file names decide, so
+    texts of other files are dropped inside the scan when the names are counted to be few.
+    """
+    named = resolved.select("repo", F.col("output").alias("path"))
+    if fits_broadcast(named):
+        named = F.broadcast(named)
+    found = files.join(named, ["repo", "path"]).filter(F.col("content").isNotNull())
+    return found.select("repo", text.decode(F.col("content")).alias("content"))
+
+
 def read_cache(store: DataFrame) -> DataFrame:
     """description_cache rows from stored (key, entry) with entry = JSON text.
 

@@ -10,8 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a broadcast side may hold; anything larger goes through a shuffle join.
+# Rows and bytes a broadcast side may hold; anything larger goes through a shuffle join.
 BROADCAST_ROW_LIMIT = 100_000
+BROADCAST_BYTE_LIMIT = 64 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -80,9 +81,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when ``df`` holds at most ``limit`` rows; stops counting right after."""
-    return df.limit(limit + 1).count() <= limit
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT) -> bool:
+    """True when ``df`` holds at most ``limit`` rows and ``max_bytes``, measured as JSON text.
+
+    Stops reading right after the limit.
+    """
+    size = F.octet_length(F.to_json(F.struct("*"))).alias("size")
+    rows, total = df.limit(limit + 1).select(size).agg(F.count("*"), F.sum("size")).first()
+    return rows <= limit and (total or 0) <= max_bytes
 
 
 def heavy_keys(counted: DataFrame, count_col: str, limit: int = BROADCAST_ROW_LIMIT) -> int | None:

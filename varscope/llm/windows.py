@@ -62,7 +62,7 @@ def pack(**arrays: np.ndarray) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_batch(batch)
-    return zstandard.compress(sink.getvalue(), 1)
+    return zstandard.compress(sink.getvalue(), 3)
 
 
 def unpack(packed: bytes, **kinds: type) -> list[np.ndarray]:

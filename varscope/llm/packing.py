@@ -36,6 +36,8 @@ from varscope.session import materialize
 LENGTH = 4096
 OPEN_WINDOWS = 16
 END_ID = 2
+# Segments a worker remembers; with fewer it asks the tokenizer for the same ones again.
+REMEMBERED = 700_000
 # A task's sequences are numbered from task * TASK_SEQUENCES; merged ones follow those of all tasks.
 TASK_SEQUENCES = 1 << 36
 
@@ -68,7 +70,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.segments = SegmentIds(self.encode)
+        self.segments = SegmentIds(self.encode, REMEMBERED)
 
     def encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [s.decode("utf-8", "replace") for s in segments]

@@ -6,13 +6,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 from brute import base_secrets, lines, near, quality_counts, sha, shingles, windows, words
 from pyspark.sql import functions as F
 
-from varscope.llm import licences, near as near_join, packing, pieces, quality, secrets, suffixes, voronoi
+from varscope.llm import licences, near as near_join, packing, pieces, quality, secrets, suffixes, tasks, voronoi
 from varscope.llm import lines as line_dedup
 from varscope.llm import windows as substring_dedup
 
@@ -46,6 +47,64 @@ def test_suffix_dedup(odd_rows, odd_docs, no_docs):
     assert suffixes.repeated_passages(no_docs).count() == 0
 
 
+def phrase_rows():
+    """Documents that share a phrase or a passage, each with words of its own around it."""
+    own = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    phrase, stretch = "to be sure", " ".join(f"s{j}" for j in range(49))
+    rows = [(k, f"{own(k, 20)} {phrase} {own(-k, 20)}") for k in range(1, 150)]
+    rows += [(k, f"{own(k, 30)} {stretch} {own(-k, 30)}") for k in range(200, 300)]
+    rows += [(k, f"{own(k - 150, 20)} {phrase} {own(150 - k, 20)}") for k in range(251, 271)]
+    rows += [(k + 1000, t) for k, t in rows[::7]]
+    return rows
+
+
+def test_hot_buckets_are_split(spark):
+    rows = phrase_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    total = sum(len(t) for _, t in rows)
+    hot = substring_dedup.hot_minimisers(docs, total, 13, 3, 5000)
+    assert len(hot)
+    table = pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]})
+
+    def largest(hot):
+        strings, _ = substring_dedup.group_strings(table, 13, 3, hot)
+        sizes = [
+            substring_dedup.unpack(x, number=np.int32, doc=np.int64, shared=bool, size=np.int32, text=np.uint8)[3].sum()
+            for _, x in strings.by_bucket(1 << 30)
+        ]
+        return max(sizes)
+
+    assert largest(hot) < 5000 < largest(hot[:0])
+    own = suffixes.Suffixes(suffixes.ordered(table))
+    for split in (False, True):
+        place = np.arange(len(own.prefixes), dtype=np.int32)
+        flags = np.full(len(place), split)
+        agreeing = pa.table({"agreeing": pa.array([suffixes.pack(place=place, hot=flags)], pa.binary())})
+        sizes = [
+            suffixes.unpack(x, number=np.int32, doc=np.int64, shared=bool, size=np.int32, single=bool, text=np.uint8)[3].sum()
+            for _, x in suffixes.agreeing_strings(table, agreeing, lambda keys: (keys % np.uint64(1 << 30)).astype(np.int64))
+        ]
+        assert (max(sizes) < 5000) == split
+    got = rows_of(substring_dedup.dedup_substrings(docs, group_bytes=5000), "doc_id", "n_words", "n_removed", "kept_text")
+    assert got == Counter(windows(rows, 13))
+    removed = Counter()
+    for r in suffixes.repeated_passages(docs, group_bytes=5000).collect():
+        removed[r.doc_id] += r.n_words
+    assert removed == Counter({d: n for d, _, n, _ in windows(rows, 50) if n})
+
+
+def test_repeated_rows_are_folded(spark):
+    passage = " ".join(f"p{j}" for j in range(60))
+    rows = [(1, passage)] + [(2, "own " + passage)] * 300 + [(None, None)] * 400 + [(None, passage)] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folded = tasks.folded(docs, 5000).collect()
+    assert Counter({(r.doc_id, r.text): r.copies for r in folded}) == Counter(rows) and len(folded) == 4
+    got = rows_of(substring_dedup.dedup_substrings(docs, group_bytes=5000), "doc_id", "n_words", "n_removed", "kept_text")
+    assert got == Counter(windows(rows, 13))
+    spans = rows_of(suffixes.repeated_passages(docs, group_bytes=5000), *"doc_id start_word n_words first_doc_id".split())
+    assert spans == {(2, 1, 60, 1): 300}
+
+
 def test_line_dedup(odd_rows, odd_docs, no_docs):
     found = line_dedup.dedup_lines(odd_docs, batches=3, fanout=2)
     assert set(odd_docs.columns) == set(found.columns)

@@ -11,7 +11,11 @@ strings of a prefix are sorted again, and equal neighbours are repeated stretche
 Scale. About two of 27 positions are retained, and the sort moves only a hash for each.
 Text travels for the agreeing suffixes alone, in answer to the sort, and a string held
 by many documents travels once per group of documents. Groups hold ``tasks.GROUP_BYTES``
-of text.
+of text. A prefix whose strings outgrow a group over all documents is hot: words to the
+left of a frequent phrase differ between documents, so folding does not bound it. The
+first sort tells the groups, and the stretches of hot prefixes travel one by one to the
+bucket of their own 50 words. Rows repeated so often that they outgrow a group are folded
+to one row and given back at the end.
 
 Defined results. A stretch is a repeat in a document if a document with a smaller id has
 it. A null or empty text has none; a document without ``doc_id`` neither has repeats nor
@@ -21,14 +25,14 @@ within one document do not count. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from varscope.llm.blocks import U, find_words, gather, mix, ngrams, ranges, span_hash, text_bytes, within
-from varscope.llm.tasks import GROUP_BYTES, group_count, group_of, text_rows
+from varscope.llm.tasks import GROUP_BYTES, folded, group_count, group_of, text_rows, unfolded
 from varscope.llm.windows import covered, pack, smallest_documents, unpack
 
 LENGTH = 50
@@ -38,7 +42,10 @@ PREFIX = LENGTH - REACH + 1
 # A run of stretches is cut here; see ``windows.RUN_WINDOWS``.
 RUN_STRETCHES = 64
 
-SPANS = "doc_id long, start_word long, n_words long, first_doc_id long"
+# Strings are weighed in units, so that nearly all weights are one and compress to nothing.
+UNIT = 1024
+
+SPANS = "doc_id long, start_word long, n_words long, first_doc_id long, copies long"
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,10 +70,10 @@ class Suffixes:
     """The retained suffixes of one group of documents.
 
     ``start`` and ``length`` are the stretches that name a suffix, one run per suffix.
-    Runs with equal strings share a ``number``.
+    Runs with equal strings share a ``number``. ``single`` cuts all runs into stretches.
     """
 
-    def __init__(self, docs: pa.Table):
+    def __init__(self, docs: pa.Table, single: bool = False):
         data, offsets = text_bytes(docs.column("text"))
         ids = docs.column("doc_id")
         has_id, doc_ids = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0), np.int64)
@@ -79,7 +86,7 @@ class Suffixes:
         new[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
         position = np.arange(len(valid))
         begun = np.maximum.accumulate(np.where(new, position, 0)) if len(valid) else position
-        new |= valid & ((position - begun) % RUN_STRETCHES == 0)
+        new |= valid & ((position - begun) % (1 if single else RUN_STRETCHES) == 0)
         self.start = np.flatnonzero(new)
         self.length = np.bincount((np.cumsum(new) - 1)[valid], minlength=len(self.start))
         self.prefix = ngrams(h, PREFIX)[place[self.start]]
@@ -107,6 +114,22 @@ class Suffixes:
         self.prefixes, first = np.unique(self.prefix[self.run], return_index=True)
         self.prefix_of = np.searchsorted(self.prefixes, self.prefix[self.run])
         self.alone = np.bincount(self.prefix_of, weights=1 + self.shared, minlength=len(first)) == 1
+        self.key = keys[0][self.run]  # of the whole string
+        begin, end = self.edges(self.run)
+        weight = 1 + (end - begin) // UNIT
+        self.weight = np.bincount(self.prefix_of, weights=weight, minlength=len(first)).astype(np.int32)
+
+    def edges(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte of the runs' strings, and the byte after the last."""
+        return self.words.start[self.start[run]], self.words.end[self.start[run] + self.length[run] + LENGTH - 2]
+
+    def packed(self, number: np.ndarray, single: bool) -> bytes:
+        run = self.run[number]
+        text, offsets = gather(self.words.data, *self.edges(run))
+        return pack(
+            number=number.astype(np.int32), doc=self.doc[run], shared=self.shared[number],
+            size=np.diff(offsets).astype(np.int32), single=np.array([single]), text=text,
+        )
 
 
 def ordered(docs: pa.Table) -> pa.Table:
@@ -128,11 +151,11 @@ def table_of(rows: list[tuple], first: str, second: str, third: str | None = Non
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
 
 
-def neighbours(table: pa.Table) -> pa.Table:
-    """Sorts the prefixes of a bucket; tells each group which of its prefixes have an equal neighbour."""
+def neighbours(table: pa.Table, hot_bytes: int) -> pa.Table:
+    """Sorts the prefixes of a bucket; tells each group which have an equal neighbour, and which are hot."""
     cells = np.asarray(table.column("cell"), np.int64)
     order = np.argsort(cells, kind="stable")
-    parts = [unpack(table.column("prefixes")[int(i)].as_py(), place=np.int32, prefix=U, alone=bool) for i in order]
+    parts = [unpack(table.column("prefixes")[int(i)].as_py(), place=np.int32, prefix=U, alone=bool, weight=np.int32) for i in order]
     prefix = np.concatenate([p[1] for p in parts])
     alone = np.concatenate([p[2] for p in parts])
     by_prefix = np.argsort(prefix, kind="stable")
@@ -140,12 +163,15 @@ def neighbours(table: pa.Table) -> pa.Table:
     agrees = ~alone
     agrees[by_prefix[1:][equal]] = True
     agrees[by_prefix[:-1][equal]] = True
+    number = np.empty(len(prefix), np.int64)
+    number[by_prefix] = np.cumsum(np.concatenate([[True], ~equal])[: len(prefix)]) - 1
+    hot = (np.bincount(number, weights=np.concatenate([p[3] for p in parts])) * UNIT > hot_bytes)[number]
     rows, before = [], 0
-    for i, (place, _, _) in zip(order, parts):
-        mine = place[agrees[before : before + len(place)]]
-        before += len(place)
+    for i, (place, *_) in zip(order, parts):
+        mine = np.flatnonzero(agrees[before : before + len(place)])
         if len(mine):
-            rows.append((int(cells[i]), pack(place=mine)))
+            rows.append((int(cells[i]), pack(place=place[mine], hot=hot[before + mine])))
+        before += len(place)
     return table_of(rows, "cell", "agreeing")
 
 
@@ -154,11 +180,14 @@ def extended(table: pa.Table) -> pa.Table:
     cells = np.asarray(table.column("cell"), np.int64)
     order = np.argsort(cells, kind="stable")
     parts = [
-        unpack(table.column("strings")[int(i)].as_py(), number=np.int32, doc=np.int64, shared=bool, size=np.int32, text=np.uint8)
+        unpack(
+            table.column("strings")[int(i)].as_py(),
+            number=np.int32, doc=np.int64, shared=bool, size=np.int32, single=bool, text=np.uint8,
+        )
         for i in order
     ]
     sizes = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    words = find_words(np.concatenate([p[4] for p in parts]), np.concatenate([[0], np.cumsum(sizes)]))
+    words = find_words(np.concatenate([p[5] for p in parts]), np.concatenate([[0], np.cumsum(sizes)]))
     doc = np.concatenate([p[1] for p in parts])
     _, least = smallest_documents(words, doc, LENGTH)
     stretches = np.diff(words.first) - LENGTH + 1
@@ -172,7 +201,10 @@ def extended(table: pa.Table) -> pa.Table:
             rows.append(
                 (
                     int(cells[i]),
-                    pack(number=part[0][mine - before], stretches=n.astype(np.int32), least=least[ranges(starts[mine], n)]),
+                    pack(
+                        number=part[0][mine - before], stretches=n.astype(np.int32),
+                        least=least[ranges(starts[mine], n)], single=part[4],
+                    ),
                 )
             )
         before += len(part[1])
@@ -181,22 +213,31 @@ def extended(table: pa.Table) -> pa.Table:
 
 def spans(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Maximal repeated spans of a group's documents, with the smallest document of their stretches."""
-    empty = pa.table({n: pa.array([], pa.int64()) for n in ("doc_id", "start_word", "n_words", "first_doc_id")})
+    empty = pa.table({n: pa.array([], pa.int64()) for n in ("doc_id", "start_word", "n_words", "first_doc_id", "copies")})
     if not docs.num_rows or not answers.num_rows:
         return empty
     docs = ordered(docs)
-    own = Suffixes(docs)
-    parts = [unpack(x.as_py(), number=np.int32, stretches=np.int32, least=np.int64) for x in answers.column("answers")]
-    number, stretches, least = (np.concatenate(x) for x in zip(*parts))
-    place = np.full(len(own.run), -1)
-    place[number] = np.arange(len(number))
-    begins = np.cumsum(stretches) - stretches
-    runs = np.flatnonzero(place[own.number] >= 0)
-    length = own.length[runs]
-    at = ranges(own.start[runs], length)
-    owner = least[ranges(begins[place[own.number[runs]]], length)]
-    earlier = owner < np.repeat(own.doc[runs], length)
-    at, owner = at[earlier], owner[earlier]
+    parts = [
+        unpack(x.as_py(), number=np.int32, stretches=np.int32, least=np.int64, single=bool)
+        for x in answers.column("answers")
+    ]
+    found = []
+    for single in (False, True):
+        mine = [p[:3] for p in parts if p[3][0] == single]
+        if not mine:
+            continue
+        own = Suffixes(docs, single)
+        number, stretches, least = (np.concatenate(x) for x in zip(*mine))
+        place = np.full(len(own.run), -1)
+        place[number] = np.arange(len(number))
+        begins = np.cumsum(stretches) - stretches
+        runs = np.flatnonzero(place[own.number] >= 0)
+        length = own.length[runs]
+        at = ranges(own.start[runs], length)
+        owner = least[ranges(begins[place[own.number[runs]]], length)]
+        earlier = owner < np.repeat(own.doc[runs], length)
+        found.append((at[earlier], owner[earlier]))
+    at, owner = (np.concatenate(x) for x in zip(*found))
     if not len(at):
         return empty
     words = own.words
@@ -216,10 +257,32 @@ def spans(docs: pa.Table, answers: pa.Table) -> pa.Table:
             "start_word": pa.array(start - words.first[doc], pa.int64()),
             "n_words": pa.array(size, pa.int64()),
             "first_doc_id": pa.array(first, pa.int64()),
+            "copies": docs.column("copies").take(pa.array(doc)),
         }
     )
 
 
+def agreeing_strings(
+    table: pa.Table, agreeing: pa.Table, bucket_of: Callable[[np.ndarray], np.ndarray]
+) -> Iterator[tuple[int, bytes]]:
+    """The strings of a group's agreeing prefixes: of hot ones, each stretch by its own words."""
+    docs = ordered(table)
+    own = Suffixes(docs)
+    agrees, hot = np.zeros(len(own.prefixes), bool), np.zeros(len(own.prefixes), bool)
+    for answer in agreeing.column("agreeing"):
+        place, is_hot = unpack(answer.as_py(), place=np.int32, hot=bool)
+        agrees[place] = True
+        hot[place] = is_hot
+    number = np.flatnonzero((agrees & ~hot)[own.prefix_of])
+    for bucket, at in by_bucket(bucket_of(own.prefixes[own.prefix_of[number]])):
+        yield bucket, own.packed(number[at], False)
+    if hot.any():
+        own = Suffixes(docs, single=True)
+        number = np.flatnonzero(hot[own.prefix_of])
+        for bucket, at in by_bucket(bucket_of(own.key[number])):
+            yield bucket, own.packed(number[at], True)
+
+
 def repeated_passages(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES
 ) -> DataFrame:
@@ -229,7 +292,7 @@ def repeated_passages(
     id has as well; ``first_doc_id`` is the smallest of those documents. Documents
     without repeats have no row.
     """
-    rows = text_rows(docs, doc_id, text)
+    rows = folded(text_rows(docs, doc_id, text), group_bytes)
     groups = group_count(rows, "text", group_bytes)
     by_cell = rows.withColumn("cell", group_of(groups, "doc_id", "text")).groupBy("cell")
 
@@ -240,34 +303,20 @@ def repeated_passages(
         own = Suffixes(ordered(table))
         found = []
         for bucket, at in by_bucket(bucket_of(own.prefixes)):
-            packed = pack(place=at.astype(np.int32), prefix=own.prefixes[at], alone=own.alone[at])
+            packed = pack(
+                place=at.astype(np.int32), prefix=own.prefixes[at], alone=own.alone[at], weight=own.weight[at]
+            )
             found.append((bucket, key[0].as_py(), packed))
         return table_of(found, "bucket", "cell", "prefixes")
 
     def extend(key: tuple, table: pa.Table, agreeing: pa.Table) -> pa.Table:
         if not table.num_rows or not agreeing.num_rows:
             return table_of([], "bucket", "cell", "strings")
-        own = Suffixes(ordered(table))
-        agrees = np.zeros(len(own.prefixes), bool)
-        for answer in agreeing.column("agreeing"):
-            agrees[unpack(answer.as_py(), place=np.int32)[0]] = True
-        number = np.flatnonzero(agrees[own.prefix_of])
-        found = []
-        for bucket, at in by_bucket(bucket_of(own.prefixes[own.prefix_of[number]])):
-            mine = number[at]
-            run = own.run[mine]
-            begin = own.words.start[own.start[run]]
-            end = own.words.end[own.start[run] + own.length[run] + LENGTH - 2]
-            text, edges = gather(own.words.data, begin, end)
-            packed = pack(
-                number=mine.astype(np.int32), doc=own.doc[run], shared=own.shared[mine],
-                size=np.diff(edges).astype(np.int32), text=text,
-            )
-            found.append((bucket, key[0].as_py(), packed))
+        found = [(bucket, key[0].as_py(), packed) for bucket, packed in agreeing_strings(table, agreeing, bucket_of)]
         return table_of(found, "bucket", "cell", "strings")
 
     prefixes = by_cell.applyInArrow(retain, "bucket int, cell int, prefixes binary")
-    agreeing = prefixes.groupBy("bucket").applyInArrow(neighbours, "cell int, agreeing binary")
+    agreeing = prefixes.groupBy("bucket").applyInArrow(lambda t: neighbours(t, group_bytes), "cell int, agreeing binary")
     strings = by_cell.cogroup(agreeing.groupBy("cell")).applyInArrow(extend, "bucket int, cell int, strings binary")
     answers = strings.groupBy("bucket").applyInArrow(extended, "cell int, answers binary")
-    return by_cell.cogroup(answers.groupBy("cell")).applyInArrow(spans, SPANS)
+    return unfolded(by_cell.cogroup(answers.groupBy("cell")).applyInArrow(spans, SPANS))

@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 GROUP_BYTES = 4 << 20
 
 
+def total_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def groups_for(total: int, group_bytes: int = GROUP_BYTES) -> int:
+    return max(1, -(-total // group_bytes))
+
+
 def group_count(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES) -> int:
     """Groups needed for ``group_bytes`` of text each. Reads the text column once."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, -(-total // group_bytes))
+    return groups_for(total_bytes(docs, text), group_bytes)
 
 
 def group_of(groups: int, *columns: str) -> Column:
@@ -24,6 +31,29 @@ def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def folded(rows: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``doc_id, text, copies``: rows whose copies hold more than ``group_bytes`` come once.
+
+    Only keys travel to find them; there are at most as many as groups. 64 bytes count for
+    a row of its own, so that empty texts are folded as well.
+    """
+    key = F.xxhash64("doc_id", "text")
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)
+    heavy = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), size.alias("size"))
+    heavy = [r[0] for r in heavy.where((F.col("n") > 1) & (F.col("size") > group_bytes)).select("key").collect()]
+    once = rows.withColumn("copies", F.lit(1).cast("bigint"))
+    if not heavy:
+        return once
+    often = rows.where(key.isin(heavy)).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    return once.where(~key.isin(heavy)).unionByName(often)
+
+
+def unfolded(rows: DataFrame) -> DataFrame:
+    """Each row ``copies`` times, without that column."""
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))
+    return rows.withColumn("_copy", again).drop("_copy", "copies")
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

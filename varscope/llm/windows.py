@@ -11,6 +11,12 @@ held by a third of all documents arrives once per group and not once per documen
 bucket answers with the smallest documents of the windows in a string, again once per
 group; the group then looks up its own strings. Nothing travels per occurrence.
 
+A minimiser whose strings hold more than ``group_bytes`` over all documents is hot: words
+around a frequent phrase differ between documents, so folding does not bound its bucket.
+Windows of hot minimisers travel one by one to the bucket of their whole content. Equal
+windows have equal minimisers, so they still meet. Rows repeated so often that they
+outgrow a group are folded to one row and given back at the end.
+
 Defined results. A null or empty text has no words. A document without ``doc_id``
 neither loses words nor takes any from others. Rows that share a ``doc_id`` are one
 document for the comparison and keep a row each. A window that repeats only within its
@@ -30,6 +36,7 @@ from pyspark.sql import functions as F
 from varscope.llm.blocks import (
     U,
     Words,
+    blocks,
     find_words,
     gather,
     mix,
@@ -42,16 +49,19 @@ from varscope.llm.blocks import (
     to_strings,
     within,
 )
-from varscope.llm.tasks import GROUP_BYTES, group_count, group_of, text_rows
+from varscope.llm.tasks import GROUP_BYTES, folded, group_of, groups_for, text_rows, total_bytes, unfolded
 
 WINDOW = 13
 MINIMISER = 3
 # A run of windows is cut here, so that a text of one repeated word makes no endless string.
 RUN_WINDOWS = 64
+# Text whose minimisers are counted together before the frequent ones leave a task.
+COUNTED_BYTES = 64 << 20
+NO_HOT = np.zeros(0, U)
 
 STRINGS = "bucket int, cell int, strings binary"
 ANSWERS = "cell int, answers binary"
-KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
+KEPT = "doc_id long, n_words long, n_removed long, kept_text string, copies long"
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -70,27 +80,40 @@ def unpack(packed: bytes, **kinds: type) -> list[np.ndarray]:
     return [np.frombuffer(batch.column(name)[0].as_buffer(), kind) for name, kind in kinds.items()]
 
 
+def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are in ``some``, a sorted array."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def runs(
+    words: Words, h: np.ndarray, has_id: np.ndarray, window: int, minimiser: int, hot: np.ndarray = NO_HOT
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, minimiser) of each run; a hot minimiser's have one window."""
+    least = sliding_min(ngrams(h, minimiser), window - minimiser + 1)
+    valid = within(words, window)
+    valid &= has_id[words.doc[: len(valid)]]
+    new = valid.copy()
+    new[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+    position = np.arange(len(valid))
+    begun = np.maximum.accumulate(np.where(new, position, 0))
+    new |= valid & ((position - begun) % RUN_WINDOWS == 0)
+    new |= valid & among(least, hot)
+    start = np.flatnonzero(new)
+    number = np.cumsum(new) - 1
+    # windows of each run; runs lie in `valid` stretches only
+    length = np.bincount(number[valid], minlength=len(start)) if len(start) else start
+    return start, length, least[start]
+
+
 class Strings:
     """The distinct packed strings of one group of documents."""
 
-    def __init__(self, words: Words, doc_ids: np.ndarray, has_id: np.ndarray, window: int, minimiser: int):
+    def __init__(self, words: Words, doc_ids: np.ndarray, has_id: np.ndarray, window: int, minimiser: int, hot: np.ndarray = NO_HOT):
         self.words, self.window = words, window
         h = span_hash(words.data, words.start, words.end)
-        grams = ngrams(h, minimiser)
-        least = sliding_min(grams, window - minimiser + 1)
-        valid = within(words, window)
-        valid &= has_id[words.doc[: len(valid)]]
-        new = valid.copy()
-        new[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
-        position = np.arange(len(valid))
-        begun = np.maximum.accumulate(np.where(new, position, 0))
-        new |= valid & ((position - begun) % RUN_WINDOWS == 0)
-        start = np.flatnonzero(new)
-        number = np.cumsum(new) - 1
-        # windows of each run; runs lie in `valid` stretches only
-        self.length = np.bincount(number[valid], minlength=len(start)) if len(start) else start
-        self.start = start
-        self.least = least[start]
+        self.start, self.length, self.least = start, _, _ = runs(words, h, has_id, window, minimiser, hot)
         self.doc = doc_ids[words.doc[start]] if len(start) else start
         content = ngrams(h, window)
         at = ranges(start, self.length)
@@ -109,9 +132,11 @@ class Strings:
         self.run = order[heads]  # a run for each distinct string, of its smallest document
         last = np.append(heads[1:], len(order)) - 1 if len(order) else heads
         self.shared = self.doc[order[last]] != self.doc[self.run]
+        # what equal windows share: their minimiser, or all of their words if it is hot
+        self.key = np.where(among(self.least[self.run], hot), key[0][self.run], self.least[self.run])
 
     def by_bucket(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        bucket = (mix(self.least[self.run]) % U(buckets)).astype(np.int64)
+        bucket = (mix(self.key) % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         for lo, hi in zip(edges, np.append(edges[1:], len(order))):
@@ -129,14 +154,16 @@ class Strings:
             )
 
 
-def group_strings(table: pa.Table, window: int, minimiser: int) -> tuple[Strings, pa.Table]:
+def group_strings(
+    table: pa.Table, window: int, minimiser: int, hot: np.ndarray = NO_HOT
+) -> tuple[Strings, pa.Table]:
     """The strings of a group; the rows are put in an order that does not depend on their arrival."""
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
     data, offsets = text_bytes(table.column("text"))
     ids = table.column("doc_id")
     has_id = np.asarray(ids.is_valid())
     doc_ids = np.asarray(ids.fill_null(0), np.int64)
-    return Strings(find_words(data, offsets), doc_ids, has_id, window, minimiser), table
+    return Strings(find_words(data, offsets), doc_ids, has_id, window, minimiser, hot), table
 
 
 def smallest_documents(words: Words, doc: np.ndarray, window: int):
@@ -208,8 +235,10 @@ def keep_words(words: Words, offsets: np.ndarray, removed: np.ndarray) -> tuple[
     return text, np.concatenate([[0], np.cumsum(length)])
 
 
-def apply_answers(docs: pa.Table, answers: pa.Table, window: int, minimiser: int) -> pa.Table:
-    strings, docs = group_strings(docs, window, minimiser)
+def apply_answers(
+    docs: pa.Table, answers: pa.Table, window: int, minimiser: int, hot: np.ndarray = NO_HOT
+) -> pa.Table:
+    strings, docs = group_strings(docs, window, minimiser, hot)
     words = strings.words
     removed = np.zeros(len(words), bool)
     if answers.num_rows and len(strings.run):
@@ -220,12 +249,12 @@ def apply_answers(docs: pa.Table, answers: pa.Table, window: int, minimiser: int
         place = np.full(len(strings.run), -1)
         place[number] = np.arange(len(number))
         begins = np.cumsum(windows) - windows
-        runs = np.flatnonzero(place[strings.number] >= 0)
-        answer = place[strings.number[runs]]
-        length = strings.length[runs]
-        at = ranges(strings.start[runs], length)
+        answered = np.flatnonzero(place[strings.number] >= 0)
+        answer = place[strings.number[answered]]
+        length = strings.length[answered]
+        at = ranges(strings.start[answered], length)
         found = least[ranges(begins[answer], length)]
-        removed = covered(len(words), at[found < np.repeat(strings.doc[runs], length)], window)
+        removed = covered(len(words), at[found < np.repeat(strings.doc[answered], length)], window)
     _, offsets = text_bytes(docs.column("text"))
     text, kept = keep_words(words, offsets, removed)
     return pa.table(
@@ -234,10 +263,49 @@ def apply_answers(docs: pa.Table, answers: pa.Table, window: int, minimiser: int
             "n_words": pa.array(words.counts(), pa.int64()),
             "n_removed": pa.array(np.bincount(words.doc[removed], minlength=docs.num_rows), pa.int64()),
             "kept_text": to_strings(text, kept, pa.string()),
+            "copies": docs.column("copies"),
         }
     )
 
 
+def hot_minimisers(rows: DataFrame, total: int, window: int, minimiser: int, hot_bytes: int) -> np.ndarray:
+    """Sorted minimisers; all whose strings hold ``hot_bytes`` or more are among them.
+
+    A task passes on the minimisers that hold their share of half of ``hot_bytes`` in the
+    text it has read. What it keeps back adds up to less than the other half.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, seen = [], 0
+
+        def frequent() -> pa.RecordBatch:
+            least, size = (np.concatenate(x) for x in zip(*parts))
+            found, number = np.unique(least, return_inverse=True)
+            size = np.bincount(number, weights=size, minlength=len(found)).astype(np.int64)
+            enough = size >= hot_bytes / 2 * seen / total
+            columns = [pa.array(found[enough].view(np.int64)), pa.array(size[enough])]
+            return pa.RecordBatch.from_arrays(columns, ["minimiser", "size"])
+
+        for block in blocks(batches, "text"):
+            data, offsets = text_bytes(block.column("text"))
+            words = find_words(data, offsets)
+            has_id = np.asarray(block.column("doc_id").is_valid())
+            start, length, least = runs(
+                words, span_hash(words.data, words.start, words.end), has_id, window, minimiser
+            )
+            parts.append((least, words.end[start + length + window - 2] - words.start[start]))
+            seen += len(data)
+            if seen >= COUNTED_BYTES:
+                yield frequent()
+                parts, seen = [], 0
+        if seen:
+            yield frequent()
+
+    counted = rows.select("doc_id", "text").mapInArrow(count, "minimiser long, size long")
+    hot = counted.groupBy("minimiser").agg(F.sum("size").alias("size")).where(F.col("size") >= hot_bytes / 2)
+    return np.sort(np.array([r[0] for r in hot.select("minimiser").collect()], np.int64).view(U))
+
+
 def dedup_substrings(
     docs: DataFrame,
     window: int = WINDOW,
@@ -250,12 +318,14 @@ def dedup_substrings(
 
     A word is removed if a window over it also starts in a document with a smaller id.
     """
-    rows = text_rows(docs, doc_id, text)
-    groups = group_count(rows, "text", group_bytes)
+    rows = folded(text_rows(docs, doc_id, text), group_bytes)
+    total = total_bytes(rows, "text")
+    groups = groups_for(total, group_bytes)
+    hot = hot_minimisers(rows, total, window, minimiser, group_bytes)
     rows = rows.withColumn("cell", group_of(groups, "doc_id", "text"))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        strings, _ = group_strings(table, window, minimiser)
+        strings, _ = group_strings(table, window, minimiser, hot)
         rows = list(strings.by_bucket(groups)) if len(strings.run) else []
         return pa.table(
             {
@@ -276,10 +346,10 @@ def dedup_substrings(
 
     def finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.Table.from_batches([], pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]))
-        return apply_answers(docs, answers, window, minimiser)
+            return pa.Table.from_batches([], pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("copies", pa.int64())]))
+        return apply_answers(docs, answers, window, minimiser, hot)
 
     by_cell = rows.groupBy("cell")
     strings = by_cell.applyInArrow(send, STRINGS)
     answers = strings.groupBy("bucket").applyInArrow(answer, ANSWERS)
-    return by_cell.cogroup(answers.groupBy("cell")).applyInArrow(finish, KEPT)
+    return unfolded(by_cell.cogroup(answers.groupBy("cell")).applyInArrow(finish, KEPT))

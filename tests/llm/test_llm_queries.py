@@ -33,7 +33,7 @@ def documents(duck):
 
 
 def test_all_are_registered():
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in entry.queries())] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in entry.queries())] == []
     assert "pipeline" in entry.queries() and set(ORACLES) <= set(entry.oracle_sql())
 
 

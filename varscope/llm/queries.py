@@ -9,7 +9,21 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varscope.llm import licences, lines, near, packing, pieces, quality, secrets, suffixes, voronoi, windows
+from varscope.llm import (
+    language,
+    licences,
+    lines,
+    near,
+    packing,
+    pieces,
+    quality,
+    resample,
+    secrets,
+    spelling,
+    suffixes,
+    voronoi,
+    windows,
+)
 from varscope.llm.ship import ship
 from varscope.session import materialize
 
@@ -310,3 +324,111 @@ select d.doc_id, {", ".join(f"coalesce(n_{name}, 0) as n_{name}" for name in sec
     sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join g using (doc_id)
 """
+
+
+@query
+def op11_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = language.learn(docs.where(remainder != 2))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        F.coalesce(remainder == 2, F.lit(False)).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        "language.score",
+        "language.accepted",
+    )
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"), drop_every=31)
+
+
+@query
+def op13_resample(spark, sf_dir):
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.resample(docs, target).drop("n_words")
+
+
+# Steps of a checksum by its low byte, from the rule; `steps` is one list of 256.
+_CRC_STEPS = """crc_steps as (
+    select list(list_reduce([i::ubigint] || list_transform(range(8), lambda z: 0::ubigint),
+        lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) order by i) as steps
+    from range(256) r(i)
+)"""
+
+
+def _crc(text: str) -> str:
+    """Unsigned checksum of the UTF-8 bytes of a column; ``crc_steps`` must be joined."""
+    return f"""xor(list_reduce([4294967295::ubigint] || list_transform(range(0, octet_length(encode({text}))),
+        lambda k: ('0x' || substr(hex(encode({text})), 2 * k::int + 1, 2))::ubigint),
+        lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255)::int + 1])), 4294967295::ubigint)"""
+
+
+_LOWERED = f"translate(coalesce(text, ''), '{resample.UPPER}', '{resample.LOWER}')"
+ORACLES["op13_resample"] = rf"""
+with {_CRC_STEPS},
+t as (select doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as f from benchmark),
+d as (select doc_id, unnest(w) as f from t),
+n as (select f, {_crc("f")} % 10000 as bucket from (select f from d union select f from b), crc_steps),
+s as (select bucket, count(*) as s from d join n using (f) group by bucket),
+k as (select bucket, count(*) as t from b join n using (f) group by bucket),
+g as (
+    select bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((select count(*) from d) + 10000))
+        / ((s + 1) * ((select count(*) from b) + 10000)))) as gain
+    from s left join k using (bucket)
+),
+m as (
+    select doc_id, floor(sum(gain) / count(*))::bigint as weight from d join n using (f) join g using (bucket) group by doc_id
+),
+x as (
+    select doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+        ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint as h
+    from t left join m using (doc_id)
+),
+y as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from x),
+r as (
+    select doc_id, row_number() over (order by score desc, doc_id) as rank from y where n_features >= 20
+    qualify rank <= floor(10 * count(*) over () / 100)
+)
+select y.doc_id, n_features, weight, score, rank from y left join r using (doc_id)
+"""
+
+ORACLES["op12_spelling_variants"] = f"""
+with recursive {_CRC_STEPS},
+t as (select doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-zÀ-ÿ]+')) as run from documents),
+h as (select run, {_crc("(doc_id || ':' || run)")} as h from t, crc_steps where length(run) >= 7),
+c as (
+    select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2)
+        else run end as word
+    from h
+),
+v as (select word, count(*) as n from c where length(word) >= 7 group by word having count(*) >= 2),
+k as (
+    select word, n, i, substr(word, 1, i::int) || substr(word, i::int + 2) as short
+    from (select *, unnest(range(length(word))) as i from v)
+),
+e as (
+    select a.word, b.word as other from k a join k b on a.i = b.i and a.short = b.short and a.word <> b.word
+    union select k.word, v.word from k join v on k.short = v.word
+    union select v.word, k.word from k join v on k.short = v.word
+),
+m as (
+    select e.word, count(*) as n_near, first(e.other order by v.n desc, e.other) as best, max(v.n) as best_n
+    from e join v on v.word = e.other group by e.word
+),
+f as (
+    select v.word, v.n, coalesce(n_near, 0) as n_near, case when best_n >= 10 * v.n then best end as form,
+        case when best_n >= 10 * v.n then best_n end as form_n
+    from v left join m using (word)
+),
+r as (
+    select word, word as root, 0 as steps from f
+    union all select r.word, f.form, steps + 1 from r join f on f.word = r.root where f.form is not null
+),
+z as (select word, arg_max(root, steps) as root from r group by word)
+select f.word, form, root, n, n_near, form_n from f join z using (word)
+"""

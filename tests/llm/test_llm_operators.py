@@ -190,6 +190,33 @@ def test_incremental_entropy(spark):
     assert got == [min(entropy_sum(t[k : k + w]) for k in range(len(t) - w + 1)) for t in texts]
 
 
+def test_candidates_that_a_placeholder_or_their_length_hid(spark):
+    value = "qT7xZp0Lm4Vb9Wk2Rs6Yd1Hc8Jf3Ng"
+    cases = {
+        f"SAMPLE_DB_PASS={value}": value,
+        f"sample/{value}": f"sample/{value}",
+        f"your_{value}": f"your_{value}",
+        f"EXAMPLE{value}": None,
+        f"call {value[:18]} now": value[:18],
+        f"call {value[:15]} now": None,
+        f"k=={value}==": f"{value}==",
+        "release-2-of-the-example-2024-01": None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", secrets.spans(F.col("t")).alias("s"))
+    got = {r.t: [r.t[s.start : s.end] for s in r.s if s.kind == 3] for r in df.collect()}
+    assert got == {t: [v] if v else [] for t, v in cases.items()}
+
+
+def test_long_runs_neither_recurse_nor_backtrack(spark):
+    texts = ["1-a-" * 250_000, "a" * 1_000_000, "a1" * 500_000, "=" * 1_000_000, "token=" * 100_000, "a-" * 500_000 + "!"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    got = df.select("t", secrets.may_hold(F.col("t")).alias("m"), secrets.is_random(F.substring("t", 1, 40_000)).alias("r")).collect()
+    assert not any(r.r for r in got)
+    assert df.select(F.size(secrets.matches(F.col("t"), secrets.CANDIDATE)).alias("n")).count() == len(texts)
+    one = spark.createDataFrame([(texts[0], len(texts[0]))], "text string, n_chars int")
+    assert secrets.redacted(one.withColumn("doc_id", F.lit(1))).first().text == texts[0]
+
+
 def test_many_spans_in_one_text(spark):
     text = " é ".join(f"token={k:06d}x" for k in range(1200))
     row = spark.createDataFrame([(text,)], "t string").select(secrets.spans(F.col("t")).alias("s")).first()

@@ -293,27 +293,46 @@ def _spans_sql(kind: int, pattern: str, keep: str, group: int = 0) -> str:
 
 
 _TERMS = "[" + ", ".join(map(str, secrets.TERMS)) + "]"
+def _plain(pattern: str) -> str:
+    """The pattern without the marks that forbid giving characters back."""
+    return _text(pattern.replace("++", "+").replace("*+", "*").replace("}+", "}"))
+
+
+# The parts of a candidate that hold no placeholder, if one does.
+_PARTS = f"list_filter(string_split_regex(m, '[/_-]'), lambda p: not regexp_matches(p, {_text(secrets.PLACEHOLDER)}))"
+_VALUE = (
+    f"case when list_bool_or(list_transform(string_split_regex(m, '[/_-]'), "
+    f"lambda p: regexp_matches(p, {_text(secrets.PLACEHOLDER)}))) then array_to_string({_PARTS}, '_') else m end"
+)
+_W = f"least(length(v), {secrets.WINDOW})"
 _LEAST = (
-    f"list_min(list_transform(range(length(m) - {secrets.WINDOW - 1}), lambda k: list_sum(list_transform("
-    f"map_values(list_aggregate(string_split(substr(m, k + 1, {secrets.WINDOW}), ''), 'histogram')), "
-    f"lambda v: {_TERMS}[v::bigint + 1]))))"
+    f"list_min(list_transform(range(length(v) - {_W} + 1), lambda k: list_sum(list_transform("
+    f"map_values(list_aggregate(string_split(substr(v, k + 1, {_W}), ''), 'histogram')), "
+    f"lambda n: {_TERMS}[n::bigint + 1]))))"
 )
 _MOST = "case " + " ".join(
-    f"when regexp_matches(m, {_text(c.pattern)}) then {c.most()}" for c in secrets.CLASSES
+    f"when regexp_matches(v, {_text(c.pattern)}) then "
+    f"{[c.most(n) for n in range(secrets.SHORTEST, secrets.WINDOW + 1)]}[{_W} - {secrets.SHORTEST - 1}]"
+    for c in secrets.CLASSES
 ) + " else -1 end"
-_NOT_ALLOWED = " and ".join(f"not regexp_matches(m, {_text(a)})" for a in secrets.ALLOWED)
+_NOT_ALLOWED = " and ".join(f"not regexp_matches(v, {_plain(a)})" for a in secrets.ALLOWED)
 _ENTROPY = (
-    f"regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and {_NOT_ALLOWED} and {_LEAST} <= {_MOST}"
+    f"length(v) >= {secrets.SHORTEST} and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') "
+    f"and {_NOT_ALLOWED} and {_LEAST} <= {_MOST}"
 )
+_RUN = secrets.CANDIDATE[secrets.CANDIDATE.index(")") + 1 :].replace("}+", "}")
 _NAMES = "['" + "', '".join(secrets.KINDS) + "']"
 _LIST = f"string_agg({_NAMES}[kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop)"
 ORACLES["op2_secret_scan"] = f"""
 with d as (select doc_id, coalesce(text, '') as x from documents),
+c as ({_spans_sql(3, _RUN, "true")}),
 s as (
     {_spans_sql(0, secrets.ASSIGN, f"length(part) >= {secrets.ASSIGN_CHARS}", 2)}
     union all {_spans_sql(1, secrets.ACCESS, f"length(m) >= {secrets.ACCESS_CHARS}")}
     union all {_spans_sql(2, secrets.HEX, f"length(m) >= {secrets.HEX_CHARS}")}
-    union all {_spans_sql(3, secrets.CANDIDATE[:-1] + "{" + str(secrets.WINDOW) + ",}", _ENTROPY)}
+    union all select doc_id, start, kind, stop from (
+        select *, {_VALUE} as v from (select *, substr(x, start + 1, stop - start) as m from c join d using (doc_id))
+    ) where {_ENTROPY}
 ),
 g as (
     select doc_id, {", ".join(f"count(*) filter (kind = {k}) as n_{name}" for k, name in enumerate(secrets.KINDS))},

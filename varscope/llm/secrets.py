@@ -6,9 +6,16 @@ and one out, and so does the sum of c log c from which the Shannon entropy follo
 candidate whose best window reaches the threshold of its character class is a secret,
 unless the allow-list suppresses it. Base spans are never suppressed.
 
+A candidate ends at ``=``, but for padding. A candidate shorter than the window is its own
+window. A placeholder word suppresses only the part between ``/``, ``_`` and ``-`` that it
+stands in: what is left is scored by itself, and the span is the whole candidate.
+
 Scale: one narrow pass, no shuffle. A pattern's matches and the text between them give
 the positions by running sums; only texts that match pay for more than the search.
 
+Patterns repeat no group that could give characters back, so a long text neither recurses
+nor backtracks.
+
 Defined results. Spans count code points, the end exclusive. Null and empty texts have
 no spans. Rows are independent, so ties, repeated rows and missing ids need no rule;
 other columns pass through.
@@ -31,8 +38,9 @@ HEX = r"[0-9a-f]+"
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 
 KINDS = ("assign", "access", "hex", "entropy")
-WINDOW = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]+"
+WINDOW, SHORTEST = 20, 16
+# Maximal runs that are long enough, with their padding; a match begins where its run does.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+={0,2}+" % SHORTEST
 MARK = "[SECRET]"
 
 # Entropy is compared as whole millionths of c * log2(c), so that sums are exact.
@@ -47,9 +55,9 @@ class CharacterClass:
     pattern: str
     bits: float
 
-    def most(self) -> int:
-        """The largest sum of c log c at which the entropy reaches the threshold."""
-        return math.floor(UNIT * WINDOW * (math.log2(WINDOW) - self.bits))
+    def most(self, window: int = WINDOW) -> int:
+        """The largest sum of c log c at which the entropy of a window reaches the threshold."""
+        return math.floor(UNIT * window * (math.log2(window) - self.bits))
 
 
 # Candidates need a digit and a letter; the first class that matches counts.
@@ -59,12 +67,13 @@ CLASSES = (
     CharacterClass(r"^[A-Za-z0-9+/_=-]+$", 3.6),
 )
 
-# Candidates that are no secrets: universal ids, placeholders, paths and names of plain words and numbers.
+# Candidates that are no secrets: universal ids, paths and names of plain words and numbers.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|placeholder|changeme|your[_-]|dummy|xxxx|0123456789|abcdefgh",
-    r"^[A-Za-z]*[0-9]*([/_=+-]+([A-Za-z]+|[0-9]+))*[/_=+-]*$",
+    r"^[A-Za-z]*+[0-9]*+(?:[/_=+-]++(?:[A-Za-z]++|[0-9]++))*+[/_=+-]*+$",
 )
+# Parts of candidates that are no secrets.
+PLACEHOLDER = r"(?i)example|sample|placeholder|changeme|^your$|dummy|xxxx|0123456789|abcdefgh"
 
 CHUNK = 256
 
@@ -139,12 +148,12 @@ def least_sum(candidate: Column) -> Column:
     chars = F.regexp_extract_all(candidate, F.lit("."), F.lit(0))
 
     def slide(v):
-        codes, size = v["codes"], v["size"]
+        codes, size, window = v["codes"], v["size"], v["window"]
         zero = F.transform(F.sequence(F.lit(1), size), lambda _: F.lit(0))
 
         def step(acc, k):
             came = codes[k]
-            went = F.when(k >= WINDOW, codes[k - WINDOW]).otherwise(F.lit(0))
+            went = F.when(k >= window, codes[k - window]).otherwise(F.lit(0))
             at = lambda code: F.get(acc["counts"], code - 1)
             same = came == went
             total = (
@@ -161,7 +170,7 @@ def least_sum(candidate: Column) -> Column:
                     lambda c, j: c + (j + 1 == came).cast("int") - (j + 1 == went).cast("int"),
                 )
             )
-            best = F.when((k >= WINDOW - 1) & (total < acc["best"]), total).otherwise(acc["best"])
+            best = F.when((k >= window - 1) & (total < acc["best"]), total).otherwise(acc["best"])
             return F.struct(counts.alias("counts"), total.alias("total"), best.alias("best"))
 
         start = F.struct(zero.alias("counts"), F.lit(0).alias("total"), F.lit(TERMS[-1] + 1).alias("best"))
@@ -174,6 +183,7 @@ def least_sum(candidate: Column) -> Column:
                 F.struct(
                     F.transform(c, lambda x: F.array_position(alphabet, x).cast("int")).alias("codes"),
                     F.size(alphabet).alias("size"),
+                    F.least(F.size(c), F.lit(WINDOW)).alias("window"),
                 ),
                 slide,
             ),
@@ -184,17 +194,34 @@ def least_sum(candidate: Column) -> Column:
 
 def _most(candidate: Column) -> Column:
     out = F.lit(-1)
+    window = F.least(F.char_length(candidate), F.lit(WINDOW)) - SHORTEST
     for kind in reversed(CLASSES):
-        out = F.when(candidate.rlike(kind.pattern), F.lit(kind.most())).otherwise(out)
+        limits = F.array(*(F.lit(kind.most(n)) for n in range(SHORTEST, WINDOW + 1)))
+        out = F.when(candidate.rlike(kind.pattern), F.get(limits, window)).otherwise(out)
     return out
 
 
-def is_random(candidate: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
-    plain = F.char_length(candidate) < WINDOW
-    plain |= ~candidate.rlike("[0-9]") | ~candidate.rlike("[A-Za-z]")
-    for pattern in allowed:
-        plain |= candidate.rlike(pattern)
-    return F.when(plain, False).otherwise(least_sum(candidate) <= _most(candidate))
+def without_placeholders(candidate: Column, placeholder: str = PLACEHOLDER) -> Column:
+    """The candidate, without its parts that hold a placeholder word."""
+
+    def kept(parts):
+        none = ~F.exists(parts, lambda part: part.rlike(placeholder))
+        return F.when(none, candidate).otherwise(
+            F.array_join(F.filter(parts, lambda part: ~part.rlike(placeholder)), "_")
+        )
+
+    return let(F.split(candidate, "[/_-]"), kept)
+
+
+def is_random(candidate: Column, allowed: tuple[str, ...] = ALLOWED, placeholder: str = PLACEHOLDER) -> Column:
+    def judged(value):
+        plain = F.char_length(value) < SHORTEST
+        plain |= ~value.rlike("[0-9]") | ~value.rlike("[A-Za-z]")
+        for pattern in allowed:
+            plain |= value.rlike(pattern)
+        return F.when(plain, False).otherwise(least_sum(value) <= _most(value))
+
+    return let(without_placeholders(candidate, placeholder), judged)
 
 
 def _of_kind(found: Column, kind: str, keep) -> Column:
@@ -207,7 +234,6 @@ def _of_kind(found: Column, kind: str, keep) -> Column:
 
 def spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """All spans of a text: array of ``start, kind, end``, by start and then kind (index in KINDS)."""
-    run = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % WINDOW
     return F.array_sort(
         F.concat(
             _of_kind(matches(text, ASSIGN, 2), "assign", lambda m: F.char_length(m["part"]) >= ASSIGN_CHARS),
@@ -218,7 +244,7 @@ def spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
             ),
             # only runs that are long enough, which start where the whole runs start
             _of_kind(matches(text, f"(?<![0-9a-f])[0-9a-f]{{{HEX_CHARS},}}+"), "hex", lambda m: F.lit(True)),
-            _of_kind(matches(text, run), "entropy", lambda m: is_random(m["match"], allowed)),
+            _of_kind(matches(text, CANDIDATE), "entropy", lambda m: is_random(m["match"], allowed)),
         )
     )
 
@@ -263,9 +289,8 @@ def redact(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
 
 def may_hold(text: Column) -> Column:
     """False for texts that certainly have no span."""
-    run = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % WINDOW
     seen = text.rlike(ASSIGN) | text.rlike(r"AKIA[A-Z0-9]{16}") | text.rlike("[0-9a-f]{24}")
-    return seen | text.rlike(run)
+    return seen | text.rlike(CANDIDATE)
 
 
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

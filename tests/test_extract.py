@@ -1,9 +1,12 @@
+import re
+import time
+
 import pytest
 from samples import COLUMNS, FILES, INVENTORY, N_LOCATIONS
 
-from varscope.operators.extract import extract
+from varscope.operators.extract import extract, file_names
 from varscope.operators.inventory import file_findings, inventory, with_position
-from varscope.operators.languages import LineLanguage
+from varscope.operators.languages import JAVASCRIPT, PYTHON, LineLanguage
 from varscope.plans.queries import RUBY
 
 @pytest.fixture(scope="module")
@@ -78,6 +81,15 @@ PYTHON_CASES = [
     ("", []),
     ("\x00\x01\x02", []),
     ("a = '\x01' + os.getenv('X')\n", [("X", 1, 10, None, True)]),
+    ("f\"{{{os.getenv('X')}}}\"", [("X", 1, 5, None, True)]),
+    ("f'{f(\"}\") + os.getenv(\"X\")}'", [("X", 1, 12, None, True)]),
+    ('f"{d["k"]} {os.getenv("X")}"', [("X", 1, 12, None, True)]),
+    ('f"' + "{f'" * 1 + '{f"{f\'{f"{f\'{f"{os.getenv("X")}"}\'}"}\'}"}' + "'}" + '"', [("X", 1, 21, None, True)]),
+    ("f\"{x:'>10} {os.getenv('X', 'd'):{w}} {y!r:#>9}\" + os.getenv('Y')", [("X", 1, 12, "d", False), ("Y", 1, 50, None, True)]),
+    ("f'{x:os.getenv(1)} {{os.getenv(\"NO\")}} {[os.getenv(\"X\")][0]:>{os.getenv(\"W\")}}'", [("X", 1, 41, None, True), ("W", 1, 62, None, True)]),
+    ("b\"os.getenv('NO')\"; rb'\\'os.getenv(\"NO\")'; f'a' + os.getenv('X')", [("X", 1, 50, None, True)]),
+    ("f'unclosed {\nos.getenv('X')", [("X", 2, 0, None, True)]),
+    ("f\'\'\'{\nx # }\n}{os.getenv('X')}\'\'\'", [("X", 3, 2, None, True)]),
 ]
 
 
@@ -117,6 +129,20 @@ JS_CASES = [
     ("`http://${process.env.A}/it's` + process.env.B", [("A", 10), ("B", 33)]),
     ("case'process.env.NO': x = 'open\nprocess.env.A", [("A", 0)]),
     ("// it's\nprocess.env.A /* ' */ + process.env.B // process.env.NO", [("A", 0), ("B", 24)]),
+    ("let z = i++ / 2, c = process.env.A / 3;", [("A", 21)]),
+    ("x = a-- / 2; y = process.env.Q; z = 1 / 2;", [("Q", 17)]),
+    ("if (x) /'/.test(y); const a = process.env.A; const s='k';", [("A", 30)]),
+    ("while (f(a) / 2 > 1) /'/.test(process.env.A)", [("A", 30)]),
+    ("f(a) / 2 / process.env.B / 'x'", [("B", 11)]),
+    ("const f = (x) => { g(x) }\n/'/.test(process.env.A)", [("A", 9)]),
+    ("const o = ({a: 1} / 2 / process.env.A / '1')", [("A", 24)]),
+    ("const e = <p>use process.env.NO</p>;", []),
+    ("return (<A b={process.env.A} c='process.env.NO' d=\"x/y\"><B/>it's {`q${process.env.B}`} <C d={() => <D/>}>don't</C></A>) / 2; process.env.C",
+     [("A", 14), ("B", 70), ("C", 125)]),
+    ("const e = <>it's <b/> process.env.NO {process.env.A}</>; process.env.B", [("A", 38), ("B", 57)]),
+    ("s.replace(/>/g, '&gt;').replace(/</g, '&lt;') + process.env.A", [("A", 48)]),
+    ("const f = <T,>(x: T) => process.env.A; const g = a < b; const h = process.env.B > 3 / 2;", [("A", 24), ("B", 66)]),
+    ("const f = <T extends X>(x: T) => process.env.A; const g = <T>x; h = <b/>; process.env.B", [("A", 33), ("B", 74)]),
 ]
 
 
@@ -236,6 +262,39 @@ def test_many_references_on_one_line(spark, files_of):
     assert sorted(map(tuple, rows), key=lambda r: r[2]) == want
 
 
+def test_both_ways_of_reading_agree(spark, files_of):
+    """A text read by the plain pattern gives the same rows if it is read by the stack."""
+    for name, cases, language, trap in (
+        ("a.py", [t for t, _ in PYTHON_CASES], PYTHON, "\nx = f'{y}'"),
+        ("a.js", [t for t, _ in JS_CASES], JAVASCRIPT, "\n;`${y}`;"),
+    ):
+        plain = [t for t in cases if not re.search(language.trap.replace("(?<!\\w)", ""), t)]
+        assert len(plain) >= 5
+        for texts in (plain, [t + trap for t in plain]):
+            rows = extract(files_of({f"{n}/{name}": t for n, t in enumerate(texts)})).collect()
+            got = {(r.path, r.name, r.line, r.column, r.default_value, r.is_required) for r in rows}
+            first = got if texts is plain else first
+            assert got == first and len(got) >= 5
+
+
+def test_a_line_is_held_once(spark, files_of):
+    """The cost of a line grows with its references, not with their square."""
+    seconds = {}
+    for n in (4000, 4000, 32_000):
+        files = files_of({"a.js": ";".join(f"g(process.env.A{k})" for k in range(n))})
+        start = time.perf_counter()
+        rows = extract(files).select("name", "line", "column").distinct().count()
+        seconds[n] = time.perf_counter() - start
+        assert rows == n
+    assert seconds[32_000] < 9 * seconds[4000] + 5
+
+
+def test_names_of_a_file_come_once(spark, files_of):
+    rows = file_names(files_of(FILES)).collect()
+    assert len(rows) == len({(r.path, r.name) for r in rows})
+    assert {(r.path, r.name) for r in rows} == {(r.path, r.name) for r in extract(files_of(FILES)).collect()}
+
+
 def test_own_line_language(files_of):
     own = LineLanguage("compose", (".env",), ("ARG", "ENV"), filename_prefixes=("Containerfile",), reader="docker")
     rows = extract(files_of({"Containerfile.x": "ENV A=1\nARG B\n", "x.env": "ARG C=2"}), (own,)).collect()

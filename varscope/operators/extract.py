@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from varscope.functions import paths
 from varscope.functions.text import WS, WS_INLINE, decode, rstrip, strip, unify_lines, unquote
 from varscope.operators.languages import (
+    ASKS,
     DEFAULT_LANGUAGES,
     END,
     OPENS,
@@ -24,6 +25,7 @@ from varscope.operators.languages import (
     Language,
     LexedLanguage,
 )
+from varscope.operators.stack import code_flags
 
 REF_COLUMNS = (
     "repo", "path", "language", "name", "line", "column", "snippet", "default_value",
@@ -92,283 +94,201 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _tags(spec: LexedLanguage) -> str:
-    return START + "$1" + ("$2" if spec.interpolated else "") + END + "$0"
-
-
 def _tag_tokens(text: Column, spec: LexedLanguage) -> Column:
-    """Put START tag END before every token; the tag tells what the token is.
+    """Put START tag END before every token; the tag is empty for what is no reference.
 
     One pass matches references, comments and literals from left to right, so a
-    reference inside a comment or literal is swallowed by it. A language read by a stack
-    only has its possible openings marked here.
+    reference inside a comment or literal is swallowed by it. A text in which this does
+    not tell code from text only has its possible openings marked here.
     """
-    if spec.opener:
-        return F.regexp_replace(text, spec.opener, OPENS + "$0")
-    return F.regexp_replace(text, spec.token, _tags(spec))
+    plain = F.regexp_replace(text, spec.token, START + "$1" + END + "$0")
+    if spec.grammar is None:
+        return plain
+    marked = text
+    for pattern, mark in spec.openers:
+        marked = F.regexp_replace(marked, pattern, mark + "$0")
+    return F.when(text.rlike(spec.trap), marked).otherwise(plain)
 
 
 def _keep_references(tagged: Column, spec: LexedLanguage) -> Column:
     """Leave one START before every reference that is code and drop all other marks."""
-    if spec.opener:
-        return _read_by_stack(tagged, spec)
-    marked = tagged
-    if spec.interpolated:
-        opens = [tag + END for tag in spec.interpolation_tags]
-        # Code reaches to the brace that closes it; braces inside may nest twice.
-        nested = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
-        opener = "${" if "$" in spec.opening else "{"
-
-        def rescan(piece: Column) -> Column:
-            return _let(
-                F.regexp_extract(piece, rf"^(?:[^{{}}]++|{nested})*+", 0),
-                lambda code: F.concat(
-                    F.regexp_replace(code, spec.token, _tags(spec)),
-                    F.substring(piece, F.length(code) + 1, F.length(piece)),
-                ),
-            )
-
-        def embedded(segment: Column) -> Column:
-            pieces = F.split(segment, f"({spec.opening})")
-            done = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(rescan(p)))
-            return F.array_join(done, opener)
+    plain = F.replace(tagged, F.lit(START + END), F.lit(""))
+    plain = F.replace(plain, F.lit(START + spec.anchor + END), F.lit(START))
+    if spec.grammar is None:
+        return plain
+    if spec.wide_delimiter:
+        wide = F.regexp_replace(tagged, spec.wide_opener, OPENS + "$0")
+        read = F.when(F.contains(tagged, F.lit(ASKS)), _read_by_stack(wide, spec, spec.wide_delimiter)).otherwise(
+            _read_by_stack(tagged, spec, spec.delimiter)
+        )
+    else:
+        read = _read_by_stack(tagged, spec, spec.delimiter)
+    return F.when(F.contains(tagged, F.lit(START)), plain).otherwise(read)
 
-        def is_literal(segment: Column) -> Column:
-            return reduce(Column.__or__, [F.startswith(segment, F.lit(o)) for o in opens])
 
-        has_literal = reduce(
-            Column.__or__, [F.contains(tagged, F.lit(START + o)) for o in opens]
-        )
-        rescanned = F.array_join(
-            F.transform(
-                F.split(tagged, START), lambda s: F.when(is_literal(s), embedded(s)).otherwise(s)
-            ),
-            START,
-        )
-        marked = F.when(has_literal, rescanned).otherwise(tagged)
-
-    for tag in ("", *spec.interpolation_tags):
-        marked = F.replace(marked, F.lit(START + tag + END), F.lit(""))
-    return F.replace(marked, F.lit(START + spec.anchor + END), F.lit(START))
-
-
-# What can be open, the innermost last on the stack: a brace or embedded code, or a literal.
-_CODE, _BRACE, _EMBEDDED, _TEMPLATE, _DOUBLE, _SINGLE, _LINE, _BLOCK, _REGEX, _CLASS = range(10)
-_LETTERS = "_BITDSLMRK"
-# Delimiters by number; an opening one is preceded by OPENS. 0 is anything else, 1 a reference.
-_DELIMITERS = ("{", "${", "}", "[", "]", "\n", "`", '"', "'", "/", "//", "*/")
-_OPENING = ("`", '"', "'", "/", "/*")
-_NUMBERS = {d: n for n, d in enumerate(_DELIMITERS, 2)}
-_NUMBERS |= {OPENS + d: n for n, d in enumerate(_OPENING, 2 + len(_DELIMITERS))}
-_N_TOKENS = 2 + len(_DELIMITERS) + len(_OPENING)
-_STAY, _KEEP, _POP, _POP_TWO, _PUSH = range(5)  # _PUSH + m opens m
-
-
-def _action(mode: int, token: str) -> int:
-    """What a delimiter does while ``mode`` is the innermost open thing."""
-    bare = token.removeprefix(OPENS)
-    if mode in (_CODE, _BRACE, _EMBEDDED):
-        if token == "reference":
-            return _KEEP
-        if token == "}":
-            return _STAY if mode == _CODE else _POP
-        opened = {"{": _BRACE, "${": _BRACE, "//": _LINE}.get(token)
-        if token.startswith(OPENS):
-            opened = {"`": _TEMPLATE, '"': _DOUBLE, "'": _SINGLE, "/": _REGEX, "/*": _BLOCK}[bare]
-        return _STAY if opened is None else _PUSH + opened
-    if mode == _TEMPLATE:
-        return _POP if bare == "`" else _PUSH + _EMBEDDED if token == "${" else _STAY
-    if mode == _REGEX and token == "[":
-        return _PUSH + _CLASS
-    if mode == _CLASS and token == "\n":
-        return _POP_TWO
-    closing = {
-        _DOUBLE: ('"', "\n"), _SINGLE: ("'", "\n"), _LINE: ("\n",), _BLOCK: ("*/",),
-        _REGEX: ("/", "//", "*/", "/*", "\n"), _CLASS: ("]",),
-    }
-    return _POP if bare in closing[mode] else _STAY
+def _read_by_stack(tagged: Column, spec: LexedLanguage, delimiter: str) -> Column:
+    """START before every reference that is code, found by one pass over the delimiters."""
 
+    def number_of(names: Column | None):
+        if names is None:
+            return None
 
-_TABLE = [
-    _action(mode, token)
-    for mode in range(len(_LETTERS))
-    for token in ("other", "reference", *_NUMBERS)
-]
+        def checked(token: Column, number: Column, kinds: dict[str, int]) -> Column:
+            unclosed = token.startswith(spec.element) & ~F.array_contains(
+                names, F.substring(token, len(spec.element) + 1, F.length(token))
+            )
+            return F.when(unclosed, F.lit(kinds["element"])).otherwise(number)
 
+        return checked
 
-def _read_by_stack(tagged: Column, spec: LexedLanguage) -> Column:
-    """START before every reference that is code, found by one pass over the delimiters.
+    def rebuilt(v: Column) -> Column:
+        names = v["names"] if spec.element else None
+        flags = code_flags(v["tokens"], spec.grammar, spec.anchor, number_of(names))
 
-    The pass keeps the literals and braces that are open, so code may be embedded in
-    literals, and literals in code, to any depth. A table says what a delimiter does.
-    """
-    table = F.array(*(F.lit(x) for x in _TABLE))
-    letters = F.array(*(F.lit(c) for c in _LETTERS))
-    numbers = F.create_map(*(F.lit(x) for pair in {**_NUMBERS, f"*{OPENS}/": _NUMBERS["*/"]}.items() for x in pair))
-
-    def is_reference(token: Column) -> Column:
-        return token.startswith(spec.anchor)
-
-    def step(acc: Column, at: Column) -> Column:
-        action = table[acc["top"] * _N_TOKENS + at["number"]]
-        length = F.length(acc["stack"])
-        shorter = F.substring(acc["stack"], F.lit(1), length - F.when(action == _POP, 1).otherwise(2))
-        stack = F.when(action >= _PUSH, F.concat(acc["stack"], letters[action - _PUSH])).otherwise(shorter)
-        top = F.when(action >= _PUSH, action - _PUSH).otherwise(
-            F.instr(F.lit(_LETTERS), F.substring(shorter, -1, 1)) - 1
-        )
-        moved = F.struct(stack.alias("stack"), top.alias("top"), acc["kept"].alias("kept"))
-        kept = F.struct(
-            acc["stack"].alias("stack"),
-            acc["top"].alias("top"),
-            F.concat(acc["kept"], F.array(at["place"])).alias("kept"),
-        )
-        return F.when(action == _STAY, acc).when(action == _KEEP, kept).otherwise(moved)
-
-    def rebuilt(tokens: Column) -> Column:
-        gaps = F.split(tagged, spec.delimiter, -1)
-        numbered = F.transform(
-            tokens,
-            lambda t, i: F.struct(
-                F.coalesce(F.try_element_at(numbers, t), F.when(is_reference(t), 1).otherwise(0)).alias("number"),
-                i.alias("place"),
-            ),
-        )
-        start = F.struct(
-            F.lit(_LETTERS[0]).alias("stack"), F.lit(0).alias("top"), F.expr("cast(array() as array<int>)").alias("kept")
-        )
-        kept = F.aggregate(numbered, start, step, lambda acc: acc["kept"])
-
-        def join(kept: Column) -> Column:
-            marked = F.transform(
-                tokens,
-                lambda t, i: F.when(
-                    is_reference(t) & F.array_contains(kept, i), F.concat(F.lit(START), t)
-                ).otherwise(t),
+        def join(flags: Column) -> Column:
+            marked = F.zip_with(
+                v["tokens"], flags, lambda t, kept: F.when(kept, F.concat(F.lit(START), t)).otherwise(t)
             )
             return F.array_join(
-                F.zip_with(gaps, marked, lambda gap, t: F.concat(gap, F.coalesce(t, F.lit("")))), ""
+                F.zip_with(v["gaps"], marked, lambda gap, t: F.concat(gap, F.coalesce(t, F.lit("")))), ""
             )
 
-        return _let(kept, join)
+        return _let(flags, join)
 
-    tokens = F.regexp_extract_all(tagged, F.lit(spec.delimiter), F.lit(0))
-    return F.replace(_let(tokens, rebuilt), F.lit(OPENS), F.lit(""))
+    parts = {
+        "tokens": F.regexp_extract_all(tagged, F.lit(delimiter), F.lit(0)),
+        "gaps": F.split(tagged, delimiter, -1),
+    }
+    if spec.element:
+        parts["names"] = F.array_distinct(F.regexp_extract_all(tagged, F.lit(r"</([\w.:-]*+)"), F.lit(1)))
+    text = _let(F.struct(*(c.alias(n) for n, c in parts.items())), rebuilt)
+    for mark in (OPENS, ASKS):
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return text
 
 
-# Pieces of a line that one running sum covers, so that many pieces do not cost their square.
+# Numbers that one running sum covers, so that many of them do not cost their square.
 _CHUNK = 256
 
 
-def _places(marked: Column) -> Column:
-    """ARRAY<STRUCT<line, column, snippet>>, one per START, in reading order."""
+def _running(sizes: Column) -> Column:
+    """Sum of the numbers up to each one."""
 
-    def ends(pieces: Column) -> Column:
-        """Bytes up to the end of each piece but the last, by running sums in chunks."""
+    def run(sizes: Column, base: Column) -> Column:
+        zero = F.struct(base.alias("sum"), F.expr("cast(array() as array<int>)").alias("sums"))
+        return F.aggregate(
+            sizes,
+            zero,
+            lambda acc, n: F.struct(
+                (acc["sum"] + n).alias("sum"), F.concat(acc["sums"], F.array(acc["sum"] + n)).alias("sums")
+            ),
+            lambda acc: acc["sums"],
+        )
 
-        def run(sizes: Column, base: Column) -> Column:
-            zero = F.struct(base.alias("sum"), F.expr("cast(array() as array<int>)").alias("sums"))
-            return F.aggregate(
-                sizes,
-                zero,
-                lambda acc, n: F.struct(
-                    (acc["sum"] + n).alias("sum"), F.concat(acc["sums"], F.array(acc["sum"] + n)).alias("sums")
-                ),
-                lambda acc: acc["sums"],
-            )
+    def chunked(sizes: Column) -> Column:
+        n_chunks = F.ceil(F.size(sizes) / _CHUNK).cast("int")
+        chunks = F.transform(
+            F.sequence(F.lit(0), n_chunks - 1), lambda k: F.slice(sizes, k * _CHUNK + 1, F.lit(_CHUNK))
+        )
+        total = lambda c: F.aggregate(c, F.lit(0), lambda a, n: a + n)
+        return _let(
+            chunks,
+            lambda cs: F.flatten(
+                F.zip_with(
+                    cs,
+                    F.concat(F.array(F.lit(0)), run(F.transform(cs, total), F.lit(0))),
+                    lambda c, base: F.when(c.isNull(), F.array()).otherwise(run(c, base)),
+                )
+            ),
+        )
 
-        def chunked(sizes: Column) -> Column:
-            n_chunks = F.ceil(F.size(sizes) / _CHUNK).cast("int")
-            chunks = F.transform(
-                F.sequence(F.lit(0), n_chunks - 1), lambda k: F.slice(sizes, k * _CHUNK + 1, F.lit(_CHUNK))
-            )
-            total = lambda c: F.aggregate(c, F.lit(0), lambda a, n: a + n)
-            return _let(
-                chunks,
-                lambda cs: F.flatten(
-                    F.zip_with(
-                        cs,
-                        F.concat(F.array(F.lit(0)), run(F.transform(cs, total), F.lit(0))),
-                        lambda c, base: F.when(c.isNull(), F.array()).otherwise(run(c, base)),
-                    )
-                ),
-            )
+    return _let(sizes, lambda s: F.when(F.size(s) <= _CHUNK, run(s, F.lit(0))).otherwise(chunked(s)))
 
-        sizes = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.octet_length)
-        return _let(sizes, lambda s: F.when(F.size(s) <= _CHUNK, run(s, F.lit(0))).otherwise(chunked(s)))
 
-    def on_line(line: Column, index: Column) -> Column:
-        snippet = F.replace(line, F.lit(START), F.lit(""))
+def _marked_lines(marked: Column) -> Column:
+    """ARRAY<STRUCT<line, snippet, columns>> of the lines that hold a START, in order."""
+
+    def on_line(line: Column) -> Column:
         return _let(
-            F.struct(ends(F.split(line, START)).alias("columns"), snippet.alias("snippet")),
-            lambda l: F.transform(
-                l["columns"],
-                lambda column: F.struct(
-                    (index + 1).alias("line"), column.alias("column"), l["snippet"].alias("snippet")
-                ),
+            F.split(line["text"], START),
+            lambda pieces: F.struct(
+                line["line"].alias("line"),
+                F.array_join(pieces, "").alias("snippet"),
+                _running(F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.octet_length)).alias("columns"),
             ),
         )
 
-    nothing = F.expr("cast(array() as array<struct<line: int, column: int, snippet: string>>)")
-    return F.flatten(
-        F.transform(
-            F.split(marked, "\n"),
-            lambda line, i: F.when(
-                F.contains(line, F.lit(START)), on_line(line, i)
-            ).otherwise(nothing),
-        )
-    )
+    lines = F.transform(F.split(marked, "\n"), lambda text, i: F.struct((i + 1).alias("line"), text.alias("text")))
+    return F.transform(F.filter(lines, lambda line: F.contains(line["text"], F.lit(START))), on_line)
 
 
 # ---------------------------------------------------------------------------- reading
 
-# What is read at a mark; ``default`` and ``other`` are raw text of the language.
-HITS = (
-    "array<struct<key: string, line: int, column: int, snippet: string, default: string, "
-    "other: string>>"
-)
+# What is read at the marks of a line; ``default`` and ``other`` are raw text of the language.
+# A line is held once, however many references it has.
+HITS = "array<struct<key: string, column: int, default: string, other: string>>"
+LINES = f"array<struct<line: int, snippet: string, hits: {HITS}>>"
 
 
-def _no_hits() -> Column:
-    return F.expr(f"cast(array() as {HITS})")
+def _no_lines() -> Column:
+    return F.expr(f"cast(array() as {LINES})")
 
 
-def _raw_hit(key: Column, place: Column, default: Column, other: Column) -> Column:
-    return F.struct(
-        key.alias("key"),
-        place["line"].alias("line"),
-        place["column"].alias("column"),
-        place["snippet"].alias("snippet"),
-        default.alias("default"),
-        other.alias("other"),
-    )
+def _raw_hit(key: Column, column: Column, default: Column, other: Column) -> Column:
+    return F.struct(key.alias("key"), column.alias("column"), default.alias("default"), other.alias("other"))
+
+
+def _raw_line(line: Column, hits: Column) -> Column:
+    return F.struct(line["line"].alias("line"), line["snippet"].alias("snippet"), hits.alias("hits"))
 
 
 def _groups(marked: Column, pattern: str, *indexes: int) -> list[Column]:
     return [F.regexp_extract_all(marked, F.lit(pattern), F.lit(i)) for i in indexes]
 
 
-def _lexed_hits(spec: LexedLanguage) -> Column:
+def _on_lines(marked: Column, calls: Column, hit: Callable[[Column, Column], Column]) -> Column:
+    """The lines with their hits: ``calls`` has what was read at each START, in order."""
+
+    def given(v: Column) -> Column:
+        counts = F.transform(v["lines"], lambda line: F.size(line["columns"]))
+        return F.zip_with(
+            v["lines"],
+            _running(counts),
+            lambda line, upto: _raw_line(
+                line,
+                F.zip_with(
+                    line["columns"],
+                    F.slice(v["calls"], upto - F.size(line["columns"]) + 1, F.size(line["columns"])),
+                    lambda column, call: hit(call, column),
+                ),
+            ),
+        )
+
+    return _let(F.struct(_marked_lines(marked).alias("lines"), calls.alias("calls")), given)
+
+
+def _lexed_lines(spec: LexedLanguage) -> Column:
     """One hit per START. The call pattern matches at each START exactly once, so the
     arrays of its groups and of the places run in step."""
     marked = F.col("_marked")
     keys, *more = _groups(marked, spec.call, *spec.key_groups)
     for other_keys in more:
         keys = F.zip_with(keys, other_keys, lambda a, b: F.when(a != "", a).otherwise(b))
-    columns = [_places(marked).alias("place"), keys.alias("key")]
+    columns = [keys.alias("key")]
     for index, name in ((spec.default_group, "default"), (spec.other_argument_group, "other")):
         if index is not None:
             columns.append(_groups(marked, spec.call, index)[0].alias(name))
 
-    def part(h: Column, index: int | None, name: str) -> Column:
-        return F.lit("") if index is None else h[name]
+    def part(call: Column, index: int | None, name: str) -> Column:
+        return F.lit("") if index is None else call[name]
 
-    return F.transform(
+    return _on_lines(
+        marked,
         F.arrays_zip(*columns),
-        lambda h: _raw_hit(
-            h["key"], h["place"],
-            part(h, spec.default_group, "default"),
-            part(h, spec.other_argument_group, "other"),
+        lambda call, column: _raw_hit(
+            call["key"], column,
+            part(call, spec.default_group, "default"),
+            part(call, spec.other_argument_group, "other"),
         ),
     )
 
@@ -413,29 +333,19 @@ def shell_local_names(lines: Column) -> Column:
     return F.array_except(assigned, exported)
 
 
-def _shell_hits() -> Column:
+def _shell_lines() -> Column:
     """One hit per (name, line), alphabetical within a line; comments count."""
 
     def names(line: Column) -> Column:
         (braced,), (simple,) = _groups(line, SHELL_BRACED, 1), _groups(line, SHELL_SIMPLE, 1)
         return F.array_sort(F.array_except(F.concat(braced, simple), F.col("_known")))
 
-    def place(line: Column, i: Column) -> Column:
-        return F.struct(
-            (i + 1).alias("line"), F.lit(0).alias("column"), line.alias("snippet")
-        )
+    def hits(line: Column) -> Column:
+        return F.transform(names(line), lambda n: _raw_hit(n, F.lit(0), F.lit(""), F.lit("")))
 
-    return F.flatten(
-        F.transform(
-            F.split("_marked", "\n"),
-            lambda line, i: F.when(
-                F.contains(line, F.lit("$")),
-                F.transform(
-                    names(line), lambda n: _raw_hit(n, place(line, i), F.lit(""), F.lit(""))
-                ),
-            ).otherwise(_no_hits()),
-        )
-    )
+    lines = F.transform(F.split("_marked", "\n"), lambda text, i: F.struct((i + 1).alias("line"), text.alias("snippet")))
+    some = F.filter(lines, lambda line: F.contains(line["snippet"], F.lit("$")))
+    return F.transform(some, lambda line: _raw_line(line, hits(line["snippet"])))
 
 
 # A declaration line: keyword, name, then `=value` or (ENV only) a blank and a value.
@@ -445,23 +355,25 @@ _DOCKER_LINE = (
 )
 
 
-def _docker_hits() -> Column:
+def _docker_lines() -> Column:
     """First ENV or ARG declaration of each name; ``_known`` lists the declared names."""
     marked = F.col("_marked")
     keyword, equals, after, beside = _groups(marked, f"(?md){START}{_DOCKER_LINE}", 1, 3, 4, 5)
-    zipped = F.arrays_zip(
-        _places(marked).alias("place"), F.col("_known").alias("name"),
-        keyword.alias("keyword"), equals.alias("equals"), after.alias("after"),
-        beside.alias("beside"),
+    calls = F.arrays_zip(
+        F.col("_known").alias("name"), keyword.alias("keyword"), equals.alias("equals"),
+        after.alias("after"), beside.alias("beside"),
     )
-    first = F.filter(zipped, lambda h, i: F.array_position(F.col("_known"), h["name"]) == i + 1)
-    return F.transform(
-        first,
-        lambda h: _raw_hit(
-            h["name"], h["place"],
-            F.concat(h["after"], h["beside"]), F.concat(h["keyword"], h["equals"]),
+    lines = _on_lines(
+        marked,
+        calls,
+        lambda call, column: _raw_hit(
+            call["name"], column, F.concat(call["after"], call["beside"]), F.concat(call["keyword"], call["equals"])
         ),
     )
+    # one declaration a line
+    return F.filter(
+        lines, lambda line, i: F.array_position(F.col("_known"), line["hits"][0]["key"]) == i + 1
+    )
 
 
 # --------------------------------------------------------------------------- extraction
@@ -486,7 +398,7 @@ class _Stages(NamedTuple):
     tagged: Column
     marked: Column
     known: Column
-    hits: Column
+    lines: Column
     name: Column
     default_value: Column
     is_required: Column
@@ -535,21 +447,21 @@ def _build_stages(languages: tuple[Language, ...]) -> _Stages:
             return _groups(F.col("_marked"), f"(?md){START}{_DOCKER_LINE}", 2)[0]
         return None
 
-    def hits(spec: Language) -> Column:
+    def lines(spec: Language) -> Column:
         if isinstance(spec, LexedLanguage):
-            return F.when(F.contains("_marked", F.lit(START)), _lexed_hits(spec))
-        return _shell_hits() if reader(spec) == "shell" else _docker_hits()
+            return F.when(F.contains("_marked", F.lit(START)), _lexed_lines(spec))
+        return _shell_lines() if reader(spec) == "shell" else _docker_lines()
 
     declared = F.when(
         F.col("other").startswith("ENV"), strip(F.col("default")) != ""
     ).otherwise(F.col("other") == "ARG=")
     return _Stages(
         language=candidate_language(F.col("path"), F.col("content"), languages),
-        text=F.translate(decode(F.col("content")), START + END + OPENS, "\uFFFD\uFFFD\uFFFD"),
+        text=F.translate(decode(F.col("content")), START + END + OPENS + ASKS, "\uFFFD" * 4),
         tagged=_by_language(languages, tagged, F.lit(None)),
         marked=_by_language(languages, marked, F.col("_tagged")),
         known=_by_language(languages, known, F.lit(None).cast("array<string>")),
-        hits=_by_language(languages, hits, _no_hits()),
+        lines=_by_language(languages, lines, _no_lines()),
         name=F.when(lexed, literal_text(F.col("key"))).otherwise(F.col("key")),
         default_value=F.when(
             lexed, F.nullif(literal_text(F.col("default")), F.lit(""))
@@ -574,13 +486,12 @@ def extract(
     carried = ["repo", "path", "language", *keep]
     stage = _stages(files.sparkSession, tuple(languages))
     return (
-        supported(files.withColumn("language", stage.language))
-        .select(*carried, stage.text.alias("_text"))
-        .select(*carried, stage.tagged.alias("_tagged"))
-        .select(*carried, stage.marked.alias("_marked"))
-        .select(*carried, "_marked", stage.known.alias("_known"))
-        .select(*carried, F.explode(stage.hits).alias("_hit"))
-        .select(*carried, "_hit.*")
+        _read(files, stage, carried)
+        .select(*carried, F.explode(stage.lines).alias("_line"))
+        # a line is copied for each reference only where the snippet is selected
+        .select(*carried, "_line.line", "_line.snippet", "_line.hits")
+        .select(*carried, "line", "snippet", F.explode("hits").alias("_hit"))
+        .select(*carried, "line", "snippet", "_hit.*")
         .select(
             "*",
             stage.name.alias("name"),
@@ -593,6 +504,32 @@ def extract(
     )
 
 
+def _read(files: DataFrame, stage: _Stages, carried: list[str]) -> DataFrame:
+    """The files that may hold references, marked and ready to be read at the marks."""
+    return (
+        supported(files.withColumn("language", stage.language))
+        .select(*carried, stage.text.alias("_text"))
+        .select(*carried, stage.tagged.alias("_tagged"))
+        .select(*carried, stage.marked.alias("_marked"))
+        .select(*carried, "_marked", stage.known.alias("_known"))
+    )
+
+
+def file_names(
+    files: DataFrame, languages: Sequence[Language] = DEFAULT_LANGUAGES, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Each name a file reads, once: repo, path, language, name. Nothing else leaves the file."""
+    carried = ["repo", "path", "language", *keep]
+    stage = _stages(files.sparkSession, tuple(languages))
+    keys = F.array_distinct(F.flatten(F.transform(stage.lines, lambda line: F.transform(line["hits"], lambda h: h["key"]))))
+    return (
+        _read(files, stage, carried)
+        .select(*carried, F.explode(keys).alias("key"))
+        .select(*carried, stage.name.alias("name"))
+        .filter(F.col("name") != "")
+    )
+
+
 def extract_language(files: DataFrame, language: Language) -> DataFrame:
     """References of the files of one language only."""
     return extract(files, (language,))

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from varscope.operators.stack import ASK, CLOSE, CLOSE_TWO, Grammar, becomes, opens
+
 # Marks written into a text: START before a reference, END after a tag. Noncharacters
 # of three UTF-8 bytes, so replacing one that a file already holds keeps byte columns.
 START, END = "\uFDD0", "\uFDD1"
-# Put before a delimiter that can open a literal at its place.
-OPENS = "\uFDD8"
+# Put before a delimiter that opens something at its place, or does under a condition.
+OPENS, ASKS = "\uFDD8", "\uFDD9"
 
 
 @dataclass(frozen=True)
@@ -23,11 +25,13 @@ class LexedLanguage:
     anchor:        first identifier of every reference.
     head:          start of a reference; must capture the anchor as its only group.
     skip:          comments and plain string literals.
-    interpolated:  string literal with embedded code, capturing one tag character.
-    opening:       where embedded code starts inside such a literal.
-    opener:        delimiters that can open a literal where they stand; the language is then
-                   read by a stack of open literals and braces, and ``interpolated`` is unused.
+    trap:          found in every text in which code stands in literals, or a delimiter's
+                   meaning depends on its place; only such texts are read by a stack.
+    openers:       (pattern, mark) put before a delimiter, for what its place tells.
     delimiter:     references and everything that opens or closes something.
+    wide_opener, wide_delimiter: the same with brackets, for texts in which ASKS is put.
+    grammar:       what the delimiters do.
+    element:       prefix of delimiters that count only if a closing tag has their name.
     call:          read at a reference; always matches there. Groups: see the next fields.
     """
 
@@ -41,16 +45,17 @@ class LexedLanguage:
     key_groups: tuple[int, ...]
     default_group: int | None = None
     other_argument_group: int | None = None
-    interpolated: str | None = None
-    interpolation_tags: tuple[str, ...] = ()
-    opening: str | None = None
-    opener: str | None = None
+    trap: str | None = None
+    openers: tuple[tuple[str, str], ...] = ()
     delimiter: str | None = None
+    wide_opener: str | None = None
+    wide_delimiter: str | None = None
+    grammar: Grammar | None = None
+    element: str | None = None
 
     @property
     def token(self) -> str:
-        interpolated = self.interpolated or "(?!)()"
-        return f"{self.head}|{interpolated}|{self.skip}"
+        return f"{self.head}|{self.skip}"
 
 
 @dataclass(frozen=True)
@@ -78,19 +83,73 @@ _PY_TRIPLE = (
 _PY_LITERAL = rf"[A-Za-z]{{0,2}}(?:{_PY_TRIPLE}|{_DOUBLE}|{_SINGLE})"
 _PY_GAP = r"(?:\s++|\\\n|#[^\n]*+)*+"
 
+# Prefixes of literals with code in them.
+_PY_PREFIXES = tuple(
+    a + f + b for f in "fFtT" for a in ("", "r", "R") for b in ("", "r", "R") if not (a and b)
+)
+_PY_QUOTES = {"single": "'", "double": '"', "triple single": "'''", "triple double": '"""'}
+_PY_CODE = ("code", "field", "bracket")
+
+
+def _python_actions():
+    for mode in _PY_CODE:
+        yield mode, "hash", opens("comment")
+        for quote in _PY_QUOTES:
+            yield mode, quote, opens(quote)
+            yield mode, f"f {quote}", opens(f"f {quote}")
+    yield "comment", "line", CLOSE
+    for quote in _PY_QUOTES:
+        for literal in (quote, f"f {quote}"):
+            # a triple quote closes a plain literal, and opens and closes an empty one
+            for closing in (quote, f"triple {quote}"):
+                yield literal, closing, CLOSE
+                yield literal, f"f {closing}", CLOSE
+            if "triple" not in quote:
+                yield literal, "line", CLOSE
+        yield f"f {quote}", "brace", opens("field")
+        yield f"f {quote}", "doubled brace", opens("doubled")
+    for kind in ("brace", "doubled brace"):
+        yield "doubled", kind, CLOSE
+    for mode in ("field", "bracket"):
+        for kind in ("brace", "doubled brace", "bracket"):
+            yield mode, kind, opens("bracket")
+    yield "field", "brace end", CLOSE
+    yield "field", "colon", becomes("format")
+    yield "format", "brace", opens("field")
+    yield "format", "brace end", CLOSE
+    for kind in ("brace end", "bracket end"):
+        yield "bracket", kind, CLOSE
+
+
+_PY_GRAMMAR = Grammar(
+    modes=(*_PY_CODE, "format", "doubled", "comment", *_PY_QUOTES, *(f"f {q}" for q in _PY_QUOTES)),
+    code=_PY_CODE,
+    tokens=(
+        *((text, kind) for kind, text in _PY_QUOTES.items()),
+        *((p + text, f"f {kind}") for kind, text in _PY_QUOTES.items() for p in _PY_PREFIXES),
+        ("{", "brace"), (OPENS + "{", "doubled brace"), ("}", "brace end"), ("(", "bracket"), ("[", "bracket"),
+        (")", "bracket end"), ("]", "bracket end"), (":", "colon"), ("#", "hash"), ("\n", "line"),
+    ),
+    prefixes=(),
+    actions=tuple(_python_actions()),
+)
+_PY_HEAD = r"(?<![\w.])(os)\s*+\.\s*+(?:getenv\s*+\(|environ\s*+\.\s*+get\s*+\(|environ\s*+\[)"
+_PY_F = r"(?:(?<!\w)[rR]?[fFtT][rR]?)"
+
 PYTHON = LexedLanguage(
     name="python",
     extensions=(".py", ".pyw"),
     guards=("getenv", "environ"),
     anchor="os",
-    head=(
-        r"(?<![\w.])(os)\s*+\.\s*+"
-        r"(?:getenv\s*+\(|environ\s*+\.\s*+get\s*+\(|environ\s*+\[)"
-    ),
+    head=_PY_HEAD,
     skip=rf"#[^\n]*+|{_PY_TRIPLE}|{_DOUBLE}?|{_SINGLE}?",
-    interpolated=rf"(?<!\w)[rR]?([fFtT])[rR]?(?:{_PY_TRIPLE}|{_DOUBLE}?|{_SINGLE}?)",
-    interpolation_tags=("f", "F", "t", "T"),
-    opening=r"(?<!\{)\{(?!\{)",
+    trap=rf"{_PY_F}[\"']",
+    openers=((r"\{(?=\{)", OPENS),),
+    delimiter=(
+        rf"(?=[o\\{OPENS}{{}}()\[\]:#\n\"'rRfFtT])(?:(?={_PY_HEAD})os|\\[\s\S]|{_PY_F}?(?:\"\"\"|'''|[\"'])"
+        rf"|{OPENS}?\{{|[}}()\[\]:#\n])"
+    ),
+    grammar=_PY_GRAMMAR,
     call=(
         rf"{START}os\s*+\.\s*+(?:getenv|environ(?:\s*+\.\s*+get)?+)\s*+[(\[]"
         # Arguments are only looked at, so references nested in them match on their own.
@@ -111,10 +170,98 @@ _JS_HEAD = (
 _JS_WORDS = "return|typeof|case|in|of|delete|void|throw|new|do|else|await|yield|instanceof|from|import|export|default|as"
 # A quote right after a word is text (`Don't`), unless an expression begins there.
 _JS_CODE_WORD = rf"(?:(?<![\p{{L}}\p{{N}}])|(?<=(?<![\w$])(?:{_JS_WORDS})))"
-# A slash begins a regex literal where an operand is expected, else it divides.
-_JS_REGEX_PLACE = (
-    rf"(?:(?<=[(,=:\[!&|?;{{}}+\-*%~^>\n]\s{{0,9}})|(?<=(?<![\w$.])(?:{_JS_WORDS})\s{{0,9}})|(?<=^\s{{0,9}}))"
+_JS_AFTER_WORD = rf"(?<=(?<![\w$.])(?:{_JS_WORDS})\s{{0,9}})|(?<=^\s{{0,9}})"
+# Where an operand is expected: after most operators, but not after `++` and `--`.
+_JS_OPERAND = rf"(?:(?<=[(,=:\[!&|?;{{*%~^>\n]\s{{0,9}})|(?<=(?<!\+)\+\s{{0,9}})|(?<=(?<!-)-\s{{0,9}})|{_JS_AFTER_WORD})"
+_JS_OBJECT_PLACE = rf"(?:(?<=[(,=:\[!&|?+\-*%~^]\s{{0,9}})|(?<=(?<![\w$.])(?:return|typeof|in|of|void|throw|new|await|yield|default)\s{{0,9}}))"
+_JS_MARKUP_PLACE = rf"(?:(?<=[(,=:\[!&|?;{{}}>\n]\s{{0,9}})|{_JS_AFTER_WORD})"
+# A regex literal closes on its line; `/>` is one right after an operator only.
+_JS_REGEX = r"/(?![/*])(?:(?!>)|(?<=[(,=:!&|?\[]/))(?=(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/)"
+_JS_TAG_NAME = r"[A-Za-z][\w.:-]*+"
+# Attributes, with code three braces deep, up to the end of an element without content.
+_JS_EMPTY_ELEMENT = (
+    rf"<(?={_JS_TAG_NAME}(?:[^<>{{}}\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+'"
+    r"|\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\})*+/>)"
 )
+_JS_ELEMENT = rf"<(?=>|{_JS_TAG_NAME}[\s/>])(?!\w++\s++extends\b)"
+
+_JS_CODE = ("code", "block", "object", "embedded", "paren", "condition")
+_JS_QUOTED = {"tick": "`", "double": '"', "single": "'"}
+
+
+def _javascript_actions():
+    for mode in _JS_CODE:
+        yield mode, "brace", opens("block")
+        yield mode, "dollar", opens("block")
+        yield mode, "object", opens("object")
+        yield mode, "paren", opens("paren")
+        yield mode, "condition", opens("condition")
+        yield mode, "comment line", opens("comment line")
+        yield mode, "comment open", opens("comment")
+        yield mode, "slash open", opens("regex")
+        yield mode, "slash asked", ASK
+        yield mode, "element open", opens("tag")
+        for quote in _JS_QUOTED:
+            yield mode, f"{quote} open", opens(quote)
+        if mode in ("block", "object", "embedded"):
+            yield mode, "brace end", CLOSE
+        if mode in ("paren", "condition"):
+            yield mode, "paren end", CLOSE
+    for quote in _JS_QUOTED:
+        for kind in (quote, f"{quote} open"):
+            yield quote, kind, CLOSE
+            if quote != "tick":
+                yield "tag", kind, opens(f"{quote} value")
+                yield f"{quote} value", kind, CLOSE
+        if quote != "tick":
+            yield quote, "line", CLOSE
+    yield "tick", "dollar", opens("embedded")
+    yield "comment line", "line", CLOSE
+    yield "comment", "comment end", CLOSE
+    for kind in ("slash", "slash open", "slash asked", "comment line", "comment open", "comment end", "element end", "closing", "line"):
+        yield "regex", kind, CLOSE
+    yield "regex", "square", opens("class")
+    yield "class", "square end", CLOSE
+    yield "class", "line", CLOSE_TWO
+    for mode in ("tag", "content"):
+        for kind in ("brace", "object", "dollar"):
+            yield mode, kind, opens("embedded")
+    yield "tag", "element end", CLOSE
+    yield "tag", "greater", becomes("content")
+    for kind in ("element", "element open"):
+        yield "content", kind, opens("tag")
+    yield "content", "closing", becomes("closing tag")
+    yield "closing tag", "greater", CLOSE
+
+
+_JS_GRAMMAR = Grammar(
+    modes=(
+        *_JS_CODE, *_JS_QUOTED, "comment line", "comment", "regex", "class", "tag", "content", "closing tag",
+        "double value", "single value",
+    ),
+    code=_JS_CODE,
+    tokens=(
+        ("{", "brace"), (OPENS + "{", "object"), ("${", "dollar"), ("}", "brace end"), ("[", "square"), ("]", "square end"),
+        ("(", "paren"), (OPENS + "(", "condition"), (")", "paren end"), ("\n", "line"), ("//", "comment line"),
+        (OPENS + "/*", "comment open"), ("*/", "comment end"), (f"*{OPENS}/", "comment end"), ("/", "slash"),
+        (OPENS + "/", "slash open"), (ASKS + "/", "slash asked"), ("/>", "element end"), (">", "greater"), ("</", "closing"),
+        *((text, kind) for kind, text in _JS_QUOTED.items()),
+        *((OPENS + text, f"{kind} open") for kind, text in _JS_QUOTED.items()),
+    ),
+    prefixes=((OPENS + "<", "element open"), (ASKS + "<", "element open"), ("<", "element")),
+    actions=tuple(_javascript_actions()),
+    # after the bracket of `if (...)` and after a block, a slash begins a regex literal
+    asked=(("condition", opens("regex")), ("block", opens("regex"))),
+)
+
+
+def _javascript_delimiter(brackets: str) -> str:
+    return (
+        rf"(?=[p\\/*\"'`${{}}<>{brackets}\[\]\n{OPENS}{ASKS}])(?:(?=process){_JS_HEAD}|\\[\s\S]|{OPENS}/\*|\*{OPENS}?/"
+        rf"|(?=//)(?<!(?:https?|wss?|ftp|file):)//|/>|[{OPENS}{ASKS}]?[\"'`/{{]|\$\{{"
+        rf"|[{OPENS}{ASKS}]?<(?:{_JS_TAG_NAME}|(?=>))|</|{OPENS}?[{brackets}\[\]}}>\n])"
+    )
+
 
 JAVASCRIPT = LexedLanguage(
     name="javascript",
@@ -122,18 +269,25 @@ JAVASCRIPT = LexedLanguage(
     guards=("process",),
     anchor="process",
     head=_JS_HEAD,
-    skip="(?!)",
-    # An opening delimiter has its closing one: on the line for quotes and regex literals.
-    opener=(
+    skip=rf"{_C_COMMENT}|{_DOUBLE}|{_SINGLE}",
+    # A template, markup, or a slash that is no comment's.
+    trap=r"`|</|/>|(?<![/*])/(?![/*])",
+    openers=(
         # What is looked for stands first, so that nothing is looked behind at other characters.
-        rf"(?=[\"'`/])(?<!\\)(?:{_JS_CODE_WORD}(?:\"(?=(?:[^\"\\\n]|\\[\s\S])*+\")|'(?=(?:[^'\\\n]|\\[\s\S])*+'))"
-        rf"|{_JS_REGEX_PLACE}/(?![/*])(?=(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/)"
-        r"|`(?=[^`]*+`)|/\*(?=(?:[^*]++|\*(?!/))*+\*/))"
-    ),
-    delimiter=(
-        rf"(?=[p\\/*\"'`${{}}\[\]\n{OPENS}])(?:(?=process){_JS_HEAD}|\\[\s\S]|{OPENS}/\*|\*{OPENS}?/|(?=//)(?<!(?:https?|wss?|ftp|file):)//|{OPENS}?[\"'`/]"
-        r"|\$\{|[{}\[\]\n])"
+        # An opening delimiter has its closing one: on the line for quotes and regex literals.
+        (
+            rf"(?=[\"'`/<{{])(?<!\\)(?:{_JS_CODE_WORD}(?:\"(?=(?:[^\"\\\n]|\\[\s\S])*+\")|'(?=(?:[^'\\\n]|\\[\s\S])*+'))"
+            rf"|{_JS_OPERAND}{_JS_REGEX}|`(?=[^`]*+`)|/\*(?=(?:[^*]++|\*(?!/))*+\*/)"
+            rf"|{_JS_OBJECT_PLACE}\{{|{_JS_MARKUP_PLACE}{_JS_EMPTY_ELEMENT})",
+            OPENS,
+        ),
+        (rf"(?=[/<])(?<!\\)(?:(?<=[)}}]\s{{0,9}}){_JS_REGEX}|{_JS_MARKUP_PLACE}{_JS_ELEMENT})", ASKS),
     ),
+    wide_opener=r"(?=\()(?<=(?<![\w$.])(?:if|while|for|with)\s{0,9})\(",
+    delimiter=_javascript_delimiter(""),
+    wide_delimiter=_javascript_delimiter("()"),
+    grammar=_JS_GRAMMAR,
+    element=ASKS + "<",
     call=(
         rf"{START}process\s*+(?:\?\s*+)?\.\s*+env\s*+(?:(?:\?\s*+)?\.\s*+([\p{{L}}_$][\p{{L}}\p{{N}}_$]*+)"
         rf"|\[(?:\s*+({_DOUBLE}|{_SINGLE})\s*+\])?)"

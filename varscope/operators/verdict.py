@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from varscope.operators import selection
 from varscope.operators.inventory import inventory, scanned_files
 from varscope.operators.joins import join_per_key
-from varscope.operators.reconcile import diff_counts, new, reconcile
+from varscope.operators.reconcile import diff_counts, entry_lines, new, reconcile
 from varscope.operators.reports import json_string
 from varscope.operators.template import parse_templates
 from varscope.session import materialize
@@ -98,10 +98,8 @@ def drift_outputs(numbered: DataFrame, verdicts: DataFrame) -> DataFrame:
     return join_per_key(named, facts, ["repo"], ["name"]).unionByName(without)
 
 
-def check_configured(
-    files: DataFrame, config: DataFrame, strict: bool = False, fail_on_stale: bool = False
-) -> DataFrame:
-    """The verdict of repositories that bring their own ignore file, template and configuration.
+def _configured(files: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged entries, rules) of repositories that bring ignore file, template and configuration.
 
     ``files`` holds all of them as files; ``config`` has the exclude globs and the
     template's name (see ``tables.resolve_config``).
@@ -110,8 +108,20 @@ def check_configured(
     rules = materialize(tables.rules_from_files(files).unionByName(selection.config_rules(resolved)))
     found = inventory(selection.walk_refs(files, rules))
     entries = parse_templates(tables.templates_from_files(files, resolved))
-    stats = scanned_files(selection.walked_paths(files, rules))
-    return check(reconcile(found, entries), stats, strict, fail_on_stale)
+    return reconcile(found, entries), rules
+
+
+def check_configured(
+    files: DataFrame, config: DataFrame, strict: bool = False, fail_on_stale: bool = False
+) -> DataFrame:
+    """The verdict of repositories that bring their own ignore file, template and configuration."""
+    merged, rules = _configured(files, config)
+    return check(merged, scanned_files(selection.walked_paths(files, rules)), strict, fail_on_stale)
+
+
+def generate_configured(files: DataFrame, config: DataFrame) -> DataFrame:
+    """The template each such repository should have: (repo, pos, text), see ``entry_lines``."""
+    return entry_lines(_configured(files, config)[0])
 
 
 def check_changes(

@@ -80,9 +80,15 @@ KEY_LAYERS = (
         ),
     },
     {
-        # Regex literals, markup text and nested literals that a shallow reader would run past.
+        # Code in literals, regex literals and markup text that a shallow reader would run past.
+        "py_traps": (
+            "'; t = f\"{d[\"k\"]:{''>''}{w}} {{os.getenv(''DECOY_F'')}} {x:os} {y!r:#>9}\" "
+            "+ rb''' || chr(92) || '''os.environ[\"DECOY_B\"]'''"
+        ),
         "js_traps": (
-            "' q(p.split(/[\"''`]/), p.match(/[/*]/), a / b / c, <p>Don''t see http://x</p>, '"
+            "' for (const y of z) /\"/.test(y); let w = i++ / 2, x = j-- / w / 3;'"
+            "|| ' v = <b c=''process.env.DECOY_A'' d={() => <i/>}>it''s process.env.DECOY_K {u / 2}</b>;'"
+            "|| ' q(p.split(/[\"''`]/), p.match(/[/*]/), a / b / c, <p>Don''t see http://x</p>, '"
             "|| '`a${g({k: {l: {m: {n: `}''${1}process.env.DECOY_N`}}}})} process.env.DECOY_M`);'"
         ),
         # The line that holds the first reference; multi-line calls continue in `ref_rest`.
@@ -93,7 +99,8 @@ KEY_LAYERS = (
             "when 1 then 'b = {\"k\": os.environ.get(''' || name || '''' || arg2 || ')}' "
             "when 2 then case when arg1 = '' then 'c = os.environ[\"' || name || '\"]' "
             "else 'c = os.getenv(' end "
-            "else 'd = f\"é{os.getenv(''' || name || '''' || arg2 || ')}x\"' end "
+            "else case when k % 8 = 3 then 'd = f\"é{{{f''{q(\"}\")}''}{os.getenv(''' || name || '''' || arg2 || ')}}}x\"' "
+            "else 'd = f\"é{os.getenv(''' || name || '''' || arg2 || ')}x\"' end end "
             "when 'javascript' then case f "
             "when 0 then 'const a = process.env.' || name || ' || \"x\";' "
             "when 1 then 'const b = process.env[\"' || name || '\"];' "
@@ -131,7 +138,7 @@ KEY_LAYERS = (
             "case lang "
             f"when 'python' then '# os.getenv(\"DECOY_C\")' || {NL} || 'import os' || {NL} || '\"\"\"' || {NL} "
             f"|| 'os.getenv(\"DECOY_D\")' || {NL} || '\"\"\"' || {NL} "
-            f"|| 's = ''os.environ[\"DECOY_S\"]''' || {NL} "
+            f"|| 's = ''os.environ[\"DECOY_S\"]''' || py_traps || {NL} "
             f"|| ref_line || '  ' || ref_rest || {NL} || 'z = os.getenv(dyn)' || {NL} "
             f"|| case when again then again_line || {NL} else '' end "
             f"when 'javascript' then '// process.env.DECOY_C' || {NL} || '/* process.env.DECOY_B' || {NL} "

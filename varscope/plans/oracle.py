@@ -33,7 +33,7 @@ refs as (
   select k, r, a, s, repo, path, parts, lang as language, name, outside, not_ignored, not_excluded,
     case lang when 'python' then 7 when 'javascript' then 4 when 'go' then 5 when 'shell' then 4
       else 3 end as line,
-    case lang when 'python' then case f when 1 then 10 when 3 then 9 else 4 end
+    case lang when 'python' then case f when 1 then 10 when 3 then case when k % 8 = 3 then 24 else 9 end else 4 end
       when 'javascript' then case f when 2 then 14 when 3 then 2 else 10 end
       when 'go' then case when k % 2 = 0 then 6 else 10 end else 0 end as col,
     ref_line as snippet,
@@ -355,11 +355,11 @@ oracle(
 
 oracle(
     "template_lines",
-    """select repo, kind, cast(sum(n) as bigint) as n from (
-         select repo, unnest(['key', 'comment', 'blank', 'other']) as kind,
-           unnest(case style when 0 then [1, 0, 0, 0] when 1 then [1, 1, 1, 0]
-             when 2 then [1, 1, 0, 0] else [1, 2, 2, 1] end) as n from entry)
-       group by repo, kind having sum(n) > 0""",
+    """select repo, row_number() over (partition by repo order by ord, place) as line, kind from (
+         select repo, ord, unnest(kinds) as kind, unnest(range(len(kinds))) as place from (
+           select repo, ord, case style when 0 then ['key'] when 1 then ['blank', 'comment', 'key']
+             when 2 then ['comment', 'key'] else ['blank', 'comment', 'blank', 'comment', 'other', 'key'] end as kinds
+           from entry))""",
 )
 oracle("template_kv", "select repo, ord, key from entry")
 oracle("template_values", "select repo, key, value, inline as inline_comment from entry")
@@ -413,6 +413,19 @@ oracle(
     DESCRIBED,
 )
 
+ORACLES["sinks"] = f"""
+select repo, row_number() over (partition by repo order by ord, place) as ord, text from (
+  select repo, ord, unnest(string_split(text, {NL})) as text, unnest(range(len(string_split(text, {NL})))) as place
+  from ({ORACLES["render_template"]}))
+"""
+oracle(
+    "generate_configured",
+    f"""select repo, place as ord,
+          case when blank and place > 1 then {NL} else '' end
+          || case when comments = '' then '' else comments || {NL} end
+          || key || '=' || value || case when inline is null then '' else ' ' || inline end as text
+        from ordered""",
+)
 # -------------------------------------------------------------------------- verdicts
 
 VERDICT = """
@@ -440,6 +453,13 @@ oracle(
        from verdict""",
     VERDICT,
 )
+oracle(
+    "check_stale",
+    """select repo, case when n_new > 0 then 'fail' else 'pass' end as status,
+         case when n_new > 0 then 1 when n_stale > 0 then 2 else 0 end as exit_code, n_new, n_stale, scanned_files
+       from verdict""",
+    VERDICT,
+)
 oracle(
     "check_json",
     """select repo, row_number() over (partition by repo order by section, place) as ord, text from (
@@ -469,8 +489,9 @@ oracle(
 oracle(
     "check_stream",
     """select distinct p.repo, p.name from refs p anti join entry e
-       on e.repo = p.repo and e.key = p.name where k % 29 = 0""",
+       on e.repo = p.repo and e.key = p.name""",
 )
+ORACLES["check_stream_events"] = ORACLES["check_stream"]
 oracle(
     "drift_outputs",
     """select v.repo, list, ord, name, scanned_files, n_new > 0 as drift_detected
@@ -557,6 +578,25 @@ oracle(
        left join said on w.repo = said.repo and w.name = said.name""",
     BATCHES + f"texts as ({_describe_sql('wanted', 'repo')}),",
 )
+oracle(
+    "generate_described",
+    f"""select o.repo, place as ord,
+          case when blank and place > 1 then {NL} else '' end
+          || case when w.name is not null then '{MARKER}' || {NL} || '#' || {NL} || '# Description: ' || w.description
+              || {NL} || case when w.example = '' then '' else '# Example:     ' || w.example || {NL} end || '#' || {NL}
+            when comments = '' then '' else comments || {NL} end
+          || o.key || '=' || value || case when inline is null then '' else ' ' || inline end as text
+        from ordered o left join (
+          select w.repo, w.name,
+            case when w.a in (0, 4, 8) then 'cached ' || w.name
+              else coalesce(said.description, t.description) end as description,
+            case when w.a in (0, 4, 8) then 'ce' else coalesce(said.example, t.example) end as example
+          from wanted w
+          join texts t on w.repo = t.repo and w.name = t.name
+          left join said on w.repo = said.repo and w.name = said.name) w
+        on o.repo = w.repo and o.key = w.name""",
+    BATCHES + f"texts as ({_describe_sql('wanted', 'repo')}),",
+)
 oracle(
     "cache_upsert",
     """select distinct key, description, example from (

@@ -36,7 +36,7 @@ from varscope.operators.joins import join_heavy
 from varscope.operators.ordering import with_ordinal
 from varscope.plans import corpus
 from varscope.session import materialize, new_table_path, tune
-from varscope.sources import tables
+from varscope.sources import sinks, tables
 from varscope.streaming import alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -502,10 +502,8 @@ def service_titles(spark, sf):
 
 @query
 def template_lines(spark, sf):
-    return (
-        template.template_lines(corpus.env_templates(spark, sf))
-        .groupBy("repo", "kind")
-        .agg(F.count("*").alias("n"))
+    return template.template_lines(corpus.env_templates(spark, sf)).select(
+        "repo", F.col("line").cast("bigint").alias("line"), "kind"
     )
 
 
@@ -614,8 +612,12 @@ def check(spark, sf):
 
 
 @query
-def check_configured(spark, sf):
-    """Ignore files and templates lie among the files; exclude globs are configured."""
+def check_stale(spark, sf):
+    return _verdicts(spark, sf, fail_on_stale=True)
+
+
+def _brought(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(files, configuration): ignore files and templates lie among the files."""
     rules = corpus.ignore_rules(spark, sf)
 
     def patterns(kind):
@@ -633,7 +635,26 @@ def check_configured(spark, sf):
         F.col("patterns").alias("exclude"), F.lit(None).cast("string").alias("output"),
     )
     brought = files(spark, sf).select("repo", "path", "content").unionByName(ignore_files).unionByName(templates)
-    return verdict.check_configured(brought, config, fail_on_stale=True)
+    return brought, config
+
+
+@query
+def check_configured(spark, sf):
+    return verdict.check_configured(*_brought(spark, sf), fail_on_stale=True)
+
+
+@query
+def generate_configured(spark, sf):
+    rows = verdict.generate_configured(*_brought(spark, sf))
+    return with_ordinal(rows, ["repo"], ["pos"]).select("repo", "ord", "text")
+
+
+@query
+def sinks_(spark, sf):
+    """Rendered templates, written as one document a repo and read back."""
+    path = new_table_path(spark)
+    sinks.write_documents(reconcile.entry_lines(_described(spark, sf)), path, ("pos",))
+    return sinks.read_documents(spark, path)
 
 
 @query
@@ -652,21 +673,33 @@ def check_changes(spark, sf):
     )
 
 
-@query
-def check_stream(spark, sf):
+def _streamed(spark: SparkSession, sf: str, event_time: str | None = None) -> DataFrame:
+    """First alerts over the whole corpus, read as a stream of files."""
     source = corpus.corpus_path(spark, sf)
     stream = (
         spark.readStream.schema(spark.read.parquet(source).schema)
         .option("maxFilesPerTrigger", 4)
         .parquet(source)
-        .filter("k % 29 = 0")
-        .select("repo", "path", "content")
+        .select("repo", "path", "content", *([F.timestamp_seconds("k").alias(event_time)] if event_time else []))
     )
     output, state = new_table_path(spark), new_table_path(spark)
-    alerts.run_once(alerts.check_stream(stream, entries(spark, sf)), output, state)
+    documented = materialize(alerts.documented_names(entries(spark, sf)))
+    found = alerts.check_stream(stream, documented, event_time=event_time, delay="100000 days")
+    alerts.run_once(found, output, state)
     return spark.read.schema("repo string, name string").parquet(output)
 
 
+@query
+def check_stream(spark, sf):
+    return _streamed(spark, sf)
+
+
+@query
+def check_stream_events(spark, sf):
+    """The form with bounded state; within the delay each name is reported once."""
+    return _streamed(spark, sf, "seen_at")
+
+
 @query
 def drift_outputs(spark, sf):
     entries_ = materialize(merged(spark, sf))
@@ -693,7 +726,7 @@ class _Described:
 
     def __init__(self, spark: SparkSession, sf: str, all_keys: bool = False):
         self.refs = materialize(walked(spark, sf))
-        names = materialize(inventory.inventory(self.refs))
+        self.names = names = materialize(inventory.inventory(self.refs))
         requested = materialize(reconcile.undescribed(names, entries(spark, sf)))
         # Only names that want a description are hashed.
         wanted = requested.select("repo", "name")
@@ -822,5 +855,16 @@ def report_markdown(spark, sf):
     return with_ordinal(rows, ["repo"], list(reports.ORDER)).select("repo", "ord", "text")
 
 
-for _name in ("inventory_", "merged_"):
+@query
+def generate_described(spark, sf):
+    """The template with the best texts there are: cached, else answered, else by rule."""
+    case = _Described(spark, sf)
+    batched = materialize(case.batches())
+    parsed = descriptions.parse_responses(batched, _responses(batched))
+    texts = descriptions.resolve(case.keyed, case.hits, parsed)
+    merged_ = reconcile.apply_descriptions(reconcile.reconcile(case.names, entries(spark, sf)), texts)
+    return with_ordinal(reconcile.entry_lines(merged_), ["repo"], ["pos"]).select("repo", "ord", "text")
+
+
+for _name in ("inventory_", "merged_", "sinks_"):
     QUERIES[_name.rstrip("_")] = QUERIES.pop(_name)

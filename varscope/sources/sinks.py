@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from varscope.operators.ordering import with_ordinal
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -28,3 +31,19 @@ def write_documents(lines: DataFrame, path: str, order: tuple[str, ...]) -> None
         .partitionBy("repo")
         .text(path)
     )
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, ord, text): the blocks of each repo's document, numbered as they were written.
+
+    A file's place among the files, a split's place in the file and a line's place in the
+    split give the order, whatever the number of files and splits.
+    """
+    lines = spark.read.schema("text string, repo string").text(path).select(
+        "repo",
+        F.col("text"),
+        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    return with_ordinal(lines, ["repo"], ["_file", "_split", "_at"]).select("repo", "ord", "text")

@@ -7,26 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varscope.operators.extract import extract
+from varscope.operators.extract import file_names
 from varscope.operators.languages import DEFAULT_LANGUAGES, Language
 
 
+def documented_names(entries: DataFrame) -> DataFrame:
+    """(repo, name) of the template entries. Store it: every micro-batch reads it."""
+    return entries.select("repo", F.col("key").alias("name")).distinct()
+
+
 def check_stream(
     files: DataFrame,
-    entries: DataFrame,
+    documented: DataFrame,
     languages: Sequence[Language] = DEFAULT_LANGUAGES,
     event_time: str | None = None,
     delay: str = "1 day",
 ) -> DataFrame:
     """First alert per (repo, name) that a changed file reads and no template documents.
 
-    State is one row per undocumented name. With ``event_time`` (a timestamp column of
-    the stream) state is dropped ``delay`` after a name was seen, for streams without
-    end; such a name may then be reported again.
+    A file sends each name it reads once, however often it reads it. State is one row per
+    undocumented name. With ``event_time`` (a timestamp column of the stream) state is
+    dropped ``delay`` after a name was seen, for streams without end; such a name may then
+    be reported again.
     """
     keep = [event_time] if event_time else []
-    documented = entries.select("repo", F.col("key").alias("name")).distinct()
-    alerts = extract(files, languages, keep).select("repo", "name", *keep)
+    alerts = file_names(files, languages, keep).select("repo", "name", *keep)
     if event_time:
         alerts = alerts.withWatermark(event_time, delay)
     alerts = alerts.join(documented, ["repo", "name"], "left_anti")

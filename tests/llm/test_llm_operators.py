@@ -107,8 +107,9 @@ def test_repeated_rows_are_folded(spark):
 
 def test_line_dedup(odd_rows, odd_docs, no_docs):
     found = line_dedup.dedup_lines(odd_docs, batches=3, fanout=2)
-    assert set(odd_docs.columns) == set(found.columns)
-    got = rows_of(found, "doc_id", "lines.n_lines", "lines.n_dropped", "lines.kept_text")
+    assert found.columns == [*odd_docs.columns, "_lines"]
+    assert found.select("lines").distinct().first()[0] == "own lines"
+    got = rows_of(found, "doc_id", "_lines.n_lines", "_lines.n_dropped", "_lines.kept_text")
     assert got == Counter(lines(odd_rows))
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
@@ -354,6 +355,29 @@ def test_packing(odd_rows, odd_docs, no_docs):
     assert packing.pack(no_docs, WORDS).count() == 0
 
 
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="not supported"):
+        packing.WordTokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_own_column_called_lines(spark):
+    docs = spark.createDataFrame([(1, "a long line here\nx", 7), (2, "A long line here \ny", 8)], "doc_id long, text string, lines int")
+    found = line_dedup.dedup_lines(docs)
+    assert found.columns == ["doc_id", "text", "lines", "_lines"]
+    got = sorted(found.select("doc_id", "lines", "_lines.kept_text", "_lines.n_dropped").collect())
+    assert [tuple(r) for r in got] == [(1, 7, "a long line here\nx", 0), (2, 8, "y", 1)]
+
+
+def test_many_lines_of_one_text(spark):
+    n = 60_000
+    text = "\n".join(f"line number {k}" for k in range(n))
+    half = "\n".join(f"line number {k}" for k in range(0, n, 2))
+    docs = spark.createDataFrame([(1, half), (2, text)], "doc_id long, text string")
+    got = {r.doc_id: r.lines for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[2].kept_text == "\n".join(f"line number {k}" for k in range(1, n, 2))
+    assert (got[2].n_lines, got[2].n_dropped, got[1].n_dropped) == (n, n // 2, 0)
+
+
 def test_bounded_windows():
     packer = packing.Packer(length=10, windows=2)
     for k, size in enumerate([4, 7, 3, 9, 10, 1]):
@@ -377,18 +401,19 @@ def test_licences(odd_rows, odd_docs, no_docs):
 
 
 def top(rows, k=5):
-    by_id = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            scaled = [int(np.floor(256 * float(x))) for x in v]
-            by_id[i] = min(by_id.get(i, scaled), scaled)
-    out = set()
-    for q, v in by_id.items():
+    """(query id, rank, id, score) of every row whose id is divisible by 50, against all other rows."""
+    whole = [
+        (n, i, [int(np.floor(256 * float(x))) for x in v])
+        for n, (i, v) in enumerate(rows)
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
+    out = Counter()
+    for n, q, v in whole:
         if q % 50 == 0:
             scores = sorted(
-                (-sum(a * b for a, b in zip(v, w)), i) for i, w in by_id.items() if i != q and len(w) == len(v)
+                (-sum(a * b for a, b in zip(v, w)), i) for m, i, w in whole if m != n and len(w) == len(v)
             )
-            out |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:k])}
+            out.update((q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:k]))
     return out
 
 
@@ -399,8 +424,12 @@ def test_top_k(spark):
     rows += [(50, rows[7][1]), (100, rows[100][1]), (None, rows[1][1]), (2000, None), (2050, [1.0, None] * 4)]
     rows += [(2100, [float("nan")] * 8), (2150, [float("inf")] * 8), (2200, [1.0, 2.0]), (2201, [3.0, -1.0]), (2250, [])]
     table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, dim string")
-    got = {tuple(r) for r in voronoi.top_k(table, pivots=5).collect()}
-    assert got == top(rows)
+    assert Counter(tuple(r) for r in voronoi.top_k(table, pivots=5).collect()) == top(rows)
+    assert Counter(tuple(r) for r in voronoi.top_k(table).collect()) == top(rows)
+    twice = [(50, [1.0, 0.0]), (50, [0.5, 0.0]), (1, [1.0, 1.0]), (1, [0.25, 0.0]), (2, [0.5, 0.5])]
+    again = spark.createDataFrame(twice, "vec_id long, embedding array<double>")
+    got = Counter(tuple(r) for r in voronoi.top_k(again, pivots=2).collect())
+    assert got == top(twice) and sum(got.values()) == 8
     assert voronoi.top_k(table.limit(0)).count() == 0
 
 

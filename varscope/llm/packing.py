@@ -56,6 +56,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+# Texts that a tokenizer must give the ids of their segments, or it is not of the kind meant.
+PROBES = (
+    "The Quick  brown\tfox\njumps, over. THE lazy dog's 12,5 km.",
+    "Ends with a comma, and\r\n\x0b\x0cstarts anew. x",
+    "a b  c.d e,f g.. h,, (i) Don't stop",
+)
+
+
 class WordTokens:
     """Ids of whole texts by a tokenizer that drops white space and lowers case.
 
@@ -71,6 +79,10 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.segments = SegmentIds(self.encode, REMEMBERED)
+        ids, _ = self(pa.array(PROBES))
+        whole, _ = flatten([self.tokenizer.encode(text, add_special_tokens=False).ids for text in PROBES])
+        if not np.array_equal(ids, whole):
+            raise ValueError(f"{path}: the ids of a text are not those of its words; this tokenizer is not supported")
 
     def encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [s.decode("utf-8", "replace") for s in segments]

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; ``run`` writes it as
 Parquet and reads it again as the next stage's ``docs``. All stages but the last return
-the columns of their input; ``n_chars`` follows a changed text.
+the columns of their input, whatever they are called; ``n_chars`` follows a changed text.
+Of an empty table every stage gives an empty one; very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -21,36 +22,49 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or are probably of bad quality, go."""
+    """Documents that fail the base rules, or are probably of bad quality, go.
+
+    A null or empty text goes; repeated rows are judged each. The counts are stored beside
+    the rows, so that texts are counted once.
+    """
     ship(spark)
-    model = quality.estimate(quality.with_counts(docs.select("doc_id", "text")))
-    judged = quality.judge(quality.with_counts(carried(docs)), model)
+    counted = materialize(quality.with_counts(carried(docs)))
+    judged = quality.judge(counted, quality.estimate(counted))
     return restored(judged.filter(quality.PREFIX + "kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go."""
+    """Lines that an earlier document has go.
+
+    A null text stays null; rows without id, and lines that only rows of one id share, stay.
+    """
     ship(spark)
-    found = lines.dedup_lines(carried(docs))
+    found = lines.dedup_lines(carried(docs))  # its columns are doc_id, text and row, so the result is called lines
     changed = F.col("lines.n_dropped") > 0
     kept = F.when(changed, F.col("lines.kept_text")).otherwise(F.col("text"))
     return restored(found.withColumn("text", kept), docs, changed)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays.
+
+    Of repeated rows one stays; documents without words have no duplicates and stay.
+    """
     ship(spark)
     return near.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark. Null and empty texts stay as they are."""
     ship(spark)
     return secrets.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents become sequences of token ids; one row per piece."""
+    """Documents become sequences of token ids; one row per piece.
+
+    A null or empty text is its end id alone. Of an empty table there are no sequences.
+    """
     ship(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 

@@ -331,7 +331,7 @@ s as (
     union all {_spans_sql(1, secrets.ACCESS, f"length(m) >= {secrets.ACCESS_CHARS}")}
     union all {_spans_sql(2, secrets.HEX, f"length(m) >= {secrets.HEX_CHARS}")}
     union all select doc_id, start, kind, stop from (
-        select *, {_VALUE} as v from (select *, substr(x, start + 1, stop - start) as m from c join d using (doc_id))
+        select *, {_VALUE} as v from (select *, substr(x, (start + 1)::bigint, (stop - start)::bigint) as m from c join d using (doc_id))
     ) where {_ENTROPY}
 ),
 g as (

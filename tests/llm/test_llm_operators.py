@@ -47,6 +47,28 @@ def test_suffix_dedup(odd_rows, odd_docs, no_docs):
     assert suffixes.repeated_passages(no_docs).count() == 0
 
 
+def test_suffixes_sorted_by_words():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 3, rng.integers(1, 9)).tolist() for _ in range(200)]
+    size = np.array([len(t) for t in texts])
+    word, at = np.array(sum(texts, [])), np.cumsum(size) - size
+    for start, step, read in ((at, 1, texts), (at + size - 1, -1, [t[::-1] for t in texts])):
+        order, shared = suffixes.sorted_neighbours(word, start, size, step)
+        assert [read[k] for k in order] == sorted(read)
+        for k, (a, b) in enumerate(zip(order[:-1], order[1:])):
+            same = next((i for i, (x, y) in enumerate(zip(read[a], read[b])) if x != y), min(len(read[a]), len(read[b])))
+            assert shared[k + 1] == same
+
+
+def test_packing_of_arrays():
+    for n in (0, 1, 3, 5000):
+        arrays = dict(a=np.arange(n, dtype=np.int32), b=np.arange(n) > 2, c=np.arange(3 * n, dtype=np.uint8))
+        packed = substring_dedup.pack(**arrays)
+        back = substring_dedup.unpack(packed, a=np.int32, b=bool, c=np.uint8)
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(back, arrays.values()))
+        assert len(packed) <= 16 + 8 * max(n, 1)
+
+
 def phrase_rows():
     """Documents that share a phrase or a passage, each with words of its own around it."""
     own = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
@@ -81,7 +103,7 @@ def test_hot_buckets_are_split(spark):
         flags = np.full(len(place), split)
         agreeing = pa.table({"agreeing": pa.array([suffixes.pack(place=place, hot=flags)], pa.binary())})
         sizes = [
-            suffixes.unpack(x, number=np.int32, doc=np.int64, shared=bool, size=np.int32, single=bool, text=np.uint8)[3].sum()
+            suffixes.unpack(x, number=np.int32, doc=np.int64, shared=bool, size=np.int32, anchor=np.int8, single=bool, text=np.uint8)[3].sum()
             for _, x in suffixes.agreeing_strings(table, agreeing, lambda keys: (keys % np.uint64(1 << 30)).astype(np.int64))
         ]
         assert (max(sizes) < 5000) == split

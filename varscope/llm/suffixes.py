@@ -3,10 +3,13 @@
 Method. A suffix of a text is retained where the text itself selects it: every stretch of
 ``LENGTH`` words names the place of the smallest hash among its first ``REACH`` grams of
 ``GRAM`` words. Equal stretches name equal places, so two copies of a passage retain
-suffixes that agree on ``PREFIX`` words at least. The retained suffixes are sorted by
-that prefix and compared with their neighbours; those that agree with one are extended
-to the left and to the right, as far as the stretches that name them reach. The extended
-strings of a prefix are sorted again, and equal neighbours are repeated stretches.
+suffixes that agree on ``PREFIX`` words at least. A first sort, of hashes of that prefix,
+finds the suffixes that have a neighbour with an equal one; only these are read on. They
+are then sorted by their words, up to the end of the stretches that name them, and each is
+compared with its neighbour: the number of words they share. The same is done with the
+words before them, read backwards. A stretch that begins ``a`` words before a suffix
+repeats where a stretch of neighbours shares ``a`` words to the left and the rest of the
+``LENGTH`` words to the right.
 
 Scale. About two of 27 positions are retained, and the sort moves only a hash for each.
 Text travels for the agreeing suffixes alone, in answer to the sort, and a string held
@@ -31,9 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from varscope.llm.blocks import U, find_words, gather, mix, ngrams, ranges, span_hash, text_bytes, within
+from varscope.llm.blocks import U, Words, find_words, gather, mix, ngrams, ranges, span_hash, span_ids, text_bytes, within
 from varscope.llm.tasks import GROUP_BYTES, folded, group_count, group_of, text_rows, unfolded
-from varscope.llm.windows import covered, pack, smallest_documents, unpack
+from varscope.llm.windows import covered, pack, unpack
 
 LENGTH = 50
 GRAM = 8
@@ -99,9 +102,10 @@ class Suffixes:
         for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
             terms = mix(content[at] + offset * U(seed))
             keys.append(np.add.reduceat(terms, starts) if len(starts) else terms)
-        order = np.lexsort((self.doc, keys[1], keys[0], self.prefix))
+        self.anchor = place[self.start] - self.start  # words of the first stretch before the suffix
+        order = np.lexsort((self.doc, keys[1], keys[0], self.anchor, self.prefix))
         change = np.ones(len(order), bool)
-        for key in (self.prefix, *keys):
+        for key in (self.prefix, self.anchor, *keys):
             change[1:] &= key[order][1:] == key[order][:-1]
         change[1:] = ~change[1:]
         self.number = np.empty(len(order), np.int64)
@@ -128,7 +132,8 @@ class Suffixes:
         text, offsets = gather(self.words.data, *self.edges(run))
         return pack(
             number=number.astype(np.int32), doc=self.doc[run], shared=self.shared[number],
-            size=np.diff(offsets).astype(np.int32), single=np.array([single]), text=text,
+            size=np.diff(offsets).astype(np.int32), anchor=self.anchor[run].astype(np.int8),
+            single=np.array([single]), text=text,
         )
 
 
@@ -175,22 +180,74 @@ def neighbours(table: pa.Table, hot_bytes: int) -> pa.Table:
     return table_of(rows, "cell", "agreeing")
 
 
+def sorted_neighbours(word: np.ndarray, at: np.ndarray, size: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the sequences by their words, words that each shares with the one before it).
+
+    A sequence is ``word[at], word[at + step], ...`` of ``size`` words. All are sorted at
+    once: ranks of one word more follow from the ranks so far and the next words.
+    """
+    rank, shared = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    bound = int(word.max(initial=0)) + 2
+    columns = []
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        following = np.zeros(len(at), np.int64)  # a sequence that ends comes first
+        following[has] = word[at[has] + step * k] + 1
+        _, rank = np.unique(rank * bound + following, return_inverse=True)
+        columns.append((rank, has))
+    order = np.argsort(rank, kind="stable")
+    same = np.ones(max(0, len(order) - 1), bool)
+    for rank, has in columns:
+        same &= (rank[order[1:]] == rank[order[:-1]]) & has[order[1:]]
+        shared[1:] += same
+    return order, shared
+
+
+def intervals(order: np.ndarray, shared: np.ndarray, words: int) -> np.ndarray:
+    """For each sequence, the number of the run of neighbours that share so many words."""
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(shared < words) if words else 0
+    return number
+
+
+def earliest(words: Words, doc: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretches of each string, smallest document that has each stretch), string by string."""
+    ids, _ = span_ids(words.data, words.start, words.end)
+    stretches = words.counts() - LENGTH + 1
+    begins = np.cumsum(stretches) - stretches
+    at = words.first[:-1] + anchor
+    right = sorted_neighbours(ids, at, words.first[1:] - at, 1)
+    left = sorted_neighbours(ids, at - 1, anchor, -1)
+    least = np.empty(int(stretches.sum()), np.int64)
+    for before in range(REACH):  # stretches that begin so many words before their suffix
+        place = anchor - before
+        some = np.flatnonzero((place >= 0) & (place < stretches))
+        if not len(some):
+            continue
+        key = intervals(*right, LENGTH - before)[some] * len(at) + intervals(*left, before)[some]
+        _, group = np.unique(key, return_inverse=True)
+        smallest = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, group, doc[some])
+        least[begins[some] + place[some]] = smallest[group]
+    return stretches, least
+
+
 def extended(table: pa.Table) -> pa.Table:
-    """Sorts the extended strings of a bucket; answers the smallest document of each stretch."""
+    """Sorts the suffixes of a bucket, extends the matches of neighbours to both sides, and
+    answers the smallest document of each stretch."""
     cells = np.asarray(table.column("cell"), np.int64)
     order = np.argsort(cells, kind="stable")
     parts = [
         unpack(
             table.column("strings")[int(i)].as_py(),
-            number=np.int32, doc=np.int64, shared=bool, size=np.int32, single=bool, text=np.uint8,
+            number=np.int32, doc=np.int64, shared=bool, size=np.int32, anchor=np.int8, single=bool, text=np.uint8,
         )
         for i in order
     ]
     sizes = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    words = find_words(np.concatenate([p[5] for p in parts]), np.concatenate([[0], np.cumsum(sizes)]))
+    words = find_words(np.concatenate([p[6] for p in parts]), np.concatenate([[0], np.cumsum(sizes)]))
     doc = np.concatenate([p[1] for p in parts])
-    _, least = smallest_documents(words, doc, LENGTH)
-    stretches = np.diff(words.first) - LENGTH + 1
+    stretches, least = earliest(words, doc, np.concatenate([p[4] for p in parts]).astype(np.int64))
     starts = np.cumsum(stretches) - stretches
     wanted = (np.minimum.reduceat(least, starts) < doc) | np.concatenate([p[2] for p in parts])
     rows, before = [], 0
@@ -203,7 +260,7 @@ def extended(table: pa.Table) -> pa.Table:
                     int(cells[i]),
                     pack(
                         number=part[0][mine - before], stretches=n.astype(np.int32),
-                        least=least[ranges(starts[mine], n)], single=part[4],
+                        least=least[ranges(starts[mine], n)], single=part[5],
                     ),
                 )
             )

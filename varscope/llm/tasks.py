@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varscope.operators.joins import join_per_key
+from varscope.session import materialize
+
 # Text that a group of documents or windows holds, so that one task can keep it in memory.
 GROUP_BYTES = 4 << 20
 
@@ -34,18 +37,20 @@ def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 def folded(rows: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``doc_id, text, copies``: rows whose copies hold more than ``group_bytes`` come once.
 
-    Only keys travel to find them; there are at most as many as groups. 64 bytes count for
-    a row of its own, so that empty texts are folded as well.
+    Only keys travel to find them; there are at most as many as groups, so they are
+    broadcast, if counted to be few, or joined. 64 bytes count for a row of its own, so
+    that empty texts are folded as well.
     """
-    key = F.xxhash64("doc_id", "text")
+    keyed = rows.withColumn("_key", F.xxhash64("doc_id", "text"))
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)
-    heavy = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), size.alias("size"))
-    heavy = [r[0] for r in heavy.where((F.col("n") > 1) & (F.col("size") > group_bytes)).select("key").collect()]
-    once = rows.withColumn("copies", F.lit(1).cast("bigint"))
-    if not heavy:
-        return once
-    often = rows.where(key.isin(heavy)).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
-    return once.where(~key.isin(heavy)).unionByName(often)
+    heavy = keyed.groupBy("_key").agg(F.count("*").alias("n"), size.alias("size"))
+    heavy = materialize(heavy.where((F.col("n") > 1) & (F.col("size") > group_bytes)).select("_key", F.lit(True).alias("_often")))
+    once = F.lit(1).cast("bigint").alias("copies")
+    if heavy.isEmpty():
+        return rows.select("*", once)
+    told = join_per_key(keyed, heavy, ["_key"], ["doc_id", "text"]).drop("_key")
+    often = told.where("_often").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    return told.where("_often is null").select("doc_id", "text", once).unionByName(often)
 
 
 def unfolded(rows: DataFrame) -> DataFrame:

@@ -11,8 +11,11 @@ held by a third of all documents arrives once per group and not once per documen
 bucket answers with the smallest documents of the windows in a string, again once per
 group; the group then looks up its own strings. Nothing travels per occurrence.
 
-A minimiser whose strings hold more than ``group_bytes`` over all documents is hot: words
-around a frequent phrase differ between documents, so folding does not bound its bucket.
+A cell packs a row for each bucket it has strings for: the cells times the buckets, but
+never more than the strings. A minimiser whose strings hold more than ``group_bytes`` over
+all documents is hot: words around a frequent phrase differ between documents, so folding
+does not bound its bucket. The list of hot minimisers, that all tasks get, is bounded by
+``MOST_HOT``: with more text than ``MOST_HOT`` times half a group, what counts as hot grows.
 Windows of hot minimisers travel one by one to the bucket of their whole content. Equal
 windows have equal minimisers, so they still meet. Rows repeated so often that they
 outgrow a group are folded to one row and given back at the end.
@@ -25,6 +28,7 @@ own document stays. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,26 +62,39 @@ RUN_WINDOWS = 64
 # Text whose minimisers are counted together before the frequent ones leave a task.
 COUNTED_BYTES = 64 << 20
 NO_HOT = np.zeros(0, U)
+# Hot minimisers that the tasks know; over that many, a minimiser must be larger to be hot.
+MOST_HOT = 1_000_000
+COMPRESSED_FROM = 512
+# Bytes of strings for each byte of text, at most: a window lies in few strings.
+HOT_SHARE = 4
 
 STRINGS = "bucket int, cell int, strings binary"
 ANSWERS = "cell int, answers binary"
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string, copies long"
 
 
+_compressor, _decompressor = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays of one group as compressed Arrow bytes."""
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array([v.tobytes()], pa.large_binary()) for v in arrays.values()], list(arrays)
-    )
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return zstandard.compress(sink.getvalue(), 3)
+    """Arrays of one group as bytes: their sizes, then their values; compressed if that is worth it.
+
+    A cell packs a row for each bucket it has strings for, so at very large scale a row
+    holds a single string: it must cost little more than that.
+    """
+    parts = [v.tobytes() for v in arrays.values()]
+    plain = struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
+    return b"\0" + plain if len(plain) < COMPRESSED_FROM else b"\1" + _compressor.compress(plain)
 
 
 def unpack(packed: bytes, **kinds: type) -> list[np.ndarray]:
-    batch = pa.ipc.open_stream(zstandard.decompress(packed)).read_next_batch()
-    return [np.frombuffer(batch.column(name)[0].as_buffer(), kind) for name, kind in kinds.items()]
+    """The arrays again; ``kinds`` names all of them, in the order they were packed in."""
+    plain = _decompressor.decompress(packed[1:]) if packed[:1] == b"\1" else packed[1:]
+    at, out = 4 * len(kinds), []
+    for size, kind in zip(struct.unpack_from(f"<{len(kinds)}I", plain), kinds.values()):
+        out.append(np.frombuffer(plain, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
 
 
 def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -321,7 +338,7 @@ def dedup_substrings(
     rows = folded(text_rows(docs, doc_id, text), group_bytes)
     total = total_bytes(rows, "text")
     groups = groups_for(total, group_bytes)
-    hot = hot_minimisers(rows, total, window, minimiser, group_bytes)
+    hot = hot_minimisers(rows, total, window, minimiser, max(group_bytes, -(-2 * HOT_SHARE * total // MOST_HOT)))
     rows = rows.withColumn("cell", group_of(groups, "doc_id", "text"))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:

@@ -422,6 +422,38 @@ def test_licences(odd_rows, odd_docs, no_docs):
     assert licences.scan(no_docs).count() == 0
 
 
+LICENCE_LINES = {
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0",
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    "Licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+    "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0",
+    "An unrelated line about a work that somebody did": None,
+}
+
+
+def test_best_template(spark):
+    rows = [(k, line) for k, line in enumerate(LICENCE_LINES)]
+    inside = [(k + 100, f"it was said that {'x ' * 30} {line} and then {'y ' * 40} followed") for k, line in rows]
+    full = "Copyright 2020 Somebody\n\n" + "\n\n".join((licences._MIT_GRANT, licences._MIT_NOTICE, licences._MIT_WARRANTY))
+    docs = spark.createDataFrame([*rows, *inside, (500, full), (501, full.replace("\n", " "))], "doc_id long, text string")
+    got = defaultdict(set)
+    for r in licences.scan(docs).collect():
+        got[r.doc_id].add(r.licence)
+    for k, licence in enumerate(LICENCE_LINES.values()):
+        assert got[k] == got[k + 100] == ({licence} if licence else set())
+    assert got[500] == got[501] == {"MIT"}
+
+
+def test_every_template_names_its_licence(spark):
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(licences.TEMPLATES)], "doc_id long, text string")
+    best = {}
+    for r in licences.scan(docs).collect():
+        if r.best_dice >= best.get(r.doc_id, (0,))[0]:
+            best[r.doc_id] = (r.best_dice, r.licence)
+    assert best == {k: (1.0, name) for k, (name, _) in enumerate(licences.TEMPLATES)}
+
+
 def top(rows, k=5):
     """(query id, rank, id, score) of every row whose id is divisible by 50, against all other rows."""
     whole = [

@@ -228,26 +228,43 @@ _TEMPLATES = ", ".join(
 _GRAMS = "list_distinct(list_transform(range(len(w) - 1), lambda k: w[k+1] || ' ' || w[k+2]))"
 ORACLES["op5_license_scan"] = f"""
 with t(id, licence, words) as (values {_TEMPLATES}),
-tg as (select id, licence, {_GRAMS} as g from (select *, string_split(words, ' ') as w from t)),
+tw as (select *, string_split(words, ' ') as w from t),
+tg as (select id, licence, len(w) as length, w[1] || ' ' || w[2] as head, {_GRAMS} as g from tw),
 d as (
-    select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x
+    select row_number() over () as row, doc_id,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x
     from documents
 ),
-l as (select doc_id, unnest(string_split(x, chr(10))) as x, unnest(range(len(string_split(x, chr(10))))) as n from d),
-lw as (select doc_id, n, list_filter(string_split_regex(x, '[^a-z0-9]+'), lambda v: v <> '') as w from l),
-filled as (select *, n - row_number() over (partition by doc_id order by n) as paragraph from lw where len(w) > 0),
+l as (select row, unnest(string_split(x, chr(10))) as x, unnest(range(len(string_split(x, chr(10))))) as n from d),
+lw as (select row, n, list_filter(string_split_regex(x, '[^a-z0-9]+'), lambda v: v <> '') as w from l),
+filled as (select *, n - row_number() over (partition by row order by n) as paragraph from lw where len(w) > 0),
+whole as (select row, flatten(list(w order by n)) as w from filled group by row),
 s as (
-    select doc_id, w from filled
-    union all select doc_id, flatten(list(w order by n)) from filled group by doc_id, paragraph
-    union all select doc_id, flatten(list(w order by n)) from filled group by doc_id
+    select row, w, null as own from filled
+    union all select row, flatten(list(w order by n)), null from filled group by row, paragraph
+    union all select row, w, null from whole
+),
+p as (
+    select row, w, i, w[i] || ' ' || w[i+1] as head
+    from (select row, w, unnest(range(1, len(w))) as i from whole)
+),
+sg as (
+    select row_number() over () as segment, row, null as own, {_GRAMS} as g from s where len(w) > 1
+    union all
+    select -(row * 1000000 + i), row, id, g from (
+        select row, i, id, {_GRAMS} as g
+        from (select p.row, i, id, p.w[i : i + length - 1] as w from p join tg using (head) where i + length - 1 <= len(p.w))
+    )
 ),
-sg as (select doc_id, {_GRAMS} as g from s where len(w) > 1),
 m as (
-    select doc_id, licence, 2 * len(list_intersect(sg.g, tg.g)) / (len(sg.g) + len(tg.g)) as dice
-    from sg join tg on len(sg.g) <= 1.5 * len(tg.g) and len(tg.g) <= 1.5 * len(sg.g)
-)
+    select segment, row, licence, 2 * len(list_intersect(sg.g, tg.g)) / (len(sg.g) + len(tg.g)) as dice, id
+    from sg join tg on (own is null or own = id)
+        and len(sg.g) <= 1.5 * len(tg.g) + 1e-9 and len(tg.g) <= 1.5 * len(sg.g) + 1e-9
+),
+b as (select segment, row, first(licence order by dice desc, id) as licence, max(dice) as dice from m
+    where dice >= 0.8 - 1e-12 group by segment, row)
 select doc_id, licence, count(*) as n_segments, round(max(dice), 6) as best_dice
-from m where dice >= 0.8 - 1e-12 group by doc_id, licence
+from b join d using (row) group by row, doc_id, licence
 """
 
 

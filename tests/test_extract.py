@@ -1,13 +1,14 @@
 import re
 import time
+from dataclasses import replace
 
 import pytest
 from samples import COLUMNS, FILES, INVENTORY, N_LOCATIONS
 
 from varscope.operators.extract import extract, file_names
 from varscope.operators.inventory import file_findings, inventory, with_position
-from varscope.operators.languages import JAVASCRIPT, PYTHON, LineLanguage
-from varscope.plans.queries import RUBY
+from varscope.operators.languages import DOCKER, JAVASCRIPT, PYTHON, LineLanguage
+from varscope.plans.queries import MAKE, RUBY, SETTINGS
 
 @pytest.fixture(scope="module")
 def sample_refs(spark, files_of):
@@ -296,10 +297,22 @@ def test_names_of_a_file_come_once(spark, files_of):
 
 
 def test_own_line_language(files_of):
-    own = LineLanguage("compose", (".env",), ("ARG", "ENV"), filename_prefixes=("Containerfile",), reader="docker")
+    own = replace(DOCKER, name="compose", extensions=(".env",), filename_prefixes=("Containerfile",))
     rows = extract(files_of({"Containerfile.x": "ENV A=1\nARG B\n", "x.env": "ARG C=2"}), (own,)).collect()
     assert sorted((r.name, r.language, r.default_value) for r in rows) == [
         ("A", "compose", "1"), ("B", "compose", None), ("C", "compose", "2"),
     ]
     with pytest.raises(ValueError):
-        LineLanguage("x", (".x",), ("X",), reader="unknown")
+        LineLanguage("x", (".x",), ("X",))
+
+
+def test_line_language_by_grammar_alone(files_of):
+    text = "A ?= 1\nB = $(C) $(A) $(shell x) $@\nuse:\n\techo $(B) ${D} $(MAKE)\n"
+    rows = extract(files_of({"Makefile": text, "x.mk": "X = $(Y)"}), (MAKE,)).collect()
+    assert sorted((r.path, r.name, r.line) for r in rows) == [("Makefile", "C", 2), ("Makefile", "D", 4), ("x.mk", "Y", 1)]
+    service = replace(SETTINGS, extensions=(".service",), filename_prefixes=())
+    lines = "[Service]\nEnvironment=A=1\n Environment = B =\nEnvironment=A=2\nPassEnvironment=C\n"
+    rows = extract(files_of({"x.service": lines}), (service,)).collect()
+    assert sorted((r.name, r.line, r.default_value, r.is_required) for r in rows) == [
+        ("A", 2, "1", False), ("B", 3, "", False), ("C", 5, None, True),
+    ]

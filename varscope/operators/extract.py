@@ -15,15 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varscope.functions import paths
-from varscope.functions.text import WS, WS_INLINE, decode, rstrip, strip, unify_lines, unquote
+from varscope.functions.text import decode, rstrip, strip, unify_lines, unquote
 from varscope.operators.languages import (
     ASKS,
     DEFAULT_LANGUAGES,
     END,
     OPENS,
+    SHELL_SPECIAL_NAMES,
     START,
     Language,
     LexedLanguage,
+    LineLanguage,
 )
 from varscope.operators.stack import code_flags
 
@@ -311,63 +313,50 @@ def literal_text(literal: Column) -> Column:
     )
 
 
-_NAME = "[A-Z_][A-Z0-9_]*+"
-_WORD_END = r"(?![\p{L}\p{N}_])"
-SHELL_BRACED = rf"\$\{{#?({_NAME})[^}}\n]*+\}}"
-SHELL_SIMPLE = rf"\$({_NAME}){_WORD_END}"
-_SHELL_EXPORT = rf"(?md)^[{WS_INLINE}]*+export[{WS_INLINE}]++({_NAME})(?=[={WS}#]|$)"
-# An assignment whose right-hand side (up to a comment) does not read the same name.
-_SHELL_ASSIGN = rf"(?md)^[{WS_INLINE}]*+({_NAME})=(?![^#\n]*\$\{{?\1{_WORD_END})"
-
-# One-character names that are shell specials.
-SHELL_SPECIAL_NAMES = ("$", "?", "!", "@", "*", "#", "-", "_") + tuple("0123456789")
-
-
 def is_shell_special(name: Column) -> Column:
     return name.isin(*SHELL_SPECIAL_NAMES)
 
 
-def shell_local_names(lines: Column) -> Column:
-    """Names assigned at a line start, never exported and not read by their own value."""
-    (assigned,), (exported,) = _groups(lines, _SHELL_ASSIGN, 1), _groups(lines, _SHELL_EXPORT, 1)
-    return F.array_except(assigned, exported)
+def own_names(lines: Column, spec: LineLanguage) -> Column:
+    """Names that the text itself assigns and does not export."""
+    if spec.assigned is None:
+        return F.expr("cast(array() as array<string>)")
+    (assigned,) = _groups(lines, spec.assigned, 1)
+    return F.array_except(assigned, _groups(lines, spec.exported, 1)[0]) if spec.exported else assigned
 
 
-def _shell_lines() -> Column:
+def _reference_lines(spec: LineLanguage) -> Column:
     """One hit per (name, line), alphabetical within a line; comments count."""
 
-    def names(line: Column) -> Column:
-        (braced,), (simple,) = _groups(line, SHELL_BRACED, 1), _groups(line, SHELL_SIMPLE, 1)
-        return F.array_sort(F.array_except(F.concat(braced, simple), F.col("_known")))
-
     def hits(line: Column) -> Column:
-        return F.transform(names(line), lambda n: _raw_hit(n, F.lit(0), F.lit(""), F.lit("")))
+        read = F.concat(*(_groups(line, pattern, 1)[0] for pattern in spec.references))
+        names = F.array_sort(F.array_except(read, F.col("_known")))
+        return F.transform(names, lambda n: _raw_hit(n, F.lit(0), F.lit(""), F.lit("")))
 
     lines = F.transform(F.split("_marked", "\n"), lambda text, i: F.struct((i + 1).alias("line"), text.alias("snippet")))
-    some = F.filter(lines, lambda line: F.contains(line["snippet"], F.lit("$")))
+    tests = [lambda line, g=g: F.contains(line["snippet"], F.lit(g)) for g in spec.guards]
+    some = F.filter(lines, lambda line: reduce(Column.__or__, [test(line) for test in tests]))
     return F.transform(some, lambda line: _raw_line(line, hits(line["snippet"])))
 
 
-# A declaration line: keyword, name, then `=value` or (ENV only) a blank and a value.
-_DOCKER_LINE = (
-    rf"[{WS_INLINE}]*+(ENV|ARG(?=[{WS_INLINE}]++{_NAME}(?:=|[{WS_INLINE}]*+$)))"
-    rf"[{WS_INLINE}]++({_NAME})(?:(=)([^\n]*+)|[{WS_INLINE}]([^\n]*+))?$"
-)
+def _declared_at_marks(spec: LineLanguage) -> str:
+    return f"(?md){START}{spec.declaration}"
 
 
-def _docker_lines() -> Column:
-    """First ENV or ARG declaration of each name; ``_known`` lists the declared names."""
+def _declaration_lines(spec: LineLanguage) -> Column:
+    """First declaration of each name; ``_known`` lists the declared names."""
     marked = F.col("_marked")
-    keyword, equals, after, beside = _groups(marked, f"(?md){START}{_DOCKER_LINE}", 1, 3, 4, 5)
+    keyword, sign, after, beside = _groups(marked, _declared_at_marks(spec), 1, 3, 4, 5)
     calls = F.arrays_zip(
-        F.col("_known").alias("name"), keyword.alias("keyword"), equals.alias("equals"),
+        F.col("_known").alias("name"), keyword.alias("keyword"), sign.alias("sign"),
         after.alias("after"), beside.alias("beside"),
     )
     lines = _on_lines(
         marked,
         calls,
         lambda call, column: _raw_hit(
-            call["name"], column, F.concat(call["after"], call["beside"]), F.concat(call["keyword"], call["equals"])
+            call["name"], column, F.concat(call["after"], call["beside"]),
+            F.concat(call["keyword"], F.lit(START), call["sign"]),
         ),
     )
     # one declaration a line
@@ -376,6 +365,15 @@ def _docker_lines() -> Column:
     )
 
 
+def _has_value(spec: LineLanguage) -> Column:
+    """Whether a declaration gives its name a value."""
+    given = {"text": strip(F.col("default")) != "", "sign": ~F.col("other").endswith(START)}
+    chain = F
+    for keyword, what in spec.valued_by:
+        chain = chain.when(F.col("other").startswith(keyword), given[what])
+    return F.lit(False) if chain is F else chain.otherwise(False)
+
+
 # --------------------------------------------------------------------------- extraction
 
 
@@ -418,21 +416,19 @@ def _stages(spark: SparkSession, languages: tuple[Language, ...]) -> _Stages:
 
 
 def _build_stages(languages: tuple[Language, ...]) -> _Stages:
-    def reader(spec: Language) -> str | None:
-        return None if isinstance(spec, LexedLanguage) else spec.reader
+    def named(kind: Callable[[Language], bool]) -> Column:
+        return F.col("language").isin(*[s.name for s in languages if kind(s)])
 
-    is_docker = F.col("language").isin(*[s.name for s in languages if reader(s) == "docker"])
-    lexed = F.col("language").isin(
-        *[s.name for s in languages if isinstance(s, LexedLanguage)]
-    )
+    def declares(spec: Language) -> bool:
+        return isinstance(spec, LineLanguage) and spec.declaration is not None
+
+    declaring, lexed = named(declares), named(lambda s: isinstance(s, LexedLanguage))
 
     def tagged(spec: Language) -> Column:
         if isinstance(spec, LexedLanguage):
             return _tag_tokens(F.col("_text"), spec)
         lines = unify_lines(F.col("_text"))
-        if reader(spec) == "docker":
-            return F.regexp_replace(lines, f"(?md)^{_DOCKER_LINE}", START + "$0")
-        return lines
+        return F.regexp_replace(lines, f"(?md)^{spec.declaration}", START + "$0") if declares(spec) else lines
 
     def marked(spec: Language) -> Column | None:
         return (
@@ -440,21 +436,19 @@ def _build_stages(languages: tuple[Language, ...]) -> _Stages:
         )
 
     def known(spec: Language) -> Column | None:
-        if reader(spec) == "shell":
-            specials = F.array(*[F.lit(n) for n in SHELL_SPECIAL_NAMES])
-            return F.concat(shell_local_names(F.col("_marked")), specials)
-        if reader(spec) == "docker":
-            return _groups(F.col("_marked"), f"(?md){START}{_DOCKER_LINE}", 2)[0]
+        if declares(spec):
+            return _groups(F.col("_marked"), _declared_at_marks(spec), 2)[0]
+        if isinstance(spec, LineLanguage):
+            specials = F.expr("cast(array() as array<string>)") if not spec.specials else F.array(*map(F.lit, spec.specials))
+            return F.concat(own_names(F.col("_marked"), spec), specials)
         return None
 
     def lines(spec: Language) -> Column:
         if isinstance(spec, LexedLanguage):
             return F.when(F.contains("_marked", F.lit(START)), _lexed_lines(spec))
-        return _shell_lines() if reader(spec) == "shell" else _docker_lines()
+        return _declaration_lines(spec) if declares(spec) else _reference_lines(spec)
 
-    declared = F.when(
-        F.col("other").startswith("ENV"), strip(F.col("default")) != ""
-    ).otherwise(F.col("other") == "ARG=")
+    valued = _by_language(languages, lambda s: _has_value(s) if declares(s) else None, F.lit(False))
     return _Stages(
         language=candidate_language(F.col("path"), F.col("content"), languages),
         text=F.translate(decode(F.col("content")), START + END + OPENS + ASKS, "\uFFFD" * 4),
@@ -465,9 +459,9 @@ def _build_stages(languages: tuple[Language, ...]) -> _Stages:
         name=F.when(lexed, literal_text(F.col("key"))).otherwise(F.col("key")),
         default_value=F.when(
             lexed, F.nullif(literal_text(F.col("default")), F.lit(""))
-        ).when(is_docker & declared, unquote(F.col("default"))),
+        ).when(declaring & valued, unquote(F.col("default"))),
         is_required=F.when(lexed, (F.col("default") == "") & (F.col("other") == ""))
-        .when(is_docker, ~declared)
+        .when(declaring, ~valued)
         .otherwise(F.lit(True)),
         snippet=rstrip(F.col("snippet")),
     )

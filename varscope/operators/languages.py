@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from varscope.functions.text import WS, WS_INLINE
 from varscope.operators.stack import ASK, CLOSE, CLOSE_TWO, Grammar, becomes, opens
 
 # Marks written into a text: START before a reference, END after a tag. Noncharacters
@@ -60,17 +61,33 @@ class LexedLanguage:
 
 @dataclass(frozen=True)
 class LineLanguage:
-    """A language read line by line, like ``shell`` references or ``docker`` declarations."""
+    """A language read line by line: names that a line reads, or names that it declares.
+
+    references:  patterns looked for anywhere in a line; group 1 is a name it reads.
+    assigned:    pattern over the whole text; the names of its group 1 are the file's own ...
+    exported:    ... unless this pattern finds them too.
+    specials:    names that never count.
+    declaration: a whole line that declares a name; its groups are the keyword, the name,
+                 the sign before a value, the value after the sign, the value without one.
+                 The first declaration of a name counts.
+    valued_by:   (start of a keyword, "text" or "sign"): whether the name has a value if there
+                 is text, or as soon as there is a sign.
+    """
 
     name: str
     extensions: tuple[str, ...]
     guards: tuple[str, ...]
     filename_prefixes: tuple[str, ...] = ()
-    reader: str = "shell"
+    references: tuple[str, ...] = ()
+    assigned: str | None = None
+    exported: str | None = None
+    specials: tuple[str, ...] = ()
+    declaration: str | None = None
+    valued_by: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self):
-        if self.reader not in ("shell", "docker"):
-            raise ValueError(f"no reader of lines is called {self.reader!r}")
+        if bool(self.references) == bool(self.declaration):
+            raise ValueError(f"{self.name}: a line language has either references or a declaration")
 
 
 _DOUBLE = r'"(?:[^"\\\n]++|\\[\s\S])*+"'
@@ -309,9 +326,32 @@ GO = LexedLanguage(
     key_groups=(1,),
 )
 
-SHELL = LineLanguage("shell", (".sh", ".bash", ".zsh", ".ksh", ".fish"), ("$",))
+_NAME = "[A-Z_][A-Z0-9_]*+"
+_WORD_END = r"(?![\p{L}\p{N}_])"
+# One-character names that are shell specials.
+SHELL_SPECIAL_NAMES = ("$", "?", "!", "@", "*", "#", "-", "_") + tuple("0123456789")
+
+SHELL = LineLanguage(
+    "shell",
+    (".sh", ".bash", ".zsh", ".ksh", ".fish"),
+    ("$",),
+    references=(rf"\$\{{#?({_NAME})[^}}\n]*+\}}", rf"\$({_NAME}){_WORD_END}"),
+    # An assignment whose right-hand side (up to a comment) does not read the same name.
+    assigned=rf"(?md)^[{WS_INLINE}]*+({_NAME})=(?![^#\n]*\$\{{?\1{_WORD_END})",
+    exported=rf"(?md)^[{WS_INLINE}]*+export[{WS_INLINE}]++({_NAME})(?=[={WS}#]|$)",
+    specials=SHELL_SPECIAL_NAMES,
+)
+# Keyword, name, then `=value` or (ENV only) a blank and a value.
 DOCKER = LineLanguage(
-    "docker", (), ("ENV", "ARG"), filename_prefixes=("Dockerfile", "dockerfile"), reader="docker"
+    "docker",
+    (),
+    ("ENV", "ARG"),
+    filename_prefixes=("Dockerfile", "dockerfile"),
+    declaration=(
+        rf"[{WS_INLINE}]*+(ENV|ARG(?=[{WS_INLINE}]++{_NAME}(?:=|[{WS_INLINE}]*+$)))"
+        rf"[{WS_INLINE}]++({_NAME})(?:(=)([^\n]*+)|[{WS_INLINE}]([^\n]*+))?$"
+    ),
+    valued_by=(("ENV", "text"), ("ARG", "sign")),
 )
 
 DEFAULT_LANGUAGES = (PYTHON, JAVASCRIPT, GO, SHELL, DOCKER)

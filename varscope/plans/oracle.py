@@ -244,6 +244,14 @@ oracle(
          case when k % 3 = 1 then 'r' || (k % 5) end as default_value,
          k % 3 <> 1 as is_required from f""",
 )
+oracle(
+    "custom_line_language",
+    """select 'make' as language, repo, 'build/f' || k || case when k % 2 = 0 then '.mk' else '/Makefile' end as path,
+         unnest([2, 3]) as line, 0 as "column", name, null::varchar as default_value, true as is_required from f
+       union all
+       select 'unit', repo, 'unit/f' || k || '.unit', 2, 0, name, case when k % 3 <> 0 then 'd' || (k % 5) end, k % 3 = 0
+       from f""",
+)
 oracle(
     "prose_controls",
     """select 'documents' as repo, count(*) as n_texts, 0 as n_refs from documents

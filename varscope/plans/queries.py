@@ -31,6 +31,7 @@ from varscope.operators.languages import (
     SHELL,
     START,
     LexedLanguage,
+    LineLanguage,
 )
 from varscope.operators.joins import join_heavy
 from varscope.operators.ordering import with_ordinal
@@ -71,6 +72,24 @@ RUBY = LexedLanguage(
     other_argument_group=3,
 )
 
+# Line languages given by their grammar alone: variables of make files, and settings of service units.
+MAKE = LineLanguage(
+    "make",
+    (".mk",),
+    ("$",),
+    filename_prefixes=("Makefile",),
+    references=(r"\$[({]([A-Z_][A-Z0-9_]*+)[)}]",),
+    assigned=r"(?md)^([A-Z_][A-Z0-9_]*+) *+[?:+]?=",
+    specials=("MAKE",),
+)
+SETTINGS = LineLanguage(
+    "unit",
+    (".unit",),
+    ("Environment",),
+    declaration=r" *+(Environment|PassEnvironment) *+= *+([A-Z_][A-Z0-9_]*+)(?: *+(=)([^\n]*+)| ([^\n]*+))?$",
+    valued_by=(("Environment", "sign"),),
+)
+
 REF = ("repo", "path", "line", "column", "name", "default_value", "is_required")
 
 
@@ -291,7 +310,7 @@ def shell_specials(spark, sf):
 @query
 def shell_locals(spark, sf):
     scripts = extract.route_language(files(spark, sf)).filter("language = 'shell'")
-    names = extract.shell_local_names(text.unify_lines(F.col("content")))
+    names = extract.own_names(text.unify_lines(F.col("content")), SHELL)
     return scripts.select("repo", "path", F.array_join(F.array_sort(names), ",").alias("locals"))
 
 
@@ -334,6 +353,24 @@ def custom_language(spark, sf):
     return extract.extract(scripts, (*DEFAULT_LANGUAGES, RUBY)).select("language", *REF)
 
 
+@query
+def custom_line_language(spark, sf):
+    """Two line languages known by their grammars alone, beside the built-in ones."""
+    keyed = corpus.keyed_files(spark, sf)
+    makes = keyed.selectExpr(
+        "repo", "'build/f' || k || case when k % 2 = 0 then '.mk' else '/Makefile' end as path",
+        """'OWN = 1' || chr(10) || 'x: $(OWN) $(' || name || ')' || chr(10) || chr(9) || '${MAKE} ${' || name || '}'
+           || ' $(lower)' as content""",
+    )
+    units = keyed.selectExpr(
+        "repo", "'unit/f' || k || '.unit' as path",
+        """'[Service]' || chr(10) || case when k % 3 = 0 then 'PassEnvironment=' || name
+           else 'Environment=' || name || '=\"d' || (k % 5) || '\"' end || chr(10) || 'Environment=' || name || '=again'
+           as content""",
+    )
+    return extract.extract(makes.unionByName(units), (*DEFAULT_LANGUAGES, MAKE, SETTINGS)).select("language", *REF)
+
+
 @query
 def prose_controls(spark, sf):
     """No reference is found in whole prose, web pages and conversations."""

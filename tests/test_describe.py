@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from varscope.sources.cache import CacheStore
 from varscope.functions import naming
 from varscope.operators import descriptions as D
 from varscope.operators.inventory import inventory, with_position
@@ -156,3 +157,25 @@ def test_last_of_repeated_keys_counts(spark):
     responses = spark.createDataFrame([("b", text)], "batch_id string, text string")
     rows = D.parse_responses(batched, responses).select("name", "description", "example").collect()
     assert sorted(map(tuple, rows)) == [("A", "new", "e"), ("B", "b", "")]
+
+
+def test_cache_store_writes_what_is_fresh(spark, tmp_path):
+    store = CacheStore(spark, str(tmp_path / "store"), compact=3)
+    assert store.read().count() == 0
+    entry = lambda keys, text: spark.createDataFrame(
+        [(f"key{k:06d}", f"{text} {k}" * 5, None) for k in keys], "key string, description string, example string"
+    ).coalesce(1)
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "store").rglob("*.parquet"))
+    store.upsert(entry(range(20_000), "old"))
+    before = size()
+    store.upsert(entry(range(0, 20_000, 100), "new"))
+    assert size() - before <= 0.05 * before
+    want = {f"key{k:06d}": ("new" if k % 100 == 0 else "old") for k in range(20_000)}
+    got = lambda: {r.key: r.description[:3] for r in store.read().collect()}
+    assert got() == want and [kind for _, kind in store.parts()] == ["fresh", "fresh"]
+    (tmp_path / "store" / "fresh-00000009").mkdir()  # a write that did not commit
+    store.upsert(entry([7, 30_000], "end"))
+    want |= {"key000007": "end", "key030000": "end"}
+    assert [kind for _, kind in store.parts()] == ["base"] and got() == want
+    store.upsert(entry([8], "two").unionByName(entry([8], "one")))
+    assert got()["key000008"] == "two"

@@ -27,6 +27,19 @@ def test_heavy_key_is_found_and_joined(spark):
         assert got.exceptAll(want.select(got.columns)).count() == 0
 
 
+def test_heavy_side_of_much_text_is_not_broadcast(spark, monkeypatch):
+    rows = skewed(spark)
+    side = spark.createDataFrame([("hot", "x" * 1000), ("k1", "y"), ("none", "z")], ["key", "v"])
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"))
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    for how in ("inner", "left", "left_anti"):
+        got = join_heavy(rows, side, ["key"], counted, "n", how)
+        want = rows.join(side, "key", how)
+        assert got.count() == want.count()
+        assert got.select(want.columns).exceptAll(want).count() == 0
+    assert joins.salts_for(rows) == joins.LEAST_SALTS
+
+
 def test_no_heavy_key(spark):
     counted = spark.createDataFrame([("a", 5)], ["key", "n"])
     assert session.heavy_keys(counted, "n") is None
@@ -71,4 +84,4 @@ def test_late_and_early_selection_agree(spark, files_of):
 
 
 def test_broadcasts_are_bounded():
-    assert joins.SALTS > 1 and session.BROADCAST_ROW_LIMIT <= 1_000_000
+    assert 1 < joins.LEAST_SALTS < joins.MOST_SALTS and session.BROADCAST_ROW_LIMIT <= 1_000_000

@@ -614,6 +614,12 @@ oracle(
     BATCHES,
 )
 
+oracle(
+    "cache_store",
+    """select 'key' || k as key, case when k % 100 = 7 then 'last ' when k % 200 = 3 then 'newer '
+         when k % 100 = 3 then 'new ' else 'old ' end || name as description, 'e' as example from f""",
+)
+
 # --------------------------------------------------------------------------- reports
 
 REPORT = """

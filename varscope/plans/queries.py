@@ -38,6 +38,7 @@ from varscope.operators.ordering import with_ordinal
 from varscope.plans import corpus
 from varscope.session import materialize, new_table_path, tune
 from varscope.sources import sinks, tables
+from varscope.sources.cache import CacheStore
 from varscope.streaming import alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -868,6 +869,19 @@ def cache_upsert(spark, sf):
     return descriptions.upsert(case.cache, fresh.select("key", "description", "example"))
 
 
+@query
+def cache_store(spark, sf):
+    """A cache of one entry a file, written over twice by few keys, compacted once, and read."""
+    keyed = corpus.keyed_files(spark, sf)
+    entry = lambda text, where: keyed.filter(where).selectExpr(
+        "'key' || cast(k as string) as key", f"'{text} ' || name as description", "'e' as example"
+    )
+    store = CacheStore(spark, new_table_path(spark), compact=2)
+    for text, where in (("old", "true"), ("new", "k % 100 = 3"), ("newer", "k % 200 = 3"), ("last", "k % 100 = 7")):
+        store.upsert(entry(text, where))
+    return store.read()
+
+
 # --------------------------------------------------------------------------- reports
 
 

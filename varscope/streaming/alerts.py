@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varscope.operators.extract import file_names
+from varscope.operators.joins import salts_for
 from varscope.operators.languages import DEFAULT_LANGUAGES, Language
 
 
@@ -28,16 +29,18 @@ def check_stream(
     A file sends each name it reads once, however often it reads it. State is one row per
     undocumented name. With ``event_time`` (a timestamp column of the stream) state is
     dropped ``delay`` after a name was seen, for streams without end; such a name may then
-    be reported again.
+    be reported again. A name that very many files read is first deduplicated in salted
+    parts, so that it is not one task's.
     """
     keep = [event_time] if event_time else []
-    alerts = file_names(files, languages, keep).select("repo", "name", *keep)
+    salt = F.pmod(F.xxhash64("path"), F.lit(salts_for(files))).alias("_salt")
+    alerts = file_names(files, languages, keep).select("repo", "name", salt, *keep)
     if event_time:
         alerts = alerts.withWatermark(event_time, delay)
     alerts = alerts.join(documented, ["repo", "name"], "left_anti")
-    if event_time:
-        return alerts.dropDuplicatesWithinWatermark(["repo", "name"])
-    return alerts.dropDuplicates(["repo", "name"])
+    for part in (["repo", "name", "_salt"], ["repo", "name"]):
+        alerts = alerts.dropDuplicatesWithinWatermark(part) if event_time else alerts.dropDuplicates(part)
+    return alerts.drop("_salt")
 
 
 def run_once(alerts: DataFrame, output: str, checkpoint: str) -> None:

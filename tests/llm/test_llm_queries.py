@@ -158,3 +158,30 @@ def test_pipeline_run(spark):
 
 def test_vote_patterns_are_bounded():
     assert 3 ** len(quality.RULES) < 100_000
+
+
+def test_stages_on_odd_rows(odd_rows, odd_docs, no_docs, spark):
+    """Every stage by itself: nulls, repeated rows, ids that texts share, columns of any name."""
+    stages = dict(corpus_pipeline.STAGES)
+    rows = Counter(odd_rows)
+    failed = {t for _, t in odd_rows for n, *_, r in [quality_counts(t)] if n < 50 or 100 * r > 50 * n}
+    quality_left = stages["quality rules"](spark, odd_docs, SF_DIR)
+    assert quality_left.columns == odd_docs.columns
+    left = Counter((r.doc_id, r.text) for r in quality_left.collect())
+    assert all(left[k] in (0, n) for k, n in rows.items()) and not failed & {t for _, t in left}
+    assert set(left) <= set(rows) and sum(left.values()) > 0
+
+    found = stages["line dedup"](spark, odd_docs, SF_DIR)
+    assert found.columns == odd_docs.columns
+    want = Counter((d, text) for d, _, _, text in lines(odd_rows))
+    assert Counter((r.doc_id, r.text or "") for r in found.collect()) == want
+    assert found.select("lines").distinct().first()[0] == "own lines"
+    assert found.filter("n_chars <> char_length(text)").count() == 0
+
+    pieces = [{**r.asDict(), "length": len(r.ids) // 4} for r in stages["packing"](spark, odd_docs, SF_DIR).collect()]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    total = sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in odd_rows)
+    assert sum(p["length"] for p in pieces) == total
+
+    for name, stage in stages.items():
+        assert stage(spark, no_docs, SF_DIR).count() == 0, name

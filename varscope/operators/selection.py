@@ -134,6 +134,28 @@ def staged_refs(
     return with_position(refs.join(changes, ["repo", "path"]), F.col("ord")).drop("ord")
 
 
+def staged_stats(
+    files: DataFrame, changes: DataFrame, refs: DataFrame, languages: Sequence[Language] = DEFAULT_LANGUAGES
+) -> DataFrame:
+    """(repo, scanned_files, found, errors) of a scan of the listed files.
+
+    Every listing of a supported file counts as scanned; one that cannot be read is an
+    error. Listed files that do not exist, or have no language, are passed over. ``refs``
+    are those of ``staged_refs``. No text is read.
+    """
+    lost = files.select("repo", "path", F.col("content").isNull().alias("_lost"))
+    scanned = (
+        staged_paths(files, changes, languages)
+        .join(lost, ["repo", "path"])
+        .groupBy("repo")
+        .agg(F.count("*").alias("scanned_files"), F.count_if("_lost").alias("errors"))
+    )
+    found = refs.select("repo", "name").distinct().groupBy("repo").agg(F.count("*").alias("found"))
+    return scanned.join(found, "repo", "left").select(
+        "repo", "scanned_files", F.coalesce("found", F.lit(0)).cast("bigint").alias("found"), "errors"
+    )
+
+
 def changed_or_walked_refs(
     files: DataFrame,
     changes: DataFrame,

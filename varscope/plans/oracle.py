@@ -135,6 +135,21 @@ oracle(
     "select c.repo, c.path, f.lang as language, c.ord from chg c join f on f.k = c.k where f.routed",
     CHANGES,
 )
+oracle(
+    "staged_refs",
+    f"select {', '.join('p.' + c.strip() for c in REF_COLUMNS.split(','))}, c.ord from chg c join refs p on p.k = c.k",
+    CHANGES,
+)
+oracle(
+    "staged_result",
+    """select repo, count(*) as scanned_files, any_value(coalesce(found, 0)) as found,
+         count(*) filter (where k % 71 = 0) as errors
+       from (select c.repo, f.k from chg c join f on f.k = c.k where f.routed)
+       left join (select c.repo, count(distinct name) as found from chg c join refs p on p.k = c.k
+         where p.k % 71 <> 0 group by c.repo) using (repo)
+       group by repo""",
+    CHANGES,
+)
 oracle(
     "template_source",
     """select repo, max(has) = 1 as has_template, cast(sum(n) as int) as n_lines from (
@@ -295,17 +310,29 @@ oracle(
 # ---------------------------------------------------------------------- names, rules
 
 
-def _type_case(rules, bare: bool) -> str:
-    """CASE over plain suffix tests."""
-    arms = []
-    for kind, endings in rules:
-        tests = []
-        for ending in endings:
-            if bare or ending.startswith("_"):
-                tests.append(f"ends_with(u, '{ending}')")
-            tests.append(f"u = '{ending.lstrip('_')}'")
-        arms.append(f"when {' or '.join(tests)} then '{kind}'")
-    return "case " + " ".join(arms) + " else 'STRING' end"
+# The type rules once more, as endings of the upper-cased name in plain order: a wrong entry of
+# the engine's own tables shows here.
+_ENDS = """regexp_matches(u, '{0}$')"""
+_SCAN_TYPE = "case " + " ".join(
+    f"when {_ENDS.format(pattern)} then '{kind}'"
+    for pattern, kind in (
+        ("(^|_)(URL|URI|DSN|ENDPOINT)", "URL"),
+        ("(^|_)(KEY|TOKEN|SECRET|PASSWORD|PASSWD|PASS|CREDENTIALS|CERT|PRIVATE)", "SECRET"),
+        ("(^|_)PORT", "PORT"),
+        ("(DEBUG|VERBOSE|(^|_)(ENABLED|DISABLED|FLAG|ACTIVE))", "BOOLEAN"),
+        ("(^|_)(TIMEOUT|RETRIES|MAX|MIN|COUNT|SIZE|LIMIT|TTL|INTERVAL)", "INTEGER"),
+    )
+) + " else 'STRING' end"
+_NAME_TYPE = "case " + " ".join(
+    f"when {_ENDS.format(pattern)} then '{kind}'"
+    for pattern, kind in (
+        ("(^|_)(URL|URI)", "URL"),
+        ("(^|_)(KEY|TOKEN|SECRET|PASSWORD|PASSWD|PASS|PRIVATE)", "SECRET"),
+        ("(^|_)PORT", "INTEGER"),
+        ("(^|_)HOST", "STRING"),
+        ("(^|_)(ENABLED|DISABLED|FLAG|ACTIVE)|^(DEBUG|VERBOSE)", "BOOLEAN"),
+    )
+) + " else 'STRING' end"
 
 
 TYPED = f"typed as (select k, {typed_name_sql()} as name from f), "
@@ -313,12 +340,12 @@ TYPED_UPPER = TYPED + "tu as (select k, name, upper(name) as u from typed), "
 oracle(
     "infer_type",
     "select k, name, case when u in ('DEBUG', 'VERBOSE') then 'BOOLEAN' when u = 'PORT' then 'PORT' "
-    f"else {_type_case(naming.SCAN_TYPES, True)} end as inferred_type from tu",
+    f"else {_SCAN_TYPE} end as inferred_type from tu",
     TYPED_UPPER,
 )
 oracle(
     "infer_type_name_only",
-    f"select k, name, {_type_case(naming.NAME_TYPES, False)} as inferred_type from tu",
+    f"select k, name, {_NAME_TYPE} as inferred_type from tu",
     TYPED_UPPER,
 )
 

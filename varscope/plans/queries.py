@@ -155,6 +155,18 @@ def staged_files(spark, sf):
     return selection.staged_paths(files(spark, sf), corpus.changes(spark, sf))
 
 
+@query
+def staged_refs(spark, sf):
+    return selection.staged_refs(files(spark, sf), corpus.changes(spark, sf)).select(*REF, F.col("pos.rank").alias("ord"))
+
+
+@query
+def staged_result(spark, sf):
+    """Findings, scanned files and errors of an explicit list, some of whose files cannot be read."""
+    broken, changes = _partly_unreadable(spark, sf), corpus.changes(spark, sf)
+    return selection.staged_stats(broken, changes, selection.staged_refs(broken, changes))
+
+
 @query
 def template_source(spark, sf):
     repos = files(spark, sf).select("repo").distinct()

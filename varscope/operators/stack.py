@@ -45,82 +45,104 @@ class Grammar:
     asked: tuple[tuple[str, tuple[str, str]], ...] = ()
 
 
-_STAY, _KEEP, _CLOSE, _CLOSE_TWO, _ASK, _OPEN = range(6)
+_MOVE, _KEEP, _ASK = range(3)
 # Tokens that one inner pass covers.
 _CHUNK = 512
 
 
 class _Machine:
-    """The grammar as numbers."""
+    """The grammar as tables: a row for each mode and kind of token, what to do there."""
 
     def __init__(self, grammar: Grammar):
-        self.grammar = grammar
         kinds = ["other", "reference", *dict.fromkeys(k for _, k in (*grammar.tokens, *grammar.prefixes))]
         self.kind = {k: n for n, k in enumerate(kinds)}
         self.mode = {m: n for n, m in enumerate(grammar.modes)}
         self.letters = "".join(chr(ord("A") + n) for n in range(len(grammar.modes)))
         actions = {(m, "reference"): KEEP for m in grammar.code}
         actions |= {(m, k): a for m, k, a in grammar.actions}
-        self.table = [self.number(actions.get((m, k), STAY)) for m in grammar.modes for k in kinds]
+        planned = [actions.get((m, k), STAY) for m in grammar.modes for k in kinds]
         asked = dict(grammar.asked)
-        self.asked = [self.number(asked.get(m, STAY)) for m in grammar.modes]
+        self.stays = F.array(*(F.lit(a == STAY) for a in planned))
+        self.rows = F.array(*map(self.row, planned))
+        self.asked = F.array(*(self.row(asked.get(m, STAY)) for m in grammar.modes))
 
-    def number(self, action: tuple[str, str]) -> int:
-        plain = {"stay": _STAY, "keep": _KEEP, "close": _CLOSE, "close two": _CLOSE_TWO, "ask": _ASK}
+    def row(self, action: tuple[str, str]) -> Column:
+        """What to do; how many letters leave the stack, and which one comes, of which mode."""
         what, mode = action
-        if what in plain:
-            return plain[what]
-        return _OPEN + self.mode[mode] + (len(self.mode) if what == "become" else 0)
+        less = {"close": 1, "become": 1, "close two": 2}.get(what, 0)
+        return F.struct(
+            F.lit({"keep": _KEEP, "ask": _ASK}.get(what, _MOVE)).alias("what"),
+            F.lit(less).alias("less"),
+            F.lit(self.letters[self.mode[mode]] if mode else "").alias("push"),
+            F.lit(self.mode[mode] if mode else -1).alias("mode"),
+        )
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _numbers(
+    grammar: Grammar, kind: dict[str, int], anchor: str, number_of: Callable | None
+) -> Callable[[Column], Column]:
+    """The kind's number of a token. Nearly all tokens are one character, found in a string."""
+    one = {text: kind[k] for text, k in grammar.tokens if len(text) == 1}
+    characters = F.lit("".join(one))
+    of_one = F.array(F.lit(kind["other"]), *map(F.lit, one.values()))
+    pairs = [F.lit(x) for text, k in grammar.tokens if len(text) > 1 for x in (text, kind[k])]
+    of_more = F.create_map(*pairs)
+
+    def number(token: Column) -> Column:
+        longer = F.when(token.startswith(anchor), F.lit(kind["reference"]))
+        for prefix, k in grammar.prefixes:
+            longer = longer.when(token.startswith(prefix), F.lit(kind[k]))
+        longer = F.coalesce(F.try_element_at(of_more, token), longer.otherwise(F.lit(kind["other"])))
+        if number_of:
+            longer = number_of(token, longer, kind)
+        return F.when(F.length(token) == 1, of_one[F.instr(characters, token)]).otherwise(longer)
+
+    return number
+
+
 def code_flags(
-    tokens: Column, grammar: Grammar, anchor: str, number_of: Callable[[Column, Column], Column] | None = None
+    tokens: Column, grammar: Grammar, anchor: str, number_of: Callable[[Column, Column, dict], Column] | None = None
 ) -> Column:
     """For each token, whether it is a reference that stands in code.
 
     A reference begins with ``anchor``. ``number_of`` may change the kind's number of a
-    token, given its text and that number.
+    token of several characters, given its text, that number, and the numbers of kinds.
     """
     machine = _Machine(grammar)
-    n_modes, n_kinds = len(machine.mode), len(machine.kind)
-    table = F.array(*(F.lit(x) for x in machine.table))
-    asked = F.array(*(F.lit(x) for x in machine.asked))
-    letters = F.array(*(F.lit(c) for c in machine.letters))
-    pairs = [F.lit(x) for text, kind in grammar.tokens for x in (text, machine.kind[kind])]
-    numbers = F.create_map(*pairs)
-
-    def number(token: Column) -> Column:
-        other = F.when(token.startswith(anchor), F.lit(machine.kind["reference"]))
-        for prefix, kind in grammar.prefixes:
-            other = other.when(token.startswith(prefix), F.lit(machine.kind[kind]))
-        found = F.coalesce(F.try_element_at(numbers, token), other.otherwise(F.lit(machine.kind["other"])))
-        return number_of(token, found, machine.kind) if number_of else found
+    n_kinds = len(machine.kind)
+    number = _numbers(grammar, machine.kind, anchor, number_of)
+
+    def moved(acc: Column, at: Column, row: Column) -> Column:
+        length = F.length(acc["stack"]) - row["less"]
+        below = F.instr(F.lit(machine.letters), F.substring(acc["stack"], length, F.lit(1))) - 1
+        opens_ = row["mode"] >= 0
+        return F.when(
+            row["what"] == _KEEP,
+            F.struct(
+                acc["stack"].alias("stack"),
+                acc["top"].alias("top"),
+                acc["closed"].alias("closed"),
+                F.concat(acc["kept"], F.array(at["place"])).alias("kept"),
+            ),
+        ).otherwise(
+            F.struct(
+                F.concat(F.substring(acc["stack"], F.lit(1), length), row["push"]).alias("stack"),
+                F.when(opens_, row["mode"]).otherwise(below).alias("top"),
+                F.when(opens_, acc["closed"]).otherwise(acc["top"]).alias("closed"),
+                acc["kept"].alias("kept"),
+            )
+        )
 
     def step(acc: Column, at: Column) -> Column:
-        planned = table[acc["top"] * n_kinds + at["number"]]
-        action = F.when(planned == _ASK, asked[acc["closed"]]).otherwise(planned)
-        length = F.length(acc["stack"])
-        become = action >= _OPEN + n_modes
-        less = F.when(action == _CLOSE_TWO, 2).when((action == _CLOSE) | become, 1).otherwise(0)
-        shorter = F.substring(acc["stack"], F.lit(1), F.greatest(length - less, F.lit(1)))
-        opened = F.when(become, action - _OPEN - n_modes).otherwise(action - _OPEN)
-        stack = F.when(action >= _OPEN, F.concat(shorter, letters[opened])).otherwise(shorter)
-        top = F.when(action >= _OPEN, opened).otherwise(
-            F.instr(F.lit(machine.letters), F.substring(shorter, -1, 1)) - 1
-        )
-        closed = F.when(action == _CLOSE, acc["top"]).otherwise(acc["closed"])
-        moved = F.struct(stack.alias("stack"), top.alias("top"), closed.alias("closed"), acc["kept"].alias("kept"))
-        kept = F.struct(
-            acc["stack"].alias("stack"),
-            acc["top"].alias("top"),
-            acc["closed"].alias("closed"),
-            F.concat(acc["kept"], F.array(at["place"])).alias("kept"),
-        )
-        return F.when(action == _STAY, acc).when(action == _KEEP, kept).otherwise(moved)
+        cell = acc["top"] * n_kinds + at["number"]
+        planned = machine.rows[cell]
+        row = F.when(planned["what"] == _ASK, machine.asked[acc["closed"]]).otherwise(planned)
+        act = _let(row, lambda row: F.when((row["less"] == 0) & (row["mode"] < 0) & (row["what"] == _MOVE), acc).otherwise(moved(acc, at, row)))
+        return F.when(machine.stays[cell], acc).otherwise(act)
 
     none = F.expr("cast(array() as array<int>)")
 

@@ -24,13 +24,17 @@ ORACLE_SQL = None
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or are probably of bad quality, go.
 
-    A null or empty text goes; repeated rows are judged each. The counts are stored beside
-    the rows, so that texts are counted once.
+    A null or empty text goes; repeated rows have one verdict. Texts are counted once; the
+    counts are stored without them and meet the rows again by id and 128 bits of hash.
     """
     ship(spark)
-    counted = materialize(quality.with_counts(carried(docs)))
-    judged = quality.judge(counted, quality.estimate(counted))
-    return restored(judged.filter(quality.PREFIX + "kept"), docs)
+    marks = {"mark1": F.xxhash64("text"), "mark2": F.xxhash64(F.lit(1), "text")}
+    rows = carried(docs).withColumns(marks)
+    counted = materialize(quality.with_counts(rows.select("doc_id", "text", *marks)).drop("text"))
+    judged = quality.judge(counted, quality.estimate(counted)).filter(quality.PREFIX + "kept")
+    kept = judged.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", *marks))).distinct()
+    same = (F.col("mark1") == F.col("_mark1")) & (F.col("mark2") == F.col("_mark2"))
+    return restored(rows.join(kept, same & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

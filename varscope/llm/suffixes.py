@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 
 from varscope.llm.blocks import U, Words, find_words, gather, mix, ngrams, ranges, span_hash, span_ids, text_bytes, within
 from varscope.llm.tasks import GROUP_BYTES, folded, group_count, group_of, text_rows, unfolded
-from varscope.llm.windows import covered, pack, unpack
+from varscope.llm.windows import among, covered, pack, unpack
 
 LENGTH = 50
 GRAM = 8
@@ -73,13 +73,13 @@ class Suffixes:
     """The retained suffixes of one group of documents.
 
     ``start`` and ``length`` are the stretches that name a suffix, one run per suffix.
-    Runs with equal strings share a ``number``. ``single`` cuts all runs into stretches.
+    Runs with equal strings share a ``number``.
     """
 
-    def __init__(self, docs: pa.Table, single: bool = False):
+    def __init__(self, docs: pa.Table):
         data, offsets = text_bytes(docs.column("text"))
         ids = docs.column("doc_id")
-        has_id, doc_ids = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0), np.int64)
+        has_id, self.doc_ids = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0), np.int64)
         self.words = words = find_words(data, offsets)
         h = span_hash(words.data, words.start, words.end)
         valid = within(words, LENGTH)
@@ -89,12 +89,13 @@ class Suffixes:
         new[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
         position = np.arange(len(valid))
         begun = np.maximum.accumulate(np.where(new, position, 0)) if len(valid) else position
-        new |= valid & ((position - begun) % (1 if single else RUN_STRETCHES) == 0)
+        new |= valid & ((position - begun) % RUN_STRETCHES == 0)
         self.start = np.flatnonzero(new)
         self.length = np.bincount((np.cumsum(new) - 1)[valid], minlength=len(self.start))
-        self.prefix = ngrams(h, PREFIX)[place[self.start]]
-        self.doc = doc_ids[words.doc[self.start]]
-        content = ngrams(h, LENGTH)
+        self.valid, self.place, self.prefix_at = valid, place, ngrams(h, PREFIX)
+        self.prefix = self.prefix_at[place[self.start]]
+        self.doc = self.doc_of(self.start)
+        self.content = content = ngrams(h, LENGTH)
         at = ranges(self.start, self.length)
         offset = (at - np.repeat(self.start, self.length)).astype(U)
         starts = np.cumsum(self.length) - self.length
@@ -103,9 +104,11 @@ class Suffixes:
             terms = mix(content[at] + offset * U(seed))
             keys.append(np.add.reduceat(terms, starts) if len(starts) else terms)
         self.anchor = place[self.start] - self.start  # words of the first stretch before the suffix
-        order = np.lexsort((self.doc, keys[1], keys[0], self.anchor, self.prefix))
+        # equal strings name their suffix at the same place; rows come by document, so ties need no key
+        keys[0] = mix(keys[0] + self.anchor.astype(U))
+        order = np.lexsort((keys[1], keys[0], self.prefix))
         change = np.ones(len(order), bool)
-        for key in (self.prefix, self.anchor, *keys):
+        for key in (self.prefix, *keys):
             change[1:] &= key[order][1:] == key[order][:-1]
         change[1:] = ~change[1:]
         self.number = np.empty(len(order), np.int64)
@@ -118,21 +121,27 @@ class Suffixes:
         self.prefixes, first = np.unique(self.prefix[self.run], return_index=True)
         self.prefix_of = np.searchsorted(self.prefixes, self.prefix[self.run])
         self.alone = np.bincount(self.prefix_of, weights=1 + self.shared, minlength=len(first)) == 1
-        self.key = keys[0][self.run]  # of the whole string
-        begin, end = self.edges(self.run)
+        begin, end = self.edges(self.start[self.run], self.length[self.run])
         weight = 1 + (end - begin) // UNIT
         self.weight = np.bincount(self.prefix_of, weights=weight, minlength=len(first)).astype(np.int32)
 
-    def edges(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First byte of the runs' strings, and the byte after the last."""
-        return self.words.start[self.start[run]], self.words.end[self.start[run] + self.length[run] + LENGTH - 2]
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return self.doc_ids[self.words.doc[at]]
 
-    def packed(self, number: np.ndarray, single: bool) -> bytes:
-        run = self.run[number]
-        text, offsets = gather(self.words.data, *self.edges(run))
+    def edges(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte of the strings of so many stretches, and the byte after the last."""
+        return self.words.start[start], self.words.end[start + length + LENGTH - 2]
+
+    def stretches(self, prefixes: np.ndarray) -> np.ndarray:
+        """All stretches that name a suffix with one of the prefixes, which are sorted."""
+        at = np.flatnonzero(self.valid)
+        return at[among(self.prefix_at[self.place[at]], prefixes)]
+
+    def packed(self, number, start, length, shared, single: bool) -> bytes:
+        text, offsets = gather(self.words.data, *self.edges(start, length))
         return pack(
-            number=number.astype(np.int32), doc=self.doc[run], shared=self.shared[number],
-            size=np.diff(offsets).astype(np.int32), anchor=self.anchor[run].astype(np.int8),
+            number=number.astype(np.int32), doc=self.doc_of(start), shared=shared,
+            size=np.diff(offsets).astype(np.int32), anchor=(self.place[start] - start).astype(np.int8),
             single=np.array([single]), text=text,
         )
 
@@ -278,21 +287,30 @@ def spans(docs: pa.Table, answers: pa.Table) -> pa.Table:
         unpack(x.as_py(), number=np.int32, stretches=np.int32, least=np.int64, single=bool)
         for x in answers.column("answers")
     ]
+    own = Suffixes(docs)
     found = []
     for single in (False, True):
         mine = [p[:3] for p in parts if p[3][0] == single]
         if not mine:
             continue
-        own = Suffixes(docs, single)
         number, stretches, least = (np.concatenate(x) for x in zip(*mine))
-        place = np.full(len(own.run), -1)
-        place[number] = np.arange(len(number))
-        begins = np.cumsum(stretches) - stretches
-        runs = np.flatnonzero(place[own.number] >= 0)
-        length = own.length[runs]
-        at = ranges(own.start[runs], length)
-        owner = least[ranges(begins[place[own.number[runs]]], length)]
-        earlier = owner < np.repeat(own.doc[runs], length)
+        if single:  # stretches by themselves: those of equal words have the same answer
+            order = np.argsort(own.content[number], kind="stable")
+            number, least = number[order], least[order]
+            at = own.stretches(np.unique(own.prefix_at[own.place[number]]))
+            place = np.minimum(np.searchsorted(own.content[number], own.content[at]), len(number) - 1)
+            answered = own.content[number][place] == own.content[at]
+            at, owner = at[answered], least[place[answered]]
+            earlier = owner < own.doc_of(at)
+        else:
+            place = np.full(len(own.run), -1)
+            place[number] = np.arange(len(number))
+            begins = np.cumsum(stretches) - stretches
+            runs = np.flatnonzero(place[own.number] >= 0)
+            length = own.length[runs]
+            at = ranges(own.start[runs], length)
+            owner = least[ranges(begins[place[own.number[runs]]], length)]
+            earlier = owner < np.repeat(own.doc[runs], length)
         found.append((at[earlier], owner[earlier]))
     at, owner = (np.concatenate(x) for x in zip(*found))
     if not len(at):
@@ -332,12 +350,17 @@ def agreeing_strings(
         hot[place] = is_hot
     number = np.flatnonzero((agrees & ~hot)[own.prefix_of])
     for bucket, at in by_bucket(bucket_of(own.prefixes[own.prefix_of[number]])):
-        yield bucket, own.packed(number[at], False)
+        mine = number[at]
+        run = own.run[mine]
+        yield bucket, own.packed(mine, own.start[run], own.length[run], own.shared[mine], False)
     if hot.any():
-        own = Suffixes(docs, single=True)
-        number = np.flatnonzero(hot[own.prefix_of])
-        for bucket, at in by_bucket(bucket_of(own.key[number])):
-            yield bucket, own.packed(number[at], True)
+        at = own.stretches(own.prefixes[hot])
+        order = at[np.argsort(own.content[at], kind="stable")]  # of equal ones, the smallest document comes first
+        heads = np.flatnonzero(np.diff(own.content[order], prepend=~own.content[order[:1]]))
+        lasts = np.append(heads[1:], len(order)) - 1
+        start, shared = order[heads], own.doc_of(order[heads]) != own.doc_of(order[lasts])
+        for bucket, some in by_bucket(bucket_of(own.content[start])):
+            yield bucket, own.packed(start[some], start[some], np.ones(len(some), np.int64), shared[some], True)
 
 
 def repeated_passages(

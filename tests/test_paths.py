@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,11 +168,44 @@ def test_runs_of_rules_are_compact(spark):
         "repo string, kind string, ord int, pattern string",
     )
     row = ignore.exclusion_rules(rules).first()
-    assert list(row.exclude_rules) == []
-    assert [r.negated for r in row.ignore_rules] == [False, True, False]
+    assert list(row.exclude_rules.runs) == []
+    assert [(r.negated, r.mark) for r in row.ignore_rules.runs] == [(False, 4), (True, 9), (False, 12)]
+    assert row.ignore_rules.negations and row.ignore_rules.keys == []
     assert [tuple(r) for r in ignore.rule_errors(rules).collect()] == [("r", "gitignore", 5, "[z-a]")]
 
 
+@pytest.mark.parametrize("indexed", [0, 2])
+def test_index_gives_the_rows_of_the_regexes(spark, monkeypatch, indexed):
+    rng = random.Random(indexed)
+    names = ["a", "b", "c.py", "d"]
+    pattern = lambda: rng.choice(["", "", "/"]) + "/".join(rng.choices(names, k=rng.choice([1, 1, 2]))) + rng.choice(["", "", "/"])
+    wild = ["*.py", "b/*", "**/d", "a/**"]
+    rules, files = [], []
+    for n in range(60):
+        for k in range(rng.randrange(1, 12)):
+            rules.append((f"r{n}", "gitignore", k, rng.choice(["", "", "!"]) + (rng.choice(wild) if rng.random() < 0.3 else pattern())))
+        files += [(f"r{n}", "/".join(rng.choices(names, k=rng.randrange(1, 5)))) for _ in range(12)]
+    rules_df = spark.createDataFrame(rules, "repo string, kind string, ord int, pattern string")
+    files_df = spark.createDataFrame(files, "repo string, path string")
+    by_regex = sorted(map(tuple, selection.apply_rules(files_df, rules_df).collect()))
+    monkeypatch.setattr(ignore, "INDEXED", indexed)
+    assert sorted(map(tuple, selection.apply_rules(files_df, rules_df).collect())) == by_regex
+    assert 100 < len(by_regex) < len(files) - 100
+
+
+def test_many_literal_rules_cost_little(spark):
+    files = spark.range(20_000).selectExpr("'r' as repo", "'src/f' || id % 5000 || '/x' || id || '.py' as path").cache()
+    files.count()
+    seconds = {}
+    for n in (100, 100, 10_000):
+        rules = spark.range(n).selectExpr("'r' as repo", "'gitignore' as kind", "cast(id as int) as ord", "'src/f' || id || '/' as pattern")
+        start = time.perf_counter()
+        kept = selection.apply_rules(files, rules).count()
+        seconds[n] = time.perf_counter() - start
+        assert kept == 20_000 - 4 * min(n, 5000)
+    assert seconds[10_000] < 3 * seconds[100] + 3
+
+
 def test_ten_thousand_rules(spark):
     signs = ["*.py"] + [f"{'!' if n % 2 else ''}f{n}.py" for n in range(10_000)]
     rules = spark.createDataFrame(

@@ -173,6 +173,17 @@ def test_states_are_split(spark):
     assert spelling.near_table(rows, 50).count() == sum(bool(x) for x in near_words(set(words)).values())
 
 
+def test_links_are_sent_once_however_many(spark, monkeypatch):
+    monkeypatch.setattr("varscope.operators.joins.fits_broadcast", lambda df: False)
+    steps = []
+    monkeypatch.setattr(spelling, "materialize", lambda df: steps.append(df) or materialize(df))
+    links = [(f"w{k}", f"w{k // 7}") for k in range(1, 400)] + [("w0", None), ("alone", None)]
+    forms = spark.createDataFrame(links, "word string, form string")
+    assert sorted(spelling.with_roots(forms).collect()) == sorted((w, "w0") for w, form in links if form)
+    assert len(steps) == 4
+    assert not any("Generate" in df._jdf.queryExecution().optimizedPlan().toString() for df in steps)
+
+
 # --------------------------------------------------------------------------- language
 
 

@@ -273,13 +273,15 @@ def near_table(words: DataFrame, limit: int = LIMIT) -> DataFrame:
 def with_roots(forms: DataFrame) -> DataFrame:
     """``word, root``: where following the forms ends, for the words that have one.
 
-    A step goes to a word at least twice as frequent, so there are few.
+    A step goes to a word at least twice as frequent, so there are few. The words
+    that meet at one after some steps are that many edits away, so none is a hot key whose
+    side had to be copied.
     """
     links = forms.where("form is not null").select("word", "form")
     steps = links.select(F.col("word").alias("root"), F.col("form").alias("next"))
     at_end, moving = [], links.select("word", F.col("form").alias("root"))
     while True:
-        moved = materialize(join_per_key(moving, steps, ["root"], ["word"]))
+        moved = materialize(moving.join(steps, "root", "left"))
         at_end.append(moved.where("next is null").select("word", "root"))
         moving = moved.where("next is not null").select("word", F.col("next").alias("root"))
         if moving.isEmpty():

@@ -1,6 +1,10 @@
 import hashlib
+import os
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from varscope.sources.cache import CacheStore
@@ -78,6 +82,17 @@ def test_cache_keys(spark, inline_bytes):
     assert got == expected
 
 
+def test_lines_are_hashed_without_the_package(spark, tmp_path, monkeypatch):
+    refs = refs_of(spark, [ref("A", 1, "a"), ref("A", 2, "b")])
+    seen = []
+    whole = type(refs).mapInArrow
+    monkeypatch.setattr(type(refs), "mapInArrow", lambda df, f, schema: seen.append(f) or whole(df, f, schema))
+    D.cache_keys(refs, inventory(refs), 0)
+    load = "import pickle, sys; pickle.load(sys.stdin.buffer)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", load], input=cloudpickle.dumps(seen[0]), cwd=tmp_path, env=env, check=True)
+
+
 def test_responses(spark):
     asked = [("r", n, f"b{b}") for b in range(7) for n in ("A", "B")]
     batched = spark.createDataFrame(asked, ["repo", "name", "batch_id"])

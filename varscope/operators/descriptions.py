@@ -6,7 +6,7 @@ The model itself is outside: prompts are an output table, responses an input tab
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -79,38 +79,47 @@ def cache_keys(refs: DataFrame, found: DataFrame, inline_bytes: int = INLINE_KEY
         .select("repo", "name", "snippet", "n", "default_value")
         .repartition("repo", "name")
         .sortWithinPartitions("repo", "name", "snippet")
-        .mapInArrow(_hash_sorted_lines, "repo string, name string, key string")
+        .mapInArrow(_line_hasher(NO_DEFAULT), "repo string, name string, key string")
     )
     return inline.unionByName(streamed)
 
 
-def _hash_sorted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash runs of equal (repo, name) without holding their lines."""
-    current: tuple[str, str] | None = None
-    digest = hashlib.sha256()
-    ending = b""
+def _line_hasher(no_default: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes runs of equal (repo, name) without holding their lines.
 
-    def row(name_key: tuple[str, str], key: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(
-            {"repo": [name_key[0]], "name": [name_key[1]], "key": [key]}
-        )
-
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for repo, name, snippet, n, default in zip(*columns):
-            if (repo, name) != current:
-                if current is not None:
-                    digest.update(ending)
-                    yield row(current, digest.hexdigest())
-                current = (repo, name)
-                digest = hashlib.sha256(name.encode())
-                ending = b":" + (NO_DEFAULT if default is None else default).encode()
-            piece = b":" + snippet.encode()
-            for _ in range(n):
-                digest.update(piece)
-    if current is not None:
-        digest.update(ending)
-        yield row(current, digest.hexdigest())
+    The function holds plain values only, so that Python workers need no module of this
+    package.
+    """
+    no_default_bytes = no_default.encode()
+
+    def hash_sorted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: tuple[str, str] | None = None
+        digest = hashlib.sha256()
+        ending = b""
+
+        def row(name_key: tuple[str, str], key: str) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(
+                {"repo": [name_key[0]], "name": [name_key[1]], "key": [key]}
+            )
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for repo, name, snippet, n, default in zip(*columns):
+                if (repo, name) != current:
+                    if current is not None:
+                        digest.update(ending)
+                        yield row(current, digest.hexdigest())
+                    current = (repo, name)
+                    digest = hashlib.sha256(name.encode())
+                    ending = b":" + (no_default_bytes if default is None else default.encode())
+                piece = b":" + snippet.encode()
+                for _ in range(n):
+                    digest.update(piece)
+        if current is not None:
+            digest.update(ending)
+            yield row(current, digest.hexdigest())
+
+    return hash_sorted_lines
 
 
 def cache_lookup(keyed: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
